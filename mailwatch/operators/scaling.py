@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_column, finite_or_zero
+from ..functions.numeric import finite_or_zero
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def fit_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
 
 
 def assemble(df: DataFrame, before: Sequence[str], block: str | None, after: Sequence[str], out: str = "features") -> DataFrame:
-    """Feature vector in fixed order: scalars, optional array block, scalars.
+    """Feature vector in fixed order: scalars, optional vector column, scalars.
 
     NULL, NaN and ±Inf become 0. The assembler stores whichever of the dense and sparse
     forms is smaller.
@@ -83,13 +83,11 @@ def assemble(df: DataFrame, before: Sequence[str], block: str | None, after: Seq
     df = df.withColumn("_head", array_to_vector(head))
     inputs = ["_head"]
     if block:
-        clean = F.transform(F.col(block), lambda x: finite_or_zero(as_column(x)))
-        df = df.withColumn("_block", array_to_vector(clean))
-        inputs.append("_block")
+        inputs.append(block)
     if after:
         df = df.withColumn("_tail", array_to_vector(F.array(*[finite_or_zero(c) for c in after])))
         inputs.append("_tail")
-    return VectorAssembler(inputCols=inputs, outputCol=out).transform(df).drop(*inputs)
+    return VectorAssembler(inputCols=inputs, outputCol=out).transform(df).drop("_head", "_tail")
 
 
 def check_length(scaler: Scaler, names: Sequence[str]) -> None:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, StopWordsRemover
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.ml.functions import array_to_vector, vector_to_array
+
 
 from ..config import TfidfConfig
 from ..functions.text import text_or_empty
@@ -29,15 +30,19 @@ def without_stop_words(words: Column, stop_words: Sequence[str]) -> Column:
 
 
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
-    """All n-grams of the word list, joined by one space."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(words)
-            continue
-        count = F.size(words) - (n - 1)
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+    """All n-grams of the word list, joined by one space.
+
+    Longer grams grow from shorter ones by pairing each with the word that follows it, so
+    the word list is read a fixed number of times and never inside a lambda.
+    """
+    grams, parts = words, [words] if low == 1 else []
+    for n in range(2, high + 1):
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n), count), lambda g, w: F.concat_ws(" ", g, w)
+        )
+        if n >= low:
+            parts.append(grams)
     return F.concat(*parts)
 
 
@@ -104,34 +109,29 @@ class TfidfModel:
     idf: tuple[float, ...]
     config: TfidfConfig
 
-    def counts(self, docs: DataFrame, text: str) -> DataFrame:
-        """Adds ``_tf``: occurrences of each vocabulary term, in vocabulary order."""
-        model = CountVectorizerModel.from_vocabulary(list(self.terms), "terms", "_counts")
-        return model.transform(with_terms(docs, text, self.config)).withColumn(
-            "_tf", vector_to_array("_counts")
-        ).drop("_counts", "terms")
+    def counts(self, docs: DataFrame, text: str, out: str = "counts") -> DataFrame:
+        """Adds the vector of occurrences of each vocabulary term, in vocabulary order."""
+        model = CountVectorizerModel.from_vocabulary(list(self.terms), "terms", out)
+        return model.transform(with_terms(docs, text, self.config)).drop("terms")
 
     def transform(self, docs: DataFrame, text: str = "body_text", out: str = "tfidf") -> DataFrame:
-        """Adds the L2-normalised weights as ``array<double>``; no shuffle, any corpus."""
+        """Adds the L2-normalised weight vector; no shuffle, any corpus, rows kept as they are.
+
+        A document without vocabulary terms gets the zero vector.
+        """
         if not self.terms:
-            return docs.withColumn(out, F.array().cast("array<double>"))
+            return zero_block(docs, out, self.config.max_features)
         idf = F.array(*[F.lit(v) for v in self.idf])
         weighted = F.zip_with(
-            "_tf", idf, lambda c, i: F.when(c > 0, (F.lit(1.0) + F.log(c)) * i).otherwise(F.lit(0.0))
-        )
-        norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w))
-        return (
-            self.counts(docs, text)
-            .withColumn("_w", weighted)
-            .withColumn("_norm", norm)
-            .withColumn(out, F.when(F.col("_norm") > 0, F.transform("_w", lambda w: w / F.col("_norm"))).otherwise(F.col("_w")))
-            .drop("_tf", "_w", "_norm")
+            vector_to_array("_tf"), idf, lambda c, i: F.when(c > 0, (F.lit(1.0) + F.log(c)) * i).otherwise(F.lit(0.0))
         )
+        raw = self.counts(docs, text, "_tf").withColumn("_w", array_to_vector(weighted)).drop("_tf")
+        return Normalizer(p=2.0, inputCol="_w", outputCol=out).transform(raw).drop("_w")
 
     def transform_long(self, docs: DataFrame, key: str, text: str = "body_text") -> DataFrame:
         """Non-zero weights as (key, idx, weight)."""
         wide = self.transform(docs.select(key, text), text, "_v")
-        return wide.select(key, F.posexplode("_v").alias("idx", "weight")).where(F.col("weight") > 0)
+        return wide.select(key, F.posexplode(vector_to_array("_v")).alias("idx", "weight")).where(F.col("weight") > 0)
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t, float(v)) for i, (t, v) in enumerate(zip(self.terms, self.idf))]
@@ -151,14 +151,11 @@ def fit(docs: DataFrame, text: str = "body_text", config: TfidfConfig = TfidfCon
 
 def wide_columns(df: DataFrame, column: str = "tfidf", size: int = 500) -> DataFrame:
     """tfidf_0 … tfidf_{size-1} columns; indexes past the vocabulary are 0."""
-    cells = [F.coalesce(F.get(F.col(column), F.lit(i)), F.lit(0.0)).alias(f"tfidf_{i}") for i in range(size)]
-    return df.select("*", *cells).drop(column)
+    values = df.withColumn("_cells", vector_to_array(column)).drop(column)
+    cells = [F.coalesce(F.get("_cells", F.lit(i)), F.lit(0.0)).alias(f"tfidf_{i}") for i in range(size)]
+    return values.select(*[c for c in values.columns if c != "_cells"], *cells)
 
 
 def zero_block(df: DataFrame, out: str = "tfidf", size: int = 500) -> DataFrame:
     """The block used when no fitted vocabulary exists."""
-    return df.withColumn(out, F.array_repeat(F.lit(0.0), size))
-
-
-def as_vector(column: str = "tfidf") -> Column:
-    return array_to_vector(column)
+    return df.withColumn(out, array_to_vector(F.array_repeat(F.lit(0.0), size)))

@@ -68,9 +68,11 @@ def _utc(header: str):
     return when.astimezone(timezone.utc) if when.tzinfo else when.replace(tzinfo=timezone.utc)
 
 
-def _row(content: bytes) -> dict:
+def _row(content: bytes | None) -> dict:
+    if content is None:
+        return {"_error": "no content"}
     try:
-        msg = email.message_from_bytes(content)
+        msg = email.message_from_bytes(bytes(content))
         row = {col: str(msg.get(name, "")) for col, name in HEADERS.items()}
         row["sender_email"] = parseaddr(row["sender_raw"])[1]
         row["recipient"] = parseaddr(str(msg.get("To", "")))[1]
@@ -87,11 +89,10 @@ def _row(content: bytes) -> dict:
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _DECODED.split(", ")]
     for pdf in batches:
-        decoded = pd.DataFrame([_row(bytes(c)) for c in pdf["content"]], index=pdf.index).reindex(
-            columns=[c for c in columns if c not in ("path", "content")]
-        )
-        decoded["date"] = pd.to_datetime(decoded["date"], utc=True)
-        yield pd.concat([pdf[["path", "content"]], decoded.astype({"_error": object})], axis=1)[columns]
+        rows = [_row(c) for c in pdf["content"]]
+        out = {c: pd.Series([r.get(c) for r in rows], index=pdf.index, dtype=object) for c in columns[2:]}
+        out["date"] = pd.to_datetime(out["date"], utc=True)
+        yield pdf[["path", "content"]].assign(**out)
 
 
 def scan_messages(spark: SparkSession, path: str) -> DataFrame:

@@ -26,6 +26,8 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 def _kind(series: pd.Series) -> str:
     d = series.dtype
+    if isinstance(d, pd.api.extensions.ExtensionDtype):
+        d = getattr(d, "numpy_dtype", d)
     if d == object:
         first = next((v for v in series if v is not None and not (isinstance(v, float) and math.isnan(v))), None)
         return "null" if first is None else type(first).__name__
@@ -33,7 +35,7 @@ def _kind(series: pd.Series) -> str:
 
 
 def _cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return ""
     if isinstance(v, (bool, np.bool_)):
         return f"b{bool(v)}"
@@ -72,7 +74,7 @@ def main(argv: list[str]) -> int:
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session(
         "oracle", f"local[{os.environ.get('BENCH_CPUS', '8')}]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
