@@ -116,7 +116,6 @@ def _score(spark, sf):
 
 
 def _bands(spark, sf):
-    """PSI of every month of shipping quantities and prices against the first year."""
     base, cur = _pair(spark, sf)
     return D.psi_samples(base, cur).select("feature", psi_band("psi").alias("band"))
 
