@@ -1 +1,120 @@
-QUERIES = {}
+"""Training and scoring jobs with Spark ML over the mails."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..config import TfidfConfig
+from ..functions.features import SCALARS, SENDER
+from ..functions.labels import encode_label
+from ..operators import ranking, scaling, split, tfidf
+from ..operators.aggregates import scoring_summary, sender_features
+from ..plans import scoring, training
+from .views import JOB_TIME, emails, moment, table
+
+NAMES = SCALARS + SENDER
+
+
+def _labelled(spark, sf):
+    return emails(spark, sf).where(F.col("label").isNotNull())
+
+
+def _vectors(spark, sf):
+    """Feature vectors of all labelled mails, scaled on the training split, with the split flag."""
+    mails = _labelled(spark, sf)
+    rows = scoring.full_features(mails, sender_features(mails), None, "batch", keep=("email_id", "label"))
+    marked = split.stratified_split(rows.withColumn("label", encode_label("label")))
+    scaler = scaling.fit_scaler(marked.where(~F.col("is_test")), NAMES)
+    return scoring.vectors(marked, scaler).select("email_id", "label", "is_test", "features")
+
+
+def _sets(spark, sf):
+    rows = _vectors(spark, sf)
+    return training.with_weights(rows.where(~F.col("is_test"))), rows.where("is_test")
+
+
+def _metrics_of(classifier):
+    def run(spark, sf):
+        train, test = _sets(spark, sf)
+        return training.metrics(training.scored_rows(classifier.fit(train), test))
+
+    return run
+
+
+def _assembled(spark, sf):
+    """The full vector with the TF-IDF block; one row per mail with its length and mass."""
+    mails = emails(spark, sf)
+    model = tfidf.fit(table(spark, sf, "documents"), "text", TfidfConfig())
+    rows = scoring.full_features(mails, sender_features(mails), model, "batch")
+    v = vector_to_array("features")
+    return scoring.vectors(rows).select("email_id", F.size(v).alias("length"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("mass"))
+
+
+def _small_trials():
+    from dataclasses import replace
+
+    return [replace(t, n_estimators=5, max_depth=3 + i) for i, t in enumerate(training.sample_trials(2))]
+
+
+def _boosted(spark, sf):
+    train, test = _sets(spark, sf)
+    model = training.boosted_trees(_small_trials()[0], train.count()).fit(train)
+    return training.metrics(training.scored_rows(model, test))
+
+
+def _search(spark, sf):
+    train, test = _sets(spark, sf)
+    return ranking.leaderboard(training.random_search(train.cache(), test.cache(), _small_trials())[0])
+
+
+def _best(spark, sf):
+    train, test = _sets(spark, sf)
+    return ranking.best_trial(training.random_search(train.cache(), test.cache(), _small_trials())[0])
+
+
+def _refit(spark, sf):
+    train, test = _sets(spark, sf)
+    train = train.cache()
+    table_, _ = training.random_search(train, test.cache(), _small_trials())
+    return training.metrics(training.scored_rows(training.refit_best(train, _small_trials(), table_), test))
+
+
+def _forest(spark, sf):
+    train, _ = _sets(spark, sf)
+    return training.random_forest(trees=10, depth=5).fit(train)
+
+
+def _importances(spark, sf):
+    return training.feature_importances(spark, _forest(spark, sf), NAMES)
+
+
+def _score(spark, sf):
+    """All mails scored by a model fitted on the labelled ones."""
+    mails = emails(spark, sf)
+    senders = sender_features(mails)
+    labelled = _labelled(spark, sf)
+    rows = scoring.full_features(labelled, senders, None, "batch", keep=("email_id", "label"))
+    rows = rows.withColumn("label", encode_label("label"))
+    scaler = scaling.fit_scaler(rows, NAMES)
+    model = training.logistic_regression().fit(training.with_weights(scoring.vectors(rows, scaler)))
+    return scoring.score_table(mails, model, senders, None, scaler, moment(JOB_TIME), "1")
+
+
+QUERIES = {
+    "c26_feature_vectors": (_assembled, None),
+    "h06_logistic_regression": (_metrics_of(training.logistic_regression()), None),
+    "h07_random_forest": (_metrics_of(training.random_forest(trees=20, depth=6)), None),
+    "h08_boosted_trees": (_boosted, None),
+    "h09_random_search": (_search, None),
+    "h10_refit_best": (_refit, None),
+    "h16_feature_importances": (_importances, None),
+    "i01_spam_probability": (lambda spark, sf: _score(spark, sf).select("email_id", "spam_probability"), None),
+    "i03_stamped_predictions": (
+        lambda spark, sf: _score(spark, sf).select("email_id", "prediction_label", "prediction_timestamp", "model_version"),
+        None,
+    ),
+    "i06_scoring_job": (lambda spark, sf: scoring_summary(_score(spark, sf)), None),
+    "s01_top_features": (lambda spark, sf: ranking.top_features(_importances(spark, sf), 20), None),
+    "s03_best_trial": (_best, None),
+}

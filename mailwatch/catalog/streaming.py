@@ -1 +1,71 @@
-QUERIES = {}
+"""Windowed log statistics: the batch twins of the streaming jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.distribution import histogram
+from ..sources.logs import with_partitions
+from ..streaming import windows
+from .aggregates import _rounded
+from .drift import BASE_HIST_SQL
+from .monitoring import daily_values
+from .views import LOGS_SQL, LONG_SQL, baseline_long, logs, moment, with_views
+
+
+def _sliding(spark, sf):
+    hist = histogram(baseline_long(spark, sf))
+    hourly = windows.hourly_bin_counts(daily_values(spark, sf), hist)
+    return _rounded(windows.window_psi(windows.sliding_from_hourly(hourly, 24), hist))
+
+
+_SLIDING_SQL = """
+dv AS (
+  SELECT ts, 'value' AS feature, CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' AND user_id % 2 = 0 THEN value * 1.5e0 ELSE value END AS value FROM ev
+  UNION ALL SELECT ts, 'k', k FROM ev
+),
+edges AS (SELECT feature, min(bin_start) AS elo, max(bin_end) AS ehi FROM hist GROUP BY feature),
+hb AS (
+  SELECT date_trunc('hour', ts) AS h, feature, CAST(least(floor((value - elo) * 20.0e0 / (ehi - elo)), 19) AS INTEGER) AS bin, count(*) AS nc
+  FROM dv JOIN edges USING (feature) WHERE value >= elo AND value <= ehi GROUP BY 1, 2, 3
+),
+wb AS (SELECT h - back * INTERVAL 1 HOUR AS w, feature, bin, sum(nc) AS nc FROM hb, (SELECT unnest(range(24)) AS back) GROUP BY 1, 2, 3),
+wt AS (SELECT w, feature, sum(nc) AS t FROM wb GROUP BY 1, 2),
+grid AS (
+  SELECT wt.w, wt.feature, least(greatest(hist.density, 1e-6), 1.0e0) AS b, least(greatest(CAST(coalesce(nc, 0) AS DOUBLE) / t, 1e-6), 1.0e0) AS c
+  FROM wt JOIN hist ON hist.feature = wt.feature LEFT JOIN wb ON wb.w = wt.w AND wb.feature = wt.feature AND wb.bin = hist.bin
+)"""
+
+_COUNTERS_SQL = """
+SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end,
+  prediction, count(*) AS n, round(avg(latency_ms), 6) AS avg_latency_ms, max(latency_ms) AS max_latency_ms
+FROM logs GROUP BY 1, 2, 3"""
+
+QUERIES = {
+    "a06_log_partitions": (
+        lambda spark, sf: with_partitions(logs(spark, sf)).groupBy("year", "month", "day", "hour").agg(F.count(F.lit(1)).alias("n")),
+        with_views(
+            LOGS_SQL,
+            body="""SELECT strftime(timestamp, '%Y') AS year, strftime(timestamp, '%m') AS month, strftime(timestamp, '%d') AS day,
+                      strftime(timestamp, '%H') AS hour, count(*) AS n FROM logs GROUP BY 1, 2, 3, 4""",
+        ),
+    ),
+    "k03_sliding_drift": (
+        _sliding,
+        with_views(
+            LONG_SQL, BASE_HIST_SQL, _SLIDING_SQL,
+            body="""SELECT w AS window_start, w + INTERVAL 24 HOUR AS window_end, feature, round(sum((c / sc - b / sb) * ln((c / sc) / (b / sb))), 6) AS psi
+                    FROM (SELECT *, sum(b) OVER p AS sb, sum(c) OVER p AS sc FROM grid WINDOW p AS (PARTITION BY w, feature)) GROUP BY 1, 2, 3""",
+        ),
+    ),
+    "k04_prediction_counters": (
+        lambda spark, sf: _rounded(windows.prediction_counters(logs(spark, sf)), keep=("prediction",)),
+        with_views(LOGS_SQL, body=_COUNTERS_SQL),
+    ),
+    "k05_retained_series": (
+        lambda spark, sf: _rounded(
+            windows.retained(windows.prediction_counters(logs(spark, sf)), moment("2024-01-30 23:00:00")), keep=("prediction",)
+        ),
+        with_views(LOGS_SQL, body=f"SELECT * FROM ({_COUNTERS_SQL}) WHERE window_start >= TIMESTAMP '2024-01-29 23:00:00'"),
+    ),
+}
