@@ -8,6 +8,7 @@ from ..functions.features import SCALARS, feature_rows
 from ..operators import aggregates as A
 from ..operators import distribution as dist
 from ..operators.distribution import to_long
+from ..sources.tables import spread
 from .features import SQL_TRAIN
 from .joins import SENDERS_SQL
 from .views import (
@@ -40,7 +41,7 @@ def hist_sql(bins: int = 20) -> str:
 
 
 def _lines(spark, sf):
-    return to_long(table(spark, sf, "lineitem"), MEASURES)
+    return to_long(spread(table(spark, sf, "lineitem").select("l_orderkey", *MEASURES), "l_orderkey"), MEASURES)
 
 
 def _rounded(df, digits: int = 6, keep=("feature",)):
@@ -65,8 +66,8 @@ _PROFILE_SQL = " UNION ALL ".join(
     for c in ["subject", "x_mailer", "received_hop_count", "date", "body_html", "label"]
 )
 
-_STATS_SQL = """SELECT feature, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
-  round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75,
+_STATS_SQL = """SELECT feature, round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS std, round(min(value), 7) AS min, round(max(value), 7) AS max,
+  round(quantile_cont(value, 0.25), 7) AS q25, round(quantile_cont(value, 0.5), 7) AS median, round(quantile_cont(value, 0.75), 7) AS q75,
   count(*) FILTER (value IS NULL) AS missing_count, CAST(count(*) FILTER (value IS NULL) AS DOUBLE) / count(*) AS missing_ratio,
   count(DISTINCT value) AS unique_count FROM long GROUP BY feature"""
 
@@ -75,7 +76,7 @@ _MAIL_STATS = ["url_count", "word_count", "uppercase_ratio", "hour_of_day", "spa
 
 def _mail_statistics(spark, sf):
     rows = feature_rows(emails(spark, sf, html=False, labels=False), moment(JOB_TIME))
-    return _rounded(dist.feature_statistics(to_long(rows, _MAIL_STATS)))
+    return _rounded(dist.feature_statistics(to_long(rows, _MAIL_STATS)), 7)
 
 
 def _correlations(spark, sf):
@@ -108,7 +109,7 @@ QUERIES = {
         ),
     ),
     "f03_feature_statistics": (
-        lambda spark, sf: _rounded(dist.feature_statistics(_lines(spark, sf))),
+        lambda spark, sf: _rounded(dist.feature_statistics(_lines(spark, sf)), 7),
         with_views(LINE_LONG_SQL, body=_STATS_SQL),
     ),
     "f03_mail_statistics": (

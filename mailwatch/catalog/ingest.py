@@ -45,7 +45,8 @@ def raw_messages(spark, sf: str) -> DataFrame:
     )
     corpus = F.when(d % 4 == 0, "spam_2").when(d % 4 == 1, "hard_ham").otherwise("easy_ham")
     path = F.concat(F.lit("/raw/"), corpus, F.lit("/"), F.when(d % 19 == 0, ".").otherwise("m"), d.cast("string"))
-    return table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return tables.spread(docs, "doc_id").select(
         path.alias("path"),
         F.concat(head, F.when(d % 3 == 0, multi).otherwise(plain)).cast("binary").alias("content"),
     )

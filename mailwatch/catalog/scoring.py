@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ def _vectors(spark, sf):
     """Feature vectors of all labelled mails, scaled on the training split, with the split flag."""
     mails = _labelled(spark, sf)
     rows = scoring.full_features(mails, sender_features(mails), None, "batch", keep=("email_id", "label"))
-    marked = split.stratified_split(rows.withColumn("label", encode_label("label")))
+    # Scaling, weighting and splitting each read the features again.
+    rows = rows.withColumn("label", encode_label("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = split.stratified_split(rows)
     scaler = scaling.fit_scaler(marked.where(~F.col("is_test")), NAMES)
     return scoring.vectors(marked, scaler).select("email_id", "label", "is_test", "features")
 
@@ -37,7 +40,7 @@ def _sets(spark, sf):
 def _metrics_of(classifier):
     def run(spark, sf):
         train, test = _sets(spark, sf)
-        return training.metrics(training.scored_rows(classifier.fit(train), test))
+        return training.metrics(training.scored_rows(training.fit(classifier(train.count()), train), test))
 
     return run
 
@@ -59,30 +62,29 @@ def _small_trials():
 
 def _boosted(spark, sf):
     train, test = _sets(spark, sf)
-    model = training.boosted_trees(_small_trials()[0], train.count()).fit(train)
+    model = training.fit(training.boosted_trees(_small_trials()[0], train.count()), train)
     return training.metrics(training.scored_rows(model, test))
 
 
 def _search(spark, sf):
     train, test = _sets(spark, sf)
-    return ranking.leaderboard(training.random_search(train.cache(), test.cache(), _small_trials())[0])
+    return ranking.leaderboard(training.random_search(train, test, _small_trials())[0])
 
 
 def _best(spark, sf):
     train, test = _sets(spark, sf)
-    return ranking.best_trial(training.random_search(train.cache(), test.cache(), _small_trials())[0])
+    return ranking.best_trial(training.random_search(train, test, _small_trials())[0])
 
 
 def _refit(spark, sf):
     train, test = _sets(spark, sf)
-    train = train.cache()
-    table_, _ = training.random_search(train, test.cache(), _small_trials())
+    table_, _ = training.random_search(train, test, _small_trials())
     return training.metrics(training.scored_rows(training.refit_best(train, _small_trials(), table_), test))
 
 
 def _forest(spark, sf):
     train, _ = _sets(spark, sf)
-    return training.random_forest(trees=10, depth=5).fit(train)
+    return training.fit(training.random_forest(trees=10, depth=5), train)
 
 
 def _importances(spark, sf):
@@ -95,16 +97,17 @@ def _score(spark, sf):
     senders = sender_features(mails)
     labelled = _labelled(spark, sf)
     rows = scoring.full_features(labelled, senders, None, "batch", keep=("email_id", "label"))
-    rows = rows.withColumn("label", encode_label("label"))
+    rows = rows.withColumn("label", encode_label("label")).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = scaling.fit_scaler(rows, NAMES)
-    model = training.logistic_regression().fit(training.with_weights(scoring.vectors(rows, scaler)))
+    vectors = training.with_weights(scoring.vectors(rows, scaler))
+    model = training.fit(training.logistic_regression(rows.count()), vectors)
     return scoring.score_table(mails, model, senders, None, scaler, moment(JOB_TIME), "1")
 
 
 QUERIES = {
     "c26_feature_vectors": (_assembled, None),
-    "h06_logistic_regression": (_metrics_of(training.logistic_regression()), None),
-    "h07_random_forest": (_metrics_of(training.random_forest(trees=20, depth=6)), None),
+    "h06_logistic_regression": (_metrics_of(training.logistic_regression), None),
+    "h07_random_forest": (_metrics_of(lambda rows: training.random_forest(trees=20, depth=6)), None),
     "h08_boosted_trees": (_boosted, None),
     "h09_random_search": (_search, None),
     "h10_refit_best": (_refit, None),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import TfidfConfig
 from ..operators import tfidf
+from ..sources.tables import spread
 from .views import table
 
 CONFIG = TfidfConfig()
@@ -26,7 +27,7 @@ def _stop_words() -> list[str]:
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _sql(body: str) -> str:

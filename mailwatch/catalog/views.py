@@ -10,6 +10,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 SPLIT = "2024-01-16 00:00:00"
 JOB_TIME = "2024-02-01 00:00:00"
 
@@ -46,7 +48,7 @@ def mail_columns(doc: str = "doc_id") -> dict[str, Column]:
 
 def emails(spark: SparkSession, sf: str, html: bool = True, labels: bool = True) -> DataFrame:
     """documents as mails; ``html`` and ``labels`` join the other tables only when needed."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
     df = docs.select("doc_id", *[c.alias(n) for n, c in mail_columns().items()])
     if html:
         pages = table(spark, sf, "pages")

@@ -20,7 +20,6 @@ SPAM_PHRASES = [
 
 # Java's \s is ASCII-only unless (?U) is set, and never covers the four separator controls.
 _UNICODE = "(?U)"
-_SPACE = r"[\s\x1c-\x1f]"
 _NON_SPACE = r"[^\s\x1c-\x1f]"
 
 
@@ -34,16 +33,14 @@ def occurrences(c: Column | str, char: str) -> Column:
     return (F.length(t) - F.length(F.replace(t, F.lit(char), F.lit("")))).cast("long")
 
 
-def _kept_length(c: Column | str, drop_pattern: str) -> Column:
-    return F.length(F.regexp_replace(text_or_empty(c), drop_pattern, ""))
-
-
 def letter_count(c: Column | str) -> Column:
-    return _kept_length(c, r"[^\p{L}]+")
+    return F.length(F.regexp_replace(text_or_empty(c), r"[^\p{L}]+", ""))
 
 
 def uppercase_count(c: Column | str) -> Column:
-    return _kept_length(c, r"[^\p{Lu}]+")
+    # Capitals are few: cutting them out copies long stretches at once.
+    t = text_or_empty(c)
+    return F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
 
 
 def url_count(c: Column | str) -> Column:
@@ -52,19 +49,27 @@ def url_count(c: Column | str) -> Column:
 
 
 def address_count(c: Column | str) -> Column:
-    return F.regexp_count(text_or_empty(c), F.lit(ADDRESS_PATTERN)).cast("long")
+    # The pattern retries at every character of a word; most texts have no @ to look for.
+    t = text_or_empty(c)
+    found = F.when(t.contains("@"), F.regexp_count(t, F.lit(ADDRESS_PATTERN))).otherwise(F.lit(0))
+    return found.cast("long")
 
 
 def uppercase_ratio(c: Column | str) -> Column:
     return ratio(uppercase_count(c), letter_count(c))
 
 
+def words(c: Column | str) -> Column:
+    """Whitespace-separated words; one shared expression for count and mean length."""
+    return F.regexp_extract_all(text_or_empty(c), F.lit(f"{_UNICODE}{_NON_SPACE}+"), F.lit(0))
+
+
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(text_or_empty(c), F.lit(f"{_UNICODE}{_NON_SPACE}+")).cast("long")
+    return F.size(words(c)).cast("long")
 
 
 def avg_word_length(c: Column | str) -> Column:
-    return ratio(_kept_length(c, f"{_UNICODE}{_SPACE}+"), word_count(c))
+    return ratio(F.length(F.array_join(words(c), "")), F.size(words(c)))
 
 
 def char_count(c: Column | str) -> Column:

@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 def _cut_points(df: DataFrame, keys: Sequence[str], order: str, ranges: int) -> DataFrame:
     """At most ``ranges`` sorted cut points per group, as a local table.
 
+    Estimated on a tenth of the rows: cut points only balance work, all rows are ranked.
     Collected once: groups × ranges doubles, where groups are feature names. Collecting
     also pins them, so every branch of the plan sees the same cut points.
     """
     probs = [i / ranges for i in range(1, ranges)]
     rows = (
         df.where(F.col(order).isNotNull())
+        .sample(0.1, seed=7)
         .groupBy(*keys)
         .agg(F.array_sort(F.array_distinct(F.percentile_approx(order, probs, max(10 * ranges, 1000)))).alias("_cuts"))
         .collect()

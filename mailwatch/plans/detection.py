@@ -32,6 +32,11 @@ class Detection:
         self.current.unpersist()
 
 
+def pinned(small: DataFrame) -> DataFrame:
+    """A result of one row per feature (or bin), computed once and kept as a local table."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 def overall_drift(score: Column, drifted: Column, prediction: Column, config: DriftConfig = DriftConfig()) -> Column:
     return (
         (score >= config.score_warning)
@@ -55,7 +60,9 @@ def run_detection(
 ) -> Detection:
     """Window → long features → drift, quality, score, decision, alerts.
 
-    The flattened window is cached once (spilling to disk) because five branches read it.
+    The flattened window is cached (spilling to disk) because several branches read it. The
+    branch results hold at most one row per monitored feature or bin; they are computed
+    once, and report and alerts are derived from them without touching the log again.
     """
     names = D.monitored_features(features, config)
     window = in_window(logs, start, end)
@@ -65,12 +72,13 @@ def run_detection(
         current = current.persist(StorageLevel.MEMORY_AND_DISK)
     is_prediction = F.col("feature") == PREDICTION_FEATURE
     cur_features, cur_prediction = current.where(~is_prediction), current.where(is_prediction)
-    known = baseline.for_features(names)
-    scores = baseline.for_features([PREDICTION_FEATURE])
+    wanted = baseline.for_features([*names, PREDICTION_FEATURE])
+    stored = Baseline(pinned(wanted.stats), pinned(wanted.histogram))
+    known, scores = stored.for_features(names), stored.for_features([PREDICTION_FEATURE])
 
-    drift = D.feature_drift(known.stats, known.histogram, cur_features, config, baseline_rows)
-    prediction = D.prediction_drift(scores.stats, scores.histogram, cur_prediction, config)
-    quality = D.dataset_quality(cur_features, known.stats, names, config)
+    drift = pinned(D.feature_drift(known.stats, known.histogram, cur_features, config, baseline_rows))
+    prediction = pinned(D.prediction_drift(scores.stats, scores.histogram, cur_prediction, config))
+    quality = pinned(D.dataset_quality(cur_features, known.stats, names, config))
     drift_named = drift.select(F.lit(report_id).alias("report_id"), "*")
 
     row = D.drift_score(drift, prediction).withColumns(
@@ -81,7 +89,7 @@ def run_detection(
             "features_drifted_names": drift.where("drift_detected")
             .agg(F.array_sort(F.collect_list("feature")))  # bounded by the monitored features
             .scalar(),
-            "num_samples": cur_prediction.agg(F.count(F.lit(1))).scalar(),
+            "num_samples": F.lit(cur_prediction.count()).cast("long"),
         }
     ).withColumn("features_drifted_count", F.size("features_drifted_names").cast("long"))
     report = row.select(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Model, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -37,8 +38,12 @@ def with_weights(train: DataFrame, label: str = "label", out: str = "weight") ->
     return train.withColumn(out, F.when(F.col(label) == 1, w["weight_1"]).otherwise(w["weight_0"]))
 
 
-def logistic_regression(weight: str = "weight") -> LogisticRegression:
-    return LogisticRegression(maxIter=1000, featuresCol="features", labelCol="label", weightCol=weight, standardization=False)
+def logistic_regression(rows: int, weight: str = "weight", strength: float = 1.0) -> LogisticRegression:
+    """Unit L2 penalty on the summed loss; Spark averages the loss, hence the 1/rows."""
+    return LogisticRegression(
+        maxIter=1000, regParam=1.0 / (strength * max(rows, 1)), standardization=False,
+        featuresCol="features", labelCol="label", weightCol=weight,
+    )
 
 
 def random_forest(weight: str = "weight", trees: int = 100, depth: int = 15, seed: int = 42) -> RandomForestClassifier:
@@ -98,6 +103,15 @@ def scored_rows(model: Transformer, df: DataFrame, keep: Sequence[str] = ("label
     return model.transform(df).select(*keep, F.col("prediction").cast("int").alias("prediction"), p.alias("score"))
 
 
+def fit(classifier, train: DataFrame) -> Model:
+    """Fit with the training vectors cached (spilling to disk): every iteration reads them."""
+    rows = train.select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return classifier.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def evaluate(model: Transformer, test: DataFrame) -> Mapping[str, float]:
     return metrics(scored_rows(model, test)).first().asDict()
 
@@ -110,6 +124,8 @@ def random_search(
     Each trial is itself a distributed Spark job. Returns the trial table and the models.
     """
 
+    train = train.select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     size = train.count()
 
     def run(item):
@@ -122,6 +138,8 @@ def random_search(
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         results = list(pool.map(run, enumerate(trials)))
+    train.unpersist()
+    validation.unpersist()
     rows = [
         (n, t.max_depth, t.learning_rate, t.n_estimators, t.min_child_weight, t.subsample, t.colsample, t.gamma, f1, err)
         for n, t, f1, _, err in results
@@ -136,7 +154,7 @@ def random_search(
 def refit_best(train: DataFrame, trials: Sequence[TrialConfig], table: DataFrame) -> Model:
     """Refit on the same training split with the best trial's parameters."""
     best = table.where(F.col("f1").isNotNull()).orderBy(F.col("f1").desc(), "trial").first()
-    return boosted_trees(trials[best["trial"]], train.count()).fit(train)
+    return fit(boosted_trees(trials[best["trial"]], train.count()), train)
 
 
 def feature_importances(spark: SparkSession, model: Model, names: Sequence[str]) -> DataFrame:

@@ -17,6 +17,15 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str], schema:
     return reader.parquet(path).select(*columns)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than cores (one small file).
+
+    A scan with enough splits is returned as it is: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
