@@ -27,9 +27,9 @@ def _vectors(spark, sf):
     rows = scoring.full_features(mails, sender_features(mails), None, "batch", keep=("email_id", "label"))
     # Scaling, weighting and splitting each read the features again.
     rows = rows.withColumn("label", encode_label("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    marked = split.stratified_split(rows)
-    scaler = scaling.fit_scaler(marked.where(~F.col("is_test")), NAMES)
-    return scoring.vectors(marked, scaler).select("email_id", "label", "is_test", "features")
+    marked = split.stratified_split(scoring.vectors(rows)).select("email_id", "label", "is_test", "features")
+    scaler = scaling.fit_vector_scaler(marked.where(~F.col("is_test")))
+    return scaler.transform(marked)
 
 
 def _sets(spark, sf):
@@ -98,7 +98,7 @@ def _score(spark, sf):
     labelled = _labelled(spark, sf)
     rows = scoring.full_features(labelled, senders, None, "batch", keep=("email_id", "label"))
     rows = rows.withColumn("label", encode_label("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    scaler = scaling.fit_scaler(rows, NAMES)
+    scaler = scaling.fit_vector_scaler(scoring.vectors(rows))
     vectors = training.with_weights(scoring.vectors(rows, scaler))
     model = training.fit(training.logistic_regression(rows.count()), vectors)
     return scoring.score_table(mails, model, senders, None, scaler, moment(JOB_TIME), "1")

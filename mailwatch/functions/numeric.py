@@ -19,8 +19,8 @@ def nan_to_null(c: Column | str) -> Column:
 def finite_or_zero(c: Column | str) -> Column:
     """NULL, NaN and both infinities become 0."""
     c = as_column(c).cast("double")
-    bad = c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return F.when(bad, F.lit(0.0)).otherwise(c)
+    # NULL compares to NULL and NaN is larger than everything, so only finite values pass.
+    return F.when(F.abs(c) < F.lit(float("inf")), c).otherwise(F.lit(0.0))
 
 
 def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,17 +80,35 @@ def assemble(df: DataFrame, before: Sequence[str], block: str | None, after: Seq
     NULL, NaN and ±Inf become 0. The assembler stores whichever of the dense and sparse
     forms is smaller.
     """
-    head = F.array(*[finite_or_zero(c) for c in before])
-    df = df.withColumn("_head", array_to_vector(head))
-    inputs = ["_head"]
-    if block:
-        inputs.append(block)
-    if after:
-        df = df.withColumn("_tail", array_to_vector(F.array(*[finite_or_zero(c) for c in after])))
-        inputs.append("_tail")
-    return VectorAssembler(inputCols=inputs, outputCol=out).transform(df).drop("_head", "_tail")
-
-
-def check_length(scaler: Scaler, names: Sequence[str]) -> None:
-    if len(scaler.columns) != len(names):
-        raise ValueError(f"scaler has {len(scaler.columns)} columns, features have {len(names)}")
+    clean = {f"_v_{c}": finite_or_zero(c) for c in [*before, *after]}
+    inputs = [*(f"_v_{c}" for c in before), *([block] if block else []), *(f"_v_{c}" for c in after)]
+    return VectorAssembler(inputCols=inputs, outputCol=out).transform(df.withColumns(clean)).drop(*clean)
+
+
+@dataclass(frozen=True)
+class VectorScaler:
+    """Mean and population standard deviation of every vector component."""
+
+    mean: tuple[float, ...]
+    std: tuple[float, ...]
+
+    def transform(self, df: DataFrame, column: str = "features") -> DataFrame:
+        """(x − mean)/std per component, non-finite results 0; row-local."""
+        parts = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(self.mean, self.std)])
+        scaled = F.zip_with(vector_to_array(column), parts, lambda x, p: finite_or_zero((x - p["m"]) / p["s"]))
+        return df.withColumn(column, array_to_vector(scaled))
+
+
+def fit_vector_scaler(train: DataFrame, column: str = "features") -> VectorScaler:
+    """One mergeable aggregate over the whole vector, however wide; zero std becomes 1."""
+    s = train.select(Summarizer.metrics("count", "mean", "variance").summary(F.col(column)).alias("s")).first()["s"]
+    n = float(s["count"])
+    shrink = (n - 1) / n if n > 1 else 0.0  # the summarizer reports the sample variance
+    std = [(float(v) * shrink) ** 0.5 or 1.0 for v in s["variance"]]
+    return VectorScaler(tuple(float(m) for m in s["mean"]), tuple(std))
+
+
+def check_length(scaler: VectorScaler, size: int) -> None:
+    """A vector of another length than the fitted one is an error, not a silent misalignment."""
+    if len(scaler.mean) != size:
+        raise ValueError(f"scaler was fitted on {len(scaler.mean)} components, vectors have {size}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.features import PROFILES, SCALARS, SENDER, scalar_columns
 from ..functions.labels import decide, label_name
 from ..operators.joins import lookup_with_defaults
-from ..operators.scaling import Scaler, assemble
+from ..operators.scaling import VectorScaler, assemble
 from ..operators.tfidf import TfidfModel
 
 
@@ -52,17 +52,15 @@ def full_features(
     return lookup_with_defaults(df, senders, ["sender_domain"], defaults)
 
 
-def vectors(features: DataFrame, scaler: Scaler | None = None) -> DataFrame:
-    """The feature vector in fixed order; scalar blocks scaled when a scaler is given."""
+def vectors(features: DataFrame, scaler: VectorScaler | None = None) -> DataFrame:
+    """The feature vector in fixed order, scaled when a scaler is given."""
     block = "tfidf" if "tfidf" in features.columns else None
-    if scaler is not None:
-        features = scaler.transform(features, prefix="z_")
-        return assemble(features, [f"z_{c}" for c in SCALARS], block, [f"z_{c}" for c in SENDER])
-    return assemble(features, SCALARS, block, SENDER)
+    raw = assemble(features, SCALARS, block, SENDER)
+    return raw if scaler is None else scaler.transform(raw)
 
 
 def score_table(
-    emails: DataFrame, model: Transformer, senders: DataFrame | None, tfidf: TfidfModel | None, scaler: Scaler | None,
+    emails: DataFrame, model: Transformer, senders: DataFrame | None, tfidf: TfidfModel | None, scaler: VectorScaler | None,
     timestamp: Column, model_version: str, threshold: float = 0.7,
 ) -> DataFrame:
     """The whole job as one lazy plan: narrow feature projections, one sender lookup."""
