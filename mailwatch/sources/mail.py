@@ -7,16 +7,21 @@ and labels are native expressions around it.
 from __future__ import annotations
 
 import email
+import sys
 from collections.abc import Iterator
 from datetime import timezone
 from email.utils import parseaddr, parsedate_to_datetime
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import structure
 
+# The decoder travels to the executors by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEADERS = {
     "subject": "Subject",
     "sender_raw": "From",
