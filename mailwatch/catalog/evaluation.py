@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import GateConfig
+from ..functions.numeric import finite_or_zero
 from ..operators import evaluation as E
 from ..operators import gates, scaling, split
 from .aggregates import MEASURES, _rounded
 from .joins import ENTITIES_SQL, _entities
-from .views import EMAILS_SQL, SCORED_SQL, scored, table, with_views
+from .views import EMAILS_SQL, JOB_TIME, SCORED_SQL, moment, scored, table, with_views
 
 METRICS_SQL = """
 {name} AS (
@@ -86,6 +87,20 @@ def _r(columns: list[str]) -> str:
 
 _M = ["accuracy", "precision", "recall", "f1", "auc_roc"]
 
+def _cleaned(spark, sf):
+    """Order prices with missing, infinite and not-a-number cells by priority."""
+    level = F.left("o_orderpriority", F.lit(1))
+    odd = (
+        F.when(level == "1", F.lit(None)).when(level == "2", F.lit(float("nan"))).when(level == "3", F.lit(float("-inf")))
+        .otherwise(F.col("o_totalprice"))
+    )
+    return table(spark, sf, "orders").select("o_orderkey", finite_or_zero(odd).alias("price"))
+
+
+def _registry(spark, sf):
+    return _rounded(gates.registry_row(_metrics(spark, sf), "spam-detector", "7", 0.1, moment(JOB_TIME)), 4, keep=())
+
+
 QUERIES = {
     "h02_stratified_split": (_split, with_views(EMAILS_SQL, ENTITIES_SQL, body=_split_sql("entities"))),
     "h02_stratified_split_orders": (
@@ -98,6 +113,19 @@ QUERIES = {
         + ", ".join(f"round(({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER (), 6) AS {m}" for m in MEASURES)
         + " FROM lineitem",
     ),
+    "h05_finite_or_zero": (
+        _cleaned,
+        "SELECT o_orderkey, CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3') THEN 0.0e0 ELSE o_totalprice END AS price FROM orders",
+    ),
+    "h23_registry_row": (
+        _registry,
+        with_views(
+            SCORED_SQL, A_SQL,
+            body=f"""SELECT 'spam-detector' AS model_name, '7' AS model_version, 'Staging' AS stage, TIMESTAMP '{JOB_TIME}' AS registered_at,
+                       round(f1, 4) AS test_f1, round(auc_roc, 4) AS test_auc_roc, round(precision, 4) AS test_precision,
+                       round(recall, 4) AS test_recall FROM ma WHERE f1 >= 0.1""",
+        ),
+    ),
     "h11_metrics": (
         lambda spark, sf: _rounded(_metrics(spark, sf), keep=()),
         with_views(SCORED_SQL, A_SQL, body=f"SELECT {_r(_M)} FROM ma"),

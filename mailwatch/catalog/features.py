@@ -147,7 +147,7 @@ def _iso_dates(spark, sf):
     text = F.concat(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     broken = F.when(F.col("doc_id") % 3 == 0, F.lit("not a date")).otherwise(text)
     parsed = clock.parse_iso(broken)
-    return df.select("email_id", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+    return df.select("email_id", F.unix_seconds(parsed).cast("double").alias("epoch"))
 
 
 QUERIES = {f"{_CODES[f]}_{f}": _one(f) for f in features.SCALARS}
@@ -163,7 +163,7 @@ QUERIES |= {
         _iso_dates,
         with_views(
             EMAILS_SQL,
-            body="SELECT email_id, CASE WHEN doc_id % 3 <> 0 THEN strftime(date, '%Y-%m-%d %H:%M:%S') END AS parsed FROM emails",
+            body="SELECT email_id, CASE WHEN doc_id % 3 <> 0 THEN CAST(epoch(date) AS DOUBLE) END AS epoch FROM emails",
         ),
     ),
     "c29_all_caps_by_profile": _variant(["subject_all_caps"]),

@@ -153,16 +153,31 @@ SELECT event_id, e.user_id, e.ts AS event_timestamp,
 FROM events e ASOF LEFT JOIN history h ON e.user_id = h.user_id AND e.ts >= h.event_timestamp"""
 
 
-def _service(spark, sf):
-    """Two views of one source and a service over them, retrieved as of each event."""
+def _user_store(spark, sf) -> FeatureStore:
+    """Two views of one source and a service over them."""
     user = Entity("user", ("user_id",))
     views = (
         FeatureView("activity", user, ("n_events",), TTL, "user_history"),
         FeatureView("level", user, ("mean_value",), TTL, "user_history"),
     )
-    store = FeatureStore({"user_history": feature_history(spark, sf)}, views, (FeatureService("users", ("level", "activity")),))
-    entities = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").alias("event_timestamp"))
-    return store.get(entities, "users").withColumn("n_events", F.col("n_events").cast("double"))
+    return FeatureStore({"user_history": feature_history(spark, sf)}, views, (FeatureService("users", ("level", "activity")),))
+
+
+def _event_entities(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", F.col("ts").alias("event_timestamp"))
+
+
+def _references(spark, sf):
+    return _user_store(spark, sf).get(_event_entities(spark, sf), references=["level:mean_value"])
+
+
+def _view_statistics(spark, sf):
+    return _user_store(spark, sf).statistics(spark).select("view", "features", "ttl_days", F.col("rows").alias("source_rows"))
+
+
+def _service(spark, sf):
+    """The service retrieved as of each event."""
+    return _user_store(spark, sf).get(_event_entities(spark, sf), "users").withColumn("n_events", F.col("n_events").cast("double"))
 
 
 def _materialized(spark, sf):
@@ -222,6 +237,27 @@ def _labels_encoded(spark, sf):
 
 _MIXED = "CASE WHEN doc_id % 3 = 0 THEN upper(label) ELSE label END"
 
+def _numeric_columns(spark, sf):
+    rows = table(spark, sf, "orders")
+    return rows.select("o_orderkey", *predicates.feature_columns(rows, exclude=["o_orderkey"]))
+
+
+def _default_columns(spark, sf):
+    """Mail columns where present, defaults where not."""
+    rows = predicates.with_default(table(spark, sf, "documents"), "event_timestamp", moment(JOB_TIME))
+    return rows.select(
+        "doc_id",
+        "event_timestamp",
+        predicates.column_or(rows, "lang", F.lit("none")).alias("lang"),
+        predicates.column_or(rows, "x_mailer", F.lit("none")).alias("x_mailer"),
+    )
+
+
+def _common(spark, sf):
+    docs, marks = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return marks.select(*joins.common_columns(docs, marks)).join(docs.select("doc_id", "lang"), "doc_id")
+
+
 QUERIES = {
     "e01_scalars_with_tfidf": (_scalars_with_tfidf, _E1_SQL),
     "e02_entity_features": (
@@ -289,6 +325,32 @@ QUERIES = {
         _service,
         with_views(FEATURE_HISTORY_SQL, body=_PIT_BODY),
     ),
+    "j03_feature_references": (
+        _references,
+        with_views(FEATURE_HISTORY_SQL, body=f"SELECT event_id, user_id, event_timestamp, mean_value FROM ({_PIT_BODY})"),
+    ),
+    "f19_feature_view_statistics": (
+        _view_statistics,
+        with_views(
+            FEATURE_HISTORY_SQL,
+            body="""SELECT v AS view, CAST(1 AS INTEGER) AS features, CAST(3 AS INTEGER) AS ttl_days, n AS source_rows
+                    FROM (SELECT unnest(['activity', 'level']) AS v), (SELECT count(*) AS n FROM history)""",
+        ),
+    ),
+    "p04_common_columns": (_common, "SELECT doc_id, lang FROM labels JOIN documents USING (doc_id)"),
+    "p05_required_columns": (
+        lambda spark, sf: predicates.require_columns(table(spark, sf, "labels"), ["doc_id", "quality"]).select("doc_id", "quality"),
+        "SELECT doc_id, quality FROM labels",
+    ),
+    "p08_default_timestamp": (
+        lambda spark, sf: _default_columns(spark, sf).select("doc_id", "event_timestamp"),
+        f"SELECT doc_id, TIMESTAMP '{JOB_TIME}' AS event_timestamp FROM documents",
+    ),
+    "p09_numeric_features": (_numeric_columns, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"),
+    "p11_defaulted_columns": (
+        lambda spark, sf: _default_columns(spark, sf).drop("event_timestamp"),
+        "SELECT doc_id, lang, 'none' AS x_mailer FROM documents",
+    ),
     "p01_union_parts": (
         lambda spark, sf: joins.union_parts(
             [

@@ -7,11 +7,14 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions.labels import confidence_online, confidence_result, decide, label_name
+from ..functions.text import word_count
 from ..operators.gates import latency_gate
 from ..plans import log_analytics as L
-from ..sources.logs import bad_feature_rows, flatten_features, in_window
+from ..plans.scoring import decided
+from ..sources.logs import bad_feature_rows, flatten_features, in_window, log_rows, parsed_features
 from .aggregates import _rounded
-from .views import LOGS_SQL, logs, moment, with_views
+from .features import SQL_TRAIN
+from .views import JOB_TIME, LOGS_SQL, PREDICTIONS_SQL, logs, moment, predictions, with_views
 
 START, END = "2024-01-10 22:00:00", "2024-01-11 06:00:00"
 MONTH = ("2024-01-01 00:00:00", "2024-01-31 00:00:00")
@@ -54,6 +57,18 @@ def _decisions(spark, sf):
     return logs(spark, sf).select("inference_id", label.alias("spam_label"), label_name(label).alias("prediction_label"))
 
 
+def _log_rows(spark, sf):
+    """Scored documents as log rows, their feature map read back."""
+    rows = decided(predictions(spark, sf).drop("spam_label"), moment(JOB_TIME), "1").withColumn(
+        "n_words", word_count("body_text")
+    )
+    log = log_rows(rows, ["n_words"], "spam-detector", "1", moment(JOB_TIME), F.col("email_id"), F.lit(2.5))
+    return log.select(
+        "inference_id", "timestamp", "model_version", "prediction", "latency_ms", "environment", "sender_domain",
+        F.element_at(parsed_features(), "n_words").alias("n_words"),
+    )
+
+
 QUERIES = {
     "a07_log_window": (
         lambda spark, sf: in_window(logs(spark, sf), moment(START), moment(END)).select("inference_id", "timestamp", "prediction"),
@@ -119,6 +134,15 @@ QUERIES = {
                       CASE WHEN k >= 70 THEN 'spam' ELSE 'ham' END AS prediction_label FROM logs""",
         ),
     ),
+    "i07_log_rows": (
+        _log_rows,
+        with_views(
+            PREDICTIONS_SQL,
+            body=f"""SELECT email_id AS inference_id, TIMESTAMP '{JOB_TIME}' AS timestamp, '1' AS model_version,
+                       CASE WHEN spam_label = 1 THEN 'spam' ELSE 'ham' END AS prediction, 2.5e0 AS latency_ms, 'production' AS environment,
+                       '' AS sender_domain, CAST({SQL_TRAIN["word_count"]} AS DOUBLE) AS n_words FROM predictions""",
+        ),
+    ),
     "i04_confidence_online": (
         lambda spark, sf: logs(spark, sf).select("inference_id", confidence_online("spam_probability").alias("confidence")),
         with_views(

@@ -120,4 +120,5 @@ QUERIES = {
     "i06_scoring_job": (lambda spark, sf: scoring_summary(_score(spark, sf)), None),
     "s01_top_features": (lambda spark, sf: ranking.top_features(_importances(spark, sf), 20), None),
     "s03_best_trial": (_best, None),
+    "s05_leaderboard": (lambda spark, sf: _search(spark, sf).select("trial", "max_depth", "f1"), None),
 }

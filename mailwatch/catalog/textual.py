@@ -168,5 +168,12 @@ QUERIES = {
                 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM tf) t USING (doc_id)"""),
     ),
     "d09_weights": (_weights, _sql("SELECT doc_id, idx, round(weight, 6) AS weight FROM weights")),
+    "d10_zero_block": (
+        lambda spark, sf: tfidf.zero_block(_docs(spark, sf), "v").select(
+            "doc_id", F.size(vector_to_array("v")).alias("size"),
+            F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).alias("mass"),
+        ),
+        "SELECT doc_id, CAST(500 AS INTEGER) AS size, 0.0e0 AS mass FROM documents",
+    ),
     "d09_weights_unseen_corpus": (_unseen, _sql("SELECT 1").replace("SELECT 1", "").rstrip() + _UNSEEN_SQL),
 }

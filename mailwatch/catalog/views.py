@@ -53,7 +53,9 @@ def emails(spark: SparkSession, sf: str, html: bool = True, labels: bool = True)
     if html:
         pages = table(spark, sf, "pages")
         n_pages = pages.agg(F.count(F.lit(1))).scalar()
-        df = df.withColumn("page_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % n_pages)).join(
+        # Mails without a page get distinct keys that match nothing: NULLs would share one partition.
+        page = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % n_pages).otherwise(-1 - F.col("doc_id"))
+        df = df.withColumn("page_id", page).join(
             pages.select("page_id", F.col("html").alias("body_html")), "page_id", "left"
         )
     else:

@@ -62,7 +62,7 @@ def point_in_time_join(
     entity_ts: str = "event_timestamp",
     feature_ts: str = "event_timestamp",
     tie: Sequence[str] = (),
-    slot: str = "day",
+    slot: str = "hour",
 ) -> DataFrame:
     """Latest feature row per entity with feature_ts ≤ entity_ts and age ≤ ttl.
 

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch of raw messages must fit a Python worker: 500 messages, not the default 10,000 rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 
