@@ -69,14 +69,14 @@ def two_sample_table(baseline: DataFrame, current: DataFrame, ranges: int | None
     both = _stacked(baseline, current)
     counts = value_counts(both, ["feature"], "value", _side_counts())
     run = running_totals(counts, ["feature"], "value", ["n_base", "n_cur"], ranges, source=both)
-    sides = _side_totals(both).select("feature", "total_base", "total_cur")
-    return run.join(F.broadcast(sides), "feature").select(
+    base, cur = F.col("total_n_base"), F.col("total_n_cur")
+    return run.select(
         "feature",
         "value",
-        "total_base",
-        "total_cur",
-        ratio(F.col("before_n_base") + F.col("n_base"), F.col("total_base")).alias("cdf_base"),
-        ratio(F.col("before_n_cur") + F.col("n_cur"), F.col("total_cur")).alias("cdf_cur"),
+        base.alias("total_base"),
+        cur.alias("total_cur"),
+        ratio(F.col("before_n_base") + F.col("n_base"), base).alias("cdf_base"),
+        ratio(F.col("before_n_cur") + F.col("n_cur"), cur).alias("cdf_cur"),
         (F.col("next_value") - F.col("value")).alias("step"),
     )
 

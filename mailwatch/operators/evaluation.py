@@ -23,11 +23,8 @@ def _score_steps(scored: DataFrame, label: str, score: str, ranges: int | None)
     counts = rows.groupBy("feature", "value").agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
     )
-    totals = rows.groupBy("feature").agg(
-        F.count_if(F.col("_y") == 1).alias("p_total"), F.count_if(F.col("_y") == 0).alias("n_total")
-    )
     run = running_totals(counts, ["feature"], "value", ["pos", "neg"], ranges, source=rows)
-    return run.join(F.broadcast(totals), "feature")
+    return run.withColumnsRenamed({"total_pos": "p_total", "total_neg": "n_total"})
 
 
 def auc(scored: DataFrame, label: str = "label", score: str = "score", ranges: int | None = None) -> DataFrame:

@@ -57,8 +57,8 @@ def running_totals(
 ) -> DataFrame:
     """Per group and in ascending ``order``: totals before each row, and the next order value.
 
-    ``df`` holds one row per (keys, order). Adds ``before_<measure>`` for every measure and
-    ``next_<order>`` (NULL on the last row). ``source`` may name the table the cut points
+    ``df`` holds one row per (keys, order). Adds ``before_<measure>`` and ``total_<measure>``
+    (of the whole group) for every measure, and ``next_<order>`` (NULL on the last row). ``source`` may name the table the cut points
     are estimated from (defaults to ``df``).
     """
     spark = df.sparkSession
@@ -80,6 +80,7 @@ def running_totals(
     )
     # One row per (feature, range): at most `ranges` rows in any window partition.
     earlier = Window.partitionBy(*keys).orderBy("_range")
+    whole = Window.partitionBy(*keys)
     zero = F.lit(0)
     offsets = per_range.select(
         *keys,
@@ -90,6 +91,7 @@ def running_totals(
             ).alias(f"_off_{m}")
             for m in measures
         ],
+        *[F.sum(f"_sum_{m}").over(whole).alias(f"total_{m}") for m in measures],
         F.lead("_first").over(earlier).alias("_next_first"),
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
@@ -105,6 +107,7 @@ def running_totals(
     return joined.select(
         *df.columns,
         *[(F.col(f"_off_{m}") + F.col(f"_in_{m}")).alias(f"before_{m}") for m in measures],
+        *[f"total_{m}" for m in measures],
         F.coalesce("_next_in", "_next_first").alias(f"next_{order}"),
     )
 
@@ -122,11 +125,8 @@ def value_counts(long: DataFrame, keys: Sequence[str], value: str, sides: dict[s
 def ecdf(long: DataFrame, keys: Sequence[str] = ("feature",), value: str = "value", ranges: int | None = None) -> DataFrame:
     """Empirical distribution: per distinct value its count, count before it, and F(value)."""
     counts = value_counts(long, keys, value)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    run = running_totals(counts, keys, value, ["n"], ranges, source=long)
-    return run.join(F.broadcast(totals), list(keys)).withColumn(
-        "cdf", (F.col("before_n") + F.col("n")).cast("double") / F.col("total")
-    )
+    run = running_totals(counts, keys, value, ["n"], ranges, source=long).withColumnRenamed("total_n", "total")
+    return run.withColumn("cdf", (F.col("before_n") + F.col("n")).cast("double") / F.col("total"))
 
 
 def exact_quantiles(
