@@ -27,8 +27,6 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            # Small files hold many rows here; smaller splits keep all cores busy.
-            "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "262144",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

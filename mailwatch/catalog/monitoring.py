@@ -217,7 +217,7 @@ def detect(spark, sf):
     wide, base = _log_baseline(spark, sf)
     return detection.run_detection(
         base, logs(spark, sf), ["value", "k", "absent"], moment("2024-01-16 00:00:00"), moment("2024-01-31 00:00:00"),
-        "drift-20240131", "spam-detector", "1", baseline_rows=to_long(wide, ["value", "k"]), cache=False,
+        "drift-20240131", "spam-detector", "1", baseline_rows=to_long(wide, ["value", "k"]),
     )
 
 
