@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -32,9 +33,11 @@ class Detection:
         self.current.unpersist()
 
 
-def pinned(small: DataFrame) -> DataFrame:
-    """A result of one row per feature (or bin), computed once and kept as a local table."""
-    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+def pinned(*small: DataFrame) -> list[DataFrame]:
+    """Results of one row per feature (or bin), computed side by side and kept as local tables."""
+    with ThreadPoolExecutor(len(small)) as pool:
+        rows = list(pool.map(lambda df: df.collect(), small))
+    return [df.sparkSession.createDataFrame(r, df.schema) for df, r in zip(small, rows)]
 
 
 def overall_drift(score: Column, drifted: Column, prediction: Column, config: DriftConfig = DriftConfig()) -> Column:
@@ -71,14 +74,20 @@ def run_detection(
     if cache:
         current = current.persist(StorageLevel.MEMORY_AND_DISK)
     is_prediction = F.col("feature") == PREDICTION_FEATURE
-    cur_features, cur_prediction = current.where(~is_prediction), current.where(is_prediction)
     wanted = baseline.for_features([*names, PREDICTION_FEATURE])
-    stored = Baseline(pinned(wanted.stats), pinned(wanted.histogram))
-    known, scores = stored.for_features(names), stored.for_features([PREDICTION_FEATURE])
-
-    drift = pinned(D.feature_drift(known.stats, known.histogram, cur_features, config, baseline_rows))
-    prediction = pinned(D.prediction_drift(scores.stats, scores.histogram, cur_prediction, config))
-    quality = pinned(D.dataset_quality(cur_features, known.stats, names, config))
+    stored = Baseline(*pinned(wanted.stats, wanted.histogram))
+    known = stored.for_features(names)
+
+    # The probability is measured like one more feature, in the same job.
+    measured, quality, samples = pinned(
+        D.feature_drift(stored.stats, stored.histogram, current, config, baseline_rows),
+        D.dataset_quality(current.where(~is_prediction), known.stats, names, config),
+        current.where(is_prediction).agg(F.count(F.lit(1)).alias("n")),
+    )
+    drift = measured.where(~is_prediction)
+    prediction = measured.where(is_prediction).select(
+        "psi", "mean_shift", "baseline_mean", "current_mean", (F.col("psi") > config.prediction_psi).alias("drift_detected")
+    )
     drift_named = drift.select(F.lit(report_id).alias("report_id"), "*")
 
     row = D.drift_score(drift, prediction).withColumns(
@@ -89,7 +98,7 @@ def run_detection(
             "features_drifted_names": drift.where("drift_detected")
             .agg(F.array_sort(F.collect_list("feature")))  # bounded by the monitored features
             .scalar(),
-            "num_samples": F.lit(cur_prediction.count()).cast("long"),
+            "num_samples": samples.scalar(),
         }
     ).withColumn("features_drifted_count", F.size("features_drifted_names").cast("long"))
     report = row.select(
