@@ -32,9 +32,9 @@ def _vectors(spark, sf):
     return scaler.transform(marked)
 
 
-def _sets(spark, sf):
+def _sets(spark, sf, scheme: str = "balanced"):
     rows = _vectors(spark, sf)
-    return training.with_weights(rows.where(~F.col("is_test"))), rows.where("is_test")
+    return training.with_weights(rows.where(~F.col("is_test")), scheme), rows.where("is_test")
 
 
 def _metrics_of(classifier):
@@ -61,23 +61,23 @@ def _small_trials():
 
 
 def _boosted(spark, sf):
-    train, test = _sets(spark, sf)
+    train, test = _sets(spark, sf, "positive")
     model = training.fit(training.boosted_trees(_small_trials()[0], train.count()), train)
     return training.metrics(training.scored_rows(model, test))
 
 
 def _search(spark, sf):
-    train, test = _sets(spark, sf)
+    train, test = _sets(spark, sf, "positive")
     return ranking.leaderboard(training.random_search(train, test, _small_trials())[0])
 
 
 def _best(spark, sf):
-    train, test = _sets(spark, sf)
+    train, test = _sets(spark, sf, "positive")
     return ranking.best_trial(training.random_search(train, test, _small_trials())[0])
 
 
 def _refit(spark, sf):
-    train, test = _sets(spark, sf)
+    train, test = _sets(spark, sf, "positive")
     table_, _ = training.random_search(train, test, _small_trials())
     return training.metrics(training.scored_rows(training.refit_best(train, _small_trials(), table_), test))
 
@@ -92,16 +92,17 @@ def _importances(spark, sf):
 
 
 def _score(spark, sf):
-    """All mails scored by a model fitted on the labelled ones."""
+    """All mails scored on the full vector by a forest fitted on the labelled ones."""
     mails = emails(spark, sf)
     senders = sender_features(mails)
-    labelled = _labelled(spark, sf)
-    rows = scoring.full_features(labelled, senders, None, "batch", keep=("email_id", "label"))
-    rows = rows.withColumn("label", encode_label("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    scaler = scaling.fit_vector_scaler(scoring.vectors(rows))
-    vectors = training.with_weights(scoring.vectors(rows, scaler))
-    model = training.fit(training.logistic_regression(rows.count()), vectors)
-    return scoring.score_table(mails, model, senders, None, scaler, moment(JOB_TIME), "1")
+    words = tfidf.fit(mails)
+    rows = scoring.full_features(_labelled(spark, sf), senders, words, "batch", keep=("email_id", "label"))
+    train = scoring.vectors(rows.withColumn("label", encode_label("label"))).select("label", "features")
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    scaler = scaling.fit_vector_scaler(train)
+    model = training.fit(training.random_forest(trees=10, depth=5), training.with_weights(scaler.transform(train)))
+    train.unpersist()
+    return scoring.score_table(mails, model, senders, words, scaler, moment(JOB_TIME), "1")
 
 
 QUERIES = {

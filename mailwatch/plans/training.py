@@ -32,10 +32,14 @@ def training_sets(
     )
 
 
-def with_weights(train: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Balanced class weights n/(2·n_c)."""
-    w = class_weights(train, label).select(F.struct("weight_0", "weight_1")).scalar()
-    return train.withColumn(out, F.when(F.col(label) == 1, w["weight_1"]).otherwise(w["weight_0"]))
+def with_weights(train: DataFrame, scheme: str = "balanced", label: str = "label", out: str = "weight") -> DataFrame:
+    """Class weights: ``balanced`` is n/(2·n_c), ``positive`` is (1−r)/r for the positive class."""
+    w = class_weights(train, label).first()
+    negative, positive = {
+        "balanced": (w["weight_0"], w["weight_1"]),
+        "positive": (1.0, w["positive_weight"]),
+    }[scheme]
+    return train.withColumn(out, F.when(F.col(label) == 1, F.lit(positive)).otherwise(F.lit(negative)))
 
 
 def logistic_regression(rows: int, weight: str = "weight", strength: float = 1.0) -> LogisticRegression:

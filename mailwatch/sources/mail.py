@@ -44,7 +44,7 @@ def _decode(part) -> str | None:
         return None
     try:
         return payload.decode(part.get_content_charset() or "utf-8", errors="replace")
-    except LookupError:
+    except (LookupError, ValueError):  # unknown or malformed charset name
         return payload.decode("utf-8", errors="replace")
 
 

@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from mailwatch.config import DriftConfig
-from mailwatch.operators import aggregates, evaluation, gates, ranking, scaling, split
+from mailwatch.operators import aggregates, evaluation, gates, ranking, scaling, split, tfidf
 from mailwatch.plans import alerting, detection, scoring, training
 
 
@@ -98,6 +98,45 @@ def test_models_learn_and_rank(spark, sets):
     assert p.where("spam_probability < 0 or spam_probability > 1").count() == 0
 
 
+def test_saved_model_scores_alike(spark, sets, tmp_path):
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    train, _ = sets
+    model = training.fit(training.random_forest(trees=3, depth=3), train)
+    model.write().save(str(tmp_path / "model"))
+    again = RandomForestClassificationModel.load(str(tmp_path / "model"))
+    rows = train.withColumn("id", F.monotonically_increasing_id()).cache()
+    a, b = (training.scored_rows(m, rows, ("id",)) for m in (model, again))
+    parity = evaluation.score_parity(a, b, "id").first()
+    assert parity["passed"] and parity["max_diff"] == 0.0 and parity["label_match_rate"] == 1.0
+
+
+def test_positive_weights(sets):
+    w = training.with_weights(sets[0].drop("weight"), "positive").groupBy("label").agg(F.first("weight").alias("w"))
+    assert {r["label"]: r["w"] for r in w.collect()} == {0: 1.0, 1: pytest.approx(2.0)}
+
+
+def test_scoring_job_end_to_end(spark):
+    """Training text, vocabulary, full vector, forest and decision as one plan; every mail scored once."""
+    cols = "email_id string, label string, body_text string, body_html string, subject string, sender_email string, sender_domain string, x_mailer string, received_hop_count int, date timestamp"
+    rows = []
+    for i in range(60):
+        spam = i % 2 == 0
+        body = "win free money now, click here! unsubscribe" if spam else "meeting notes about the release plan attached"
+        rows.append((f"e{i}", "spam" if spam else "ham", f"{body} {i}", None, "FREE" if spam else "Re: plan", "a@b.c", "b.c", None, 1, datetime(2024, 1, 3, i % 24)))
+    mails = spark.createDataFrame(rows, cols)
+    senders, words = aggregates.sender_features(mails), tfidf.fit(mails)
+    full = scoring.full_features(mails, senders, words, keep=("email_id", "label"))
+    train = scoring.vectors(full).withColumn("label", (F.col("label") == "spam").cast("int")).cache()
+    scaler = scaling.fit_vector_scaler(train)
+    scaling.check_length(scaler, 24 + len(words.terms) + 4)
+    model = training.fit(training.random_forest(trees=5, depth=3), training.with_weights(scaler.transform(train)))
+    out = scoring.score_table(mails, model, senders, words, scaler, F.lit("2024-02-01").cast("timestamp"), "7", threshold=0.5)
+    got = {r["email_id"]: r for r in out.collect()}
+    assert len(got) == 60 and got["e0"]["model_version"] == "7" and got["e0"]["prediction_timestamp"].startswith("2024-02-01T")
+    assert all(got[r[0]]["prediction_label"] == r[1] for r in rows)
+
+
 def test_random_search_skips_failures(spark, sets):
     from dataclasses import replace
 
