@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from ..operators.distribution import feature_statistics, histogram, moments, to_long
+from ..operators.distribution import histogram, moments, to_long
 from ..operators.ranking import alert_payload
 from ..plans import alerting, detection
 from ..plans.baseline import baseline_table, generate_baseline
 from ..sources.logs import in_window, wide_features
 from ..sources.reports import recent_reports
 from ..streaming.windows import sliding_bin_counts, window_psi
-from .aggregates import _rounded, hist_sql
+from .aggregates import _rounded
 from .drift import BASE_HIST_SQL, STATS_SQL
 from .views import LOGS_SQL, LONG_SQL, SPLIT, baseline_long, k_value, logs, moment, table, with_views
 

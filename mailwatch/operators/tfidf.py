@@ -9,7 +9,6 @@ from pyspark.ml.feature import CountVectorizerModel, Normalizer, StopWordsRemove
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 from ..config import TfidfConfig
