@@ -10,7 +10,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from ..config import TfidfConfig
 from ..functions.text import text_or_empty
 
