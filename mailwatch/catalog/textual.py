@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import cache
-from pathlib import Path
-
-import pyspark
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import TfidfConfig
+from ..functions.stop_words import ENGLISH
 from ..operators import tfidf
 from ..sources.tables import spread
 from .views import table
@@ -18,20 +14,12 @@ from .views import table
 CONFIG = TfidfConfig()
 
 
-@cache
-def _stop_words() -> list[str]:
-    """Spark's English stop words, read from its own jar (the SQL text is built without a session)."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 def _docs(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _sql(body: str) -> str:
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in _stop_words() if w)
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
     return rf"""
 WITH stops AS (SELECT unnest([{stops}]) AS w),
 tok AS (
@@ -175,5 +163,5 @@ QUERIES = {
         ),
         "SELECT doc_id, CAST(500 AS INTEGER) AS size, 0.0e0 AS mass FROM documents",
     ),
-    "d09_weights_unseen_corpus": (_unseen, _sql("SELECT 1").replace("SELECT 1", "").rstrip() + _UNSEEN_SQL),
+    "d09_weights_unseen_corpus": (_unseen, _sql(_UNSEEN_SQL)),
 }

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TfidfConfig
+from ..functions.stop_words import ENGLISH
 from ..functions.text import text_or_empty
 
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+#: Letters, digits of every kind and the underscore; combining marks end a token.
+TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 def tokens(text: Column | str) -> Column:
@@ -44,13 +46,8 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     return F.concat(*parts)
 
 
-def english_stop_words() -> list[str]:
-    """Spark's own English list; pass another list through ``TfidfConfig.stop_words``."""
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def stop_list(config: TfidfConfig) -> list[str]:
-    return list(config.stop_words) if config.stop_words is not None else english_stop_words()
+    return list(config.stop_words) if config.stop_words is not None else list(ENGLISH)
 
 
 def with_terms(docs: DataFrame, text: str, config: TfidfConfig, out: str = "terms") -> DataFrame:
