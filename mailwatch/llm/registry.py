@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.SQL,
+        "op4_near_duplicates": near_duplicates.SQL,
     }
