@@ -22,6 +22,7 @@ from .scratch import pinned
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SHINGLE = 3
 _MOST_BITS = 1 << 24
+_SENT = 100_000
 
 
 def words(text: Column | str) -> Column:
@@ -46,27 +47,34 @@ def windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
     return cut.groupBy("words").agg(F.collect_set("item").alias("items"))
 
 
+def _probes(value: Column, size: int) -> list[Column]:
+    """Three places of a hash in a bit set; bits of the hash that hardly overlap decide them."""
+    return [F.shiftrightunsigned(value, n).bitwiseAND(F.lit(size - 1)) for n in (0, 20, 40)]
+
+
 @dataclass(frozen=True)
 class _Bits:
-    """A bit set over hashes, held in plans as one literal of at most 2 MB."""
+    """A bit set over hashes, held in plans as one literal of at most 2 MB; it errs on the safe side only."""
 
     size: int
     words: tuple[int, ...]
 
     def test(self, value: Column) -> Column:
         bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        place = value.bitwiseAND(F.lit(self.size - 1))
-        return F.getbit(F.element_at(bits, (F.shiftright(place, 6) + 1).cast("int")), place.bitwiseAND(F.lit(63))) == 1
+        tests = [
+            F.getbit(F.element_at(bits, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63))) == 1
+            for p in _probes(value, self.size)
+        ]
+        return tests[0] & tests[1] & tests[2]
 
 
 def _bits(shingles: DataFrame) -> _Bits:
     distinct = shingles.select("h").distinct()
-    n = distinct.count()
-    size = min(_MOST_BITS, 1 << max(12, (32 * n).bit_length()))
-    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    size = min(_MOST_BITS, 1 << max(12, (64 * distinct.count()).bit_length()))
     rows = (
-        distinct.groupBy(F.shiftright(place, 6).alias("at"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
+        distinct.select(F.explode(F.array(*_probes(F.col("h"), size))).alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits"))
         .collect()
     )
     table = [0] * (size // 64)
@@ -100,6 +108,7 @@ def contamination(
     """
     spark: SparkSession = docs.sparkSession
     targets = pinned(windows(benchmark, item, item_text, window))
+    windows_found = targets.agg(F.sum(F.size("items") + 1)).first()[0] or 0
     size = F.least(F.size("words"), F.lit(_SHINGLE))
     places = targets.withColumn("k", size).select(
         "words", "items", "k", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("k"))).alias("j")
@@ -127,6 +136,9 @@ def contamination(
     prefixes = rarest.groupBy(F.col("x.h").alias("h")).agg(
         F.collect_list(F.struct(F.col("x.j").alias("j"), "words", "items")).alias("candidates")
     )
+    # The windows are counted above; so many of them (tens of MB) go to all tasks, more are joined by a shuffle.
+    if windows_found <= _SENT:
+        prefixes = F.broadcast(prefixes)
     joined = occurrences.join(prefixes, "h")
     fits = F.filter(
         "candidates",

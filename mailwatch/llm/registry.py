@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates
+from . import decontamination, language, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
+        "op5_language_id": language.op5_language_id,
     }
 
 
