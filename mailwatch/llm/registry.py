@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, near_duplicates
+from . import decontamination, language, near_duplicates, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_language_id": language.op5_language_id,
     }
