@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, near_duplicates, packing
+from . import chat, decontamination, language, near_duplicates, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_language_id": language.op5_language_id,
+        "op8_chat_formatting": chat.op8_chat_formatting,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.SQL,
         "op4_near_duplicates": near_duplicates.SQL,
+        "op8_chat_formatting": chat.SQL,
     }
