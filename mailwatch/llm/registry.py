@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, near_duplicates, packing
+from . import chat, decontamination, language, near_duplicates, packing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_language_id": language.op5_language_id,
         "op8_chat_formatting": chat.op8_chat_formatting,
+        "op9_url_filters": urls.op9_url_filters,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.SQL,
         "op4_near_duplicates": near_duplicates.SQL,
         "op8_chat_formatting": chat.SQL,
+        "op9_url_filters": urls.SQL,
     }
