@@ -48,7 +48,7 @@ class _Stock:
     def complement(self, gap: int, free: np.ndarray) -> list[int]:
         """One, two or three lengths, largest first, that fill the gap exactly from what is free; else none."""
         if free[gap] > 0:
-            return [gap]
+            return [int(gap)]
         two, three = self.index()
         if two[gap] and (found := self._pair(gap, gap, free)):
             return found
@@ -70,7 +70,7 @@ class _Stock:
         if not good.any():
             return []
         first = int(a[good.argmax()])
-        return [first, total - first]
+        return [first, int(total) - first]
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat, decontamination, language, near_duplicates, packing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": language.op5_language_id,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_url_filters": urls.op9_url_filters,
+        "pipeline": corpus_pipeline.run,
     }
 
 
