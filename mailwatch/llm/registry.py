@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontamination, language, near_duplicates, packing, urls
+from . import chat, decontamination, fingerprints, language, near_duplicates, packing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_language_id": language.op5_language_id,
+        "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_url_filters": urls.op9_url_filters,
         "pipeline": corpus_pipeline.run,
