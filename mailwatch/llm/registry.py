@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontamination, fingerprints, language, near_duplicates, packing, urls
+from . import chat, decontamination, fingerprints, language, near_duplicates, packing, suffix_tree, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_url_filters": urls.op9_url_filters,
+        "op10_lm_scoring": suffix_tree.op10_lm_scoring,
         "pipeline": corpus_pipeline.run,
     }
 
