@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontamination, fingerprints, language, near_duplicates, packing, suffix_tree, urls
+from . import chat, decontamination, fingerprints, language, materialise, near_duplicates, packing, suffix_tree, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_language_id": language.op5_language_id,
+        "op6_training_order": materialise.op6_training_order,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_url_filters": urls.op9_url_filters,

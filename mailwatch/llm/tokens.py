@@ -20,12 +20,14 @@ class Encoder:
 
     The tokenizer never merges over the borders of its own pre-tokenizer, so the ids of a text are
     those of its pieces in turn. Texts repeat their pieces; the ids of up to a million of them are kept
-    by each worker. A text with an added token (``<|endoftext|>``) is encoded whole.
+    by each worker. A text with an added token (``<|endoftext|>``) is encoded whole, or, with
+    ordinary, as if that string were any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
@@ -54,3 +56,9 @@ class Encoder:
 def encoder(name: str = VOCABULARY) -> Encoder:
     """The encoder of a named public vocabulary, one a worker process."""
     return Encoder(public_tokenizers.path(name))
+
+
+@cache
+def ordinary_encoder(name: str = VOCABULARY) -> Encoder:
+    """An encoder that never yields the id of an added token, so that this id can end documents."""
+    return Encoder(public_tokenizers.path(name), ordinary=True)
