@@ -22,6 +22,11 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def make_folder(uri: str) -> None:
+    system, path = opened(uri)
+    system.create_dir(path, recursive=True)
+
+
 @contextmanager
 def whole_file(uri: str) -> Iterator[pa.NativeFile]:
     """A stream whose bytes become the file when the block ends well."""

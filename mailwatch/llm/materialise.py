@@ -1,8 +1,10 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
-Every sequence has a number from 0; a keyed Feistel permutation with cycle-walking maps the numbers onto
-slots without a table and without sorting by random values. A shard holds a range of slots, each in a
-record of equal size, so a reader that stopped at a slot goes on at a place it can compute.
+Slots are reserved before anything is tokenised: a text of n bytes has at most n tokens and an end, so
+the number of its sequences is bounded, and the bounds are numbered through. A keyed Feistel permutation
+with cycle-walking maps these numbers onto global slots without a table. A shard holds the sequences of
+a range of slots in their order, each in a record of equal size; reserved slots that no sequence needs
+take no room. Texts are tokenised once, and a reader that stopped goes on at a place it can compute.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .binary_files import read_range, whole_file
+from .binary_files import make_folder, read_range, whole_file
 from .hashing import mix
-from .scratch import new_folder
+from .scratch import new_folder, pinned
 from .tokens import ordinary_encoder
 
 END = 50256
@@ -27,13 +29,13 @@ _HEAD = np.dtype([("id", "<i8"), ("start", "<i8"), ("piece", "<i4"), ("length",
 
 @dataclass(frozen=True)
 class OrderConfig:
-    """key and rounds of the permutation; length: tokens of a sequence; dtype: an id's width; shard: slots a file."""
+    """key and rounds of the permutation; length: tokens of a sequence; dtype: an id's width; shard: reserved slots a file."""
 
     key: int = 0x5EED
     rounds: int = 6
     length: int = 512
     dtype: str = "<u2"
-    shard: int = 16_384
+    shard: int = 65_536
 
     @property
     def stride(self) -> int:
@@ -62,59 +64,37 @@ def permuted(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nd
     return out.astype(np.int64)
 
 
-def _sequences(parts: Iterator[pa.RecordBatch], config: OrderConfig) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in parts:
-        yield part, [np.append(i, np.uint32(END)) for i in ordinary_encoder().ids(part.column("text").to_pylist())]
+def _placed(starts: dict[int, tuple[int, int]], total: int, config: OrderConfig):
+    """(slot, body) of every sequence; starts has the first number and the count of numbers of each partition."""
 
-
-def materialised(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text", config: OrderConfig = OrderConfig()) -> int:
-    """Writes all sequences of docs to folder in their training order and returns how many there are.
-
-    A document is the ids of its text (none for null) and an end, cut into pieces of length tokens; the
-    last may be shorter and is filled up with zeros in its record. Sequences are numbered in the order of
-    partitions and rows. ids must be whole numbers; a null id is written as the smallest one. Other
-    columns are ignored. An empty table writes nothing.
-    """
-    given = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"),
-        F.col(text).cast("string").alias("text"),
-    )
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _sequences(parts, config):
-            n = np.fromiter((-(-len(i) // config.length) for i in found), np.int64, len(found))
-            yield pa.record_batch({"row": part.column("row"), "n": pa.array(n)})
-
-    # Sums by partition of the scan are a small table; within a partition the task itself counts on.
-    counts = given.mapInArrow(count, "row long, n long").groupBy(F.shiftright("row", 33).alias("number")).agg(F.sum("n").alias("n"))
-    sizes = {r["number"]: r["n"] for r in counts.collect()}
-    total, starts = 0, {}
-    for number in sorted(sizes):
-        starts[number], total = total, total + sizes[number]
-    if not total:
-        return 0
-
-    def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = number = None
-        for part, found in _sequences(parts, config):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, used = None, 0
+        for part in parts:
             if not part.num_rows:
                 continue
-            if at is None:
-                number = part.column("row")[0].as_py() >> 33
-                at = starts[number]
-            ids, bodies = part.column("id").to_pylist(), []
-            for doc, tokens in zip(ids, found):
-                for piece, start in enumerate(range(0, len(tokens), config.length)):
-                    cut = tokens[start : start + config.length]
-                    head = np.array([(doc, start, piece, len(cut))], _HEAD)
-                    bodies.append(head.tobytes() + cut.astype(config.dtype).tobytes())
-            slots = permuted(np.arange(at, at + len(bodies)), total, config.key, config.rounds)
-            at += len(bodies)
+            number = part.column("row")[0].as_py() >> 33
+            first, reserved = starts[number]
+            numbers, bodies = [], []
+            tokens = ordinary_encoder().ids(part.column("text").to_pylist())
+            for doc, bound, ids in zip(part.column("id").to_pylist(), part.column("bound").to_pylist(), tokens):
+                ids = np.append(ids, np.uint32(END)).astype(config.dtype)
+                for piece, start in enumerate(range(0, len(ids), config.length)):
+                    cut = ids[start : start + config.length]
+                    numbers.append(first + used + piece)
+                    bodies.append(np.array([(doc, start, piece, len(cut))], _HEAD).tobytes() + cut.tobytes())
+                used += bound
+            slots = permuted(np.array(numbers, np.uint64), total, config.key, config.rounds)
             yield pa.record_batch({"slot": pa.array(slots), "body": pa.array(bodies, pa.binary())})
-        if number is not None and at != starts[number] + sizes[number]:
-            raise RuntimeError("the input was partitioned differently when its sequences were counted")
+        if number is not None and used != starts[number][1]:
+            raise RuntimeError("the input was partitioned differently when its slots were reserved")
+
+    return run
 
-    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _written(folder: str, config: OrderConfig):
+    """Writes the rows of one partition, which are those of one shard in order of slots."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = next((p for p in parts if p.num_rows), None)
         if part is None:
             return
@@ -126,25 +106,46 @@ def materialised(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str
                 part = next(parts, None)
         yield pa.record_batch({"shard": pa.array([shard], pa.int64()), "n": pa.array([written], pa.int64())})
 
-    shards = -(-total // config.shard)
-    placed = given.mapInArrow(place, "slot long, body binary")
+    return run
+
+
+def materialised(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text", config: OrderConfig = OrderConfig()) -> DataFrame:
+    """Writes all sequences of docs to folder in their training order; returns (shard, n, before), what each file holds.
+
+    before is the number of sequences in the shards ahead. A document is the ids of its text (none for
+    null) and an end, cut into pieces of length tokens; the last may be shorter and is filled up with
+    zeros in its record. ids must be whole numbers; a null id is written as the smallest one. Other
+    columns are ignored. An empty table writes nothing.
+    """
+    make_folder(folder)
+    given = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    ).withColumn("bound", F.floor(F.octet_length("text") / config.length).cast("long") + 1)
+    # One row a partition of the scan.
+    reserved = given.groupBy(F.shiftright("row", 33).alias("number")).agg(F.sum("bound").alias("n")).collect()
+    total, starts = 0, {}
+    for r in sorted(reserved, key=lambda r: r["number"]):
+        starts[r["number"]], total = (total, r["n"]), total + r["n"]
+    placed = given.mapInArrow(_placed(starts, total, config), "slot long, body binary")
+    shards = max(1, -(-total // config.shard))
     ranged = placed.repartitionById(shards, F.floor(F.col("slot") / config.shard).cast("int")).sortWithinPartitions("slot")
-    done = ranged.mapInArrow(write, "shard long, n long").agg(F.sum("n")).first()[0]
-    if done != total:
-        raise RuntimeError(f"{done} of {total} sequences were written; the input changed in between")
-    return total
+    done = pinned(ranged.mapInArrow(_written(folder, config), "shard long, n long"))
+    # One row a shard.
+    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return done.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
 
 
-def read_shards(spark: SparkSession, folder: str, config: OrderConfig = OrderConfig(), start: int = 0) -> DataFrame:
-    """(slot, shard, id, piece, start, length, tokens) of all slots from start on, read range by range."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder).select("path", "length")
+def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, config: OrderConfig = OrderConfig(), start: int = 0) -> DataFrame:
+    """(position, shard, id, piece, start, length, tokens) of the sequences from position start on, range by range."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder).select("path")
     numbered = files.withColumn("shard", F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long"))
-    wanted = numbered.where((F.col("shard") + 1) * config.shard > start)
+    wanted = numbered.join(manifest.where(F.col("before") + F.col("n") > start), "shard")
     step = 4096
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for path, shard, first, n in zip(*(part.column(c).to_pylist() for c in ("path", "shard", "first", "n"))):
+            for path, shard, before, first, n in zip(*(part.column(c).to_pylist() for c in ("path", "shard", "before", "first", "n"))):
                 data = read_range(path, first * config.stride, n * config.stride)
                 rows = np.frombuffer(data, np.uint8).reshape(-1, config.stride)
                 head = np.ascontiguousarray(rows[:, : _HEAD.itemsize]).view(_HEAD).ravel()
@@ -152,19 +153,16 @@ def read_shards(spark: SparkSession, folder: str, config: OrderConfig = OrderCon
                 tokens = [b[:k] for b, k in zip(body, head["length"])]
                 yield pa.record_batch(
                     {
-                        "slot": pa.array(shard * config.shard + first + np.arange(len(rows))), "shard": pa.array(np.full(len(rows), shard)),
+                        "position": pa.array(before + first + np.arange(len(rows))), "shard": pa.array(np.full(len(rows), shard)),
                         "id": pa.array(head["id"]), "piece": pa.array(head["piece"]), "start": pa.array(head["start"]),
                         "length": pa.array(head["length"].astype(np.int64)), "tokens": pa.array(tokens, pa.list_(pa.int32())),
                     }
                 )
 
-    records = (F.col("length") / config.stride).cast("long")
-    begin = F.greatest(F.lit(start) - F.col("shard") * config.shard, F.lit(0))
-    spans = wanted.withColumn("records", records).where(begin < F.col("records")).select(
-        "path", "shard", "records", F.explode(F.sequence(begin, F.col("records") - 1, F.lit(step).cast("long"))).alias("first")
-    )
-    spans = spans.select("path", "shard", "first", F.least(F.lit(step), F.col("records") - F.col("first")).alias("n"))
-    schema = "slot long, shard long, id long, piece int, start long, length long, tokens array<int>"
+    begin = F.greatest(F.lit(start) - F.col("before"), F.lit(0))
+    spans = wanted.withColumn("first", F.explode(F.sequence(begin, F.col("n") - 1, F.lit(step).cast("long"))))
+    spans = spans.select("path", "shard", "before", "first", F.least(F.lit(step), F.col("n") - F.col("first")).alias("n"))
+    schema = "position long, shard long, id long, piece int, start long, length long, tokens array<int>"
     return spans.repartition("shard", "first").mapInArrow(run, schema)
 
 
@@ -174,7 +172,10 @@ def digested(rows: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            crc = [zlib.crc32(np.asarray(t, "<u4").tobytes()) for t in part.column("tokens").to_pylist()]
+            tokens = part.column("tokens")
+            ends = np.concatenate([[0], np.cumsum(np.asarray(tokens.value_lengths()))])
+            flat = np.asarray(tokens.flatten()).astype("<u4").tobytes()
+            crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch({**{c: part.column(c) for c in kept}, "ids_crc32": pa.array(crc, pa.int64())})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "tokens")
@@ -182,8 +183,8 @@ def digested(rows: DataFrame) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents written in training order, and what a sequential reader finds in every slot."""
+    """All documents written in training order, and what a sequential reader finds at every position."""
     folder = new_folder(spark, "order")
-    if not materialised(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder):
-        return spark.createDataFrame([], "slot long, shard long, doc_id long, piece int, start long, length long, ids_crc32 long")
-    return digested(read_shards(spark, folder)).withColumnRenamed("id", "doc_id")
+    manifest = materialised(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    rows = read_shards(spark, folder, manifest)
+    return digested(rows).withColumnRenamed("id", "doc_id")

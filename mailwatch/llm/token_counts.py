@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .binary_files import read_range, whole_file
+from .binary_files import make_folder, read_range, whole_file
 from .scratch import new_folder, pinned
 from .tokens import ordinary_encoder
 
@@ -31,6 +31,7 @@ def write_flat(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str =
 
     A null text is a document without tokens. A partition without rows leaves no file.
     """
+    make_folder(folder)
     given = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"))
     kind = given.schema["_id"].dataType.simpleString()
 

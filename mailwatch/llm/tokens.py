@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 END = 2
 _REMEMBERED = 1_000_000
 
@@ -20,14 +23,12 @@ class Encoder:
 
     The tokenizer never merges over the borders of its own pre-tokenizer, so the ids of a text are
     those of its pieces in turn. Texts repeat their pieces; the ids of up to a million of them are kept
-    by each worker. A text with an added token (``<|endoftext|>``) is encoded whole, or, with
-    ordinary, as if that string were any other.
+    by each worker. A text with an added token (``<|endoftext|>``) is encoded whole.
     """
 
-    def __init__(self, path: str, ordinary: bool = False):
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = ordinary
-        added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
@@ -58,7 +59,20 @@ def encoder(name: str = VOCABULARY) -> Encoder:
     return Encoder(public_tokenizers.path(name))
 
 
+class OrdinaryEncoder:
+    """Encodes texts by a vocabulary given as ranks, without added tokens: their strings are ordinary text."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("ordinary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each text (uint32); none for null."""
+        return [np.asarray(self.encoding.encode_ordinary(t or ""), np.uint32) for t in texts]
+
+
 @cache
-def ordinary_encoder(name: str = VOCABULARY) -> Encoder:
-    """An encoder that never yields the id of an added token, so that this id can end documents."""
-    return Encoder(public_tokenizers.path(name), ordinary=True)
+def ordinary_encoder(name: str = RANKS) -> OrdinaryEncoder:
+    """An encoder that never yields an id beyond its ranks, so that such an id can end documents."""
+    return OrdinaryEncoder(public_tokenizers.path(name))
