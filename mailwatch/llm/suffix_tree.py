@@ -25,6 +25,8 @@ _END_BYTE = 10
 #: Stands for the end token among the hashes of words.
 _END_WORD = -(1 << 63) + 1
 _FULL = (1 << 64) - 1
+#: Bytes of text that a task works on at once; numpy holds some 60 bytes for each.
+_SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,7 @@ def _gathered(config: SuffixConfig):
         for part in parts:
             texts = _bytes(part.column("text"))
             docs += len(texts)
-            for a, b in batches(texts, 1 << 22):
+            for a, b in batches(texts, _SLICE):
                 form, places, _ = plain(texts[a:b], config.depth)
                 sums[0].add(runs(form, places, config.depth).view(np.int64))
                 sums[1].add(word_hashes(texts[a:b])[0].view(np.int64))
@@ -286,7 +288,7 @@ def scored(docs: DataFrame, model: SuffixModel, words: DataFrame, *, id: str = "
         for part in parts:
             texts = _bytes(part.column("text"))
             n_tokens, known, base, score, rare = [], [], [], [], []
-            for a, b in batches(texts, 1 << 22):
+            for a, b in batches(texts, _SLICE):
                 form, places, edges = plain(texts[a:b], m.config.depth)
                 keys = runs(form, places, m.config.depth)
                 logs, missed = table.find(keys)
