@@ -115,7 +115,8 @@ def materialised(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str
     before is the number of sequences in the shards ahead. A document is the ids of its text (none for
     null) and an end, cut into pieces of length tokens; the last may be shorter and is filled up with
     zeros in its record. ids must be whole numbers; a null id is written as the smallest one. Other
-    columns are ignored. An empty table writes nothing.
+    columns are ignored. An empty table writes nothing. docs is read twice, lengths first, and must be
+    partitioned alike both times, as files and checkpoints are; the job fails if it is not.
     """
     make_folder(folder)
     given = docs.select(
