@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.features import SCALARS, feature_rows
 from ..operators import aggregates as A
 from ..operators import distribution as dist
+from ..operators import tfidf
 from ..operators.distribution import to_long
 from ..sources.tables import spread
 from .features import SQL_TRAIN
 from .joins import SENDERS_SQL
+from .textual import _sql as tfidf_sql
 from .views import (
     EMAILS_SQL, JOB_TIME, LOGS_SQL, PREDICTIONS_SQL, SCORED_SQL, emails, logs, moment, predictions, scored, table,
     with_views,
@@ -89,7 +91,8 @@ _PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]]
 def _extraction(spark, sf):
     mails = emails(spark, sf)
     rows = feature_rows(mails, moment(JOB_TIME))
-    return A.extraction_summary(rows, A.sender_features(mails), vocabulary_size=500)
+    vocabulary = tfidf.fit(table(spark, sf, "documents"), "text")
+    return A.extraction_summary(rows, A.sender_features(mails), vocabulary_size=len(vocabulary.terms))
 
 
 def _predicted_label(spark, sf):
@@ -236,7 +239,7 @@ QUERIES = {
         with_views(
             EMAILS_SQL,
             body=f"""SELECT count(*) AS rows, count(*) FILTER (label = 'spam') AS spam_count, count(*) FILTER (label = 'ham') AS ham_count,
-                       {len(SCALARS) + 3} AS columns, count(DISTINCT sender_domain) AS sender_domains, 500 AS vocabulary_size FROM emails""",
+                       {len(SCALARS) + 3} AS columns, count(DISTINCT sender_domain) AS sender_domains, (SELECT CAST(count(*) AS INTEGER) FROM ({tfidf_sql('SELECT * FROM vocab')})) AS vocabulary_size FROM emails""",
         ),
     ),
 }

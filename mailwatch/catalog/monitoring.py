@@ -215,10 +215,13 @@ def _baseline_job(spark, sf):
 
 def detect(spark, sf):
     wide, base = _log_baseline(spark, sf)
-    return detection.run_detection(
+    found = detection.run_detection(
         base, logs(spark, sf), ["value", "k", "absent"], moment("2024-01-16 00:00:00"), moment("2024-01-31 00:00:00"),
         "drift-20240131", "spam-detector", "1", baseline_rows=to_long(wide, ["value", "k"]),
     )
+    # Report and alerts hold their small inputs; the window is not read again.
+    found.close()
+    return found
 
 
 def _detection_report(spark, sf):
@@ -233,29 +236,58 @@ base AS (SELECT 'value' AS feature, value FROM w1 UNION ALL SELECT 'k', k FROM w
 cur AS (SELECT 'value' AS feature, value FROM w2 UNION ALL SELECT 'k', k FROM w2 UNION ALL SELECT 'spam_probability', spam_probability FROM w2)"""
 
 
-def _detect_sql() -> str:
+_DETECTED_SQL = """
+fd AS (SELECT feature, p.psi, p.psi > 0.2 OR ks_pvalue < 0.05 AS hit FROM psip p JOIN ks USING (feature)),
+scores AS (
+  SELECT 1 - exp(-(sum(psi) FILTER (feature <> 'spam_probability') + 2 * sum(psi) FILTER (feature = 'spam_probability'))
+      / (count(*) FILTER (feature <> 'spam_probability') + 1)) AS score,
+    sum(psi) FILTER (feature = 'spam_probability') AS pp,
+    count(*) FILTER (feature <> 'spam_probability' AND hit) AS n_hit,
+    coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (feature <> 'spam_probability' AND hit), '') AS names FROM fd
+),
+quality AS (
+  SELECT CAST(count(*) FILTER (value IS NULL) AS DOUBLE) / count(*) * 100 AS m,
+    CAST(count(*) FILTER (value < min OR value > max) AS DOUBLE) / count(*) * 100 AS o, count(DISTINCT feature) AS seen
+  FROM cur LEFT JOIN st USING (feature) WHERE feature <> 'spam_probability'
+)"""
+
+
+def _detect_sql(*more: str, body: str = "") -> str:
     from .drift import ECDF2_SQL, IN_BINS_SQL, JOINT_SQL, KS_SQL
 
     return with_views(
-        LOGS_SQL, _DETECT_SQL, JOINT_SQL, ECDF2_SQL, KS_SQL, BASE_HIST_SQL, IN_BINS_SQL, STATS_SQL,
-        """fd AS (SELECT feature, p.psi, p.psi > 0.2 OR ks_pvalue < 0.05 AS hit FROM psip p JOIN ks USING (feature))""",
-        body="""
+        LOGS_SQL, _DETECT_SQL, JOINT_SQL, ECDF2_SQL, KS_SQL, BASE_HIST_SQL, IN_BINS_SQL, STATS_SQL, _DETECTED_SQL, *more,
+        body=body or """
 SELECT TIMESTAMP '2024-01-31 00:00:00' AS generated_at, 'spam-detector' AS model_name, '1' AS model_version,
   TIMESTAMP '2024-01-16 00:00:00' AS window_start, TIMESTAMP '2024-01-31 00:00:00' AS window_end,
   (SELECT count(*) FROM w2) AS num_samples, (SELECT count(*) FROM w2) < 100 AS insufficient_samples,
   score >= 0.2 OR n_hit >= 3 OR pp > 0.2 AS overall_drift_detected, round(score, 6) AS drift_score, CAST(3 AS BIGINT) AS total_features,
   n_hit AS features_drifted_count, names, round(pp, 6) AS prediction_psi, round(m, 6) AS missing_values_pct, round(o, 6) AS out_of_range_pct,
-  CAST(0 AS BIGINT) AS null_features_count, m > 5 OR o > 1 AS issues_detected
-FROM (
-  SELECT 1 - exp(-(sum(psi) FILTER (feature <> 'spam_probability') + 2 * sum(psi) FILTER (feature = 'spam_probability')) / 3) AS score,
-    sum(psi) FILTER (feature = 'spam_probability') AS pp,
-    count(*) FILTER (feature <> 'spam_probability' AND hit) AS n_hit,
-    coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (feature <> 'spam_probability' AND hit), '') AS names FROM fd),
- (SELECT 100.0e0 / 3 AS m, CAST(count(*) FILTER (value < min OR value > max) AS DOUBLE) / (count(*) * 1.5e0) * 100 AS o
-  FROM cur JOIN st USING (feature) WHERE feature <> 'spam_probability')""",
+  3 - seen AS null_features_count, m > 5 OR o > 1 AS issues_detected
+FROM scores, quality""",
     )
 
 
+def _detect_alerts_sql() -> str:
+    return _detect_sql(
+        """reports AS (
+  SELECT 'drift-20240131' AS report_id, score AS drift_score, pp AS prediction_psi, n_hit AS features_drifted_count, names,
+    o AS out_of_range_pct, m > 5 OR o > 1 AS issues_detected FROM scores, quality
+),
+fdrift AS (
+  SELECT 'drift-20240131' AS report_id, feature, psi, hit AS drift_detected, b.mean AS baseline_mean, c.mean AS current_mean
+  FROM fd JOIN (SELECT feature, avg(value) AS mean FROM base GROUP BY 1) b USING (feature)
+  JOIN (SELECT feature, avg(value) AS mean FROM cur GROUP BY 1) c USING (feature) WHERE feature <> 'spam_probability'
+)""",
+        ALERTS_SQL.replace("{many}", "3"),
+        body="SELECT * REPLACE (round(metric_value, 6) AS metric_value) FROM alerts",
+    )
+
+
+def _detection_alerts(spark, sf):
+    return _rounded(detect(spark, sf).alerts, keep=())
+
+
 QUERIES = {
     "a10_recent_reports": (
         _recent,
@@ -312,7 +344,7 @@ QUERIES = {
         ),
     ),
     "g24_detection_report": (_detection_report, _detect_sql()),
-    "g24_detection_alerts": (lambda spark, sf: detect(spark, sf).alerts, None),
+    "g24_detection_alerts": (_detection_alerts, _detect_alerts_sql()),
     "g25_monitoring_summary": (
         lambda spark, sf: _rounded(detection.monitoring_summary(daily_reports(spark, sf)), keep=()),
         with_views(

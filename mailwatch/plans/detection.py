@@ -14,7 +14,7 @@ from ..config import DriftConfig
 from ..functions.labels import drift_status
 from ..operators import drift as D
 from ..operators.distribution import to_long
-from ..sources.logs import in_window, wide_features
+from ..sources.logs import in_window, logged_features, wide_features
 from .alerting import generate_alerts
 from .baseline import PREDICTION_FEATURE, Baseline
 
@@ -69,8 +69,10 @@ def run_detection(
     """
     names = D.monitored_features(features, config)
     window = in_window(logs, start, end)
-    # Every log row is kept: a missing or unreadable feature is a NULL value.
-    current = to_long(wide_features(window, names), [*names, PREDICTION_FEATURE])
+    # A feature that no row of the window names is absent, and left out of all but the count of absent
+    # ones. Of the others every log row is kept: a missing or unreadable value is NULL.
+    present = logged_features(window, names)
+    current = to_long(wide_features(window, present), [*present, PREDICTION_FEATURE])
     if cache:
         current = current.persist(StorageLevel.MEMORY_AND_DISK)
     is_prediction = F.col("feature") == PREDICTION_FEATURE

@@ -66,9 +66,11 @@ VIEWS = (
     FeatureView("sender_domain_features", DOMAIN, tuple(SENDER), MONTH, "sender_features"),
 )
 SERVICES = (
-    FeatureService("spam_detection_serving", ("sender_domain_features",)),
-    FeatureService("spam_detection_batch", tuple(v.name for v in VIEWS)),
-    FeatureService("spam_detection_training", tuple(v.name for v in VIEWS[:4])),
+    FeatureService("serving", ("sender_domain_features",)),
+    FeatureService("batch", tuple(v.name for v in VIEWS)),
+    FeatureService("training", tuple(v.name for v in VIEWS[:4])),
+    # Everything but the wide block, which serving computes itself.
+    FeatureService("inference", tuple(v.name for v in VIEWS if v.name != "email_tfidf_features")),
 )
 # -----------------------------------------------------------------------------------
 

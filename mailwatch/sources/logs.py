@@ -82,6 +82,13 @@ def bad_feature_rows(log: DataFrame) -> DataFrame:
     )
 
 
+def logged_features(log: DataFrame, features: Sequence[str]) -> list[str]:
+    """Those of the features that at least one log row names, in the given order; one aggregate of one row."""
+    parsed = log.select(parsed_features().alias("_f"))
+    row = parsed.agg(*[F.max(F.map_contains_key("_f", F.lit(f))).alias(str(i)) for i, f in enumerate(features)]).first()
+    return [f for i, f in enumerate(features) if row[str(i)]]
+
+
 def wide_features(log: DataFrame, features: Sequence[str]) -> DataFrame:
     """Named features as columns next to the prediction columns; every log row is kept."""
     fields = T.StructType([T.StructField(f, T.DoubleType()) for f in features])

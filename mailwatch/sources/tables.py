@@ -64,7 +64,8 @@ def load_baseline(spark: SparkSession, path: str, model_name: str, model_version
 
 def save_artifact(df: DataFrame, path: str) -> None:
     """Fitted state small by construction (vocabulary, scaler): one file."""
-    df.coalesce(1).write.mode("overwrite").parquet(path)
+    # repartition, so that the plan behind df keeps its own parallelism.
+    df.repartition(1).write.mode("overwrite").parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -80,7 +80,7 @@ def test_registry(spark):
         with pytest.raises(KeyError):
             store.resolve([bad])
     e = spark.createDataFrame([("d", T0), ("d", T0 + timedelta(days=31))], "sender_domain string, event_timestamp timestamp_ntz")
-    got = store.get(e, "spam_detection_serving")
+    got = store.get(e, "serving")
     assert got.columns == ["sender_domain", "event_timestamp", "email_count", "spam_count", "ham_count", "spam_ratio"]
     assert sorted(r["email_count"] or 0 for r in got.collect()) == [0, 1]
     assert store.get(e, references=["sender_domain_features:spam_ratio"]).columns[-1] == "spam_ratio"
