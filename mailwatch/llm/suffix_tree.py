@@ -96,7 +96,7 @@ class _Sum:
         found, n = np.unique(keys, return_counts=True)
         self.more.append((found, n))
         self.waiting += len(found)
-        if self.waiting > max(2_000_000, len(self.keys)):
+        if self.waiting > max(500_000, len(self.keys)):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
