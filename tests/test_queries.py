@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from mailwatch import catalog
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# Model-fitting queries have no SQL and are covered with small data in test_models.
+QUERIES, SQL = catalog.load()
+# Model-fitting queries have no SQL; test_fitted runs them with small forests.
 FITTED = [q for q in QUERIES if q not in SQL and q.split("_")[0] in {"h06", "h07", "h08", "h09", "h10", "h16", "i01", "i03", "i06", "s01", "s03", "s05"}]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
