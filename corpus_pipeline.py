@@ -26,11 +26,17 @@ ORACLE_SQL = None
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the network learns from a bounded sample of the labelled ones."""
+    """Documents with a language; the network learns from a bounded sample of the labelled ones.
+
+    Texts go to the network but not back: those rejected are left out by id, and only rows without an id
+    are judged in passing.
+    """
     model = language.fit(docs.where(~language.held_out("doc_id")))
-    found = language.identified(docs, model, keep=docs.columns)
     known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return found.where(known).select(*docs.columns)
+    named, nameless = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
+    kept = without(named, language.identified(named, model).where(~known))
+    seen = language.identified(nameless, model, keep=docs.columns).where(known)
+    return kept.select(*docs.columns).unionByName(seen.select(*docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
