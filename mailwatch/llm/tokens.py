@@ -12,18 +12,20 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from .hashing import batches
+
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END = 2
-_REMEMBERED = 1_000_000
+_REMEMBERED = 300_000
 
 
 class Encoder:
     """Encodes texts piece by piece.
 
     The tokenizer never merges over the borders of its own pre-tokenizer, so the ids of a text are
-    those of its pieces in turn. Texts repeat their pieces; the ids of up to a million of them are kept
-    by each worker. A text with an added token (``<|endoftext|>``) is encoded whole.
+    those of its pieces in turn. Texts repeat their pieces; the ids of some 300,000 of them are kept
+    by each worker (about 60 MB). A text with an added token (``<|endoftext|>``) is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -35,16 +37,17 @@ class Encoder:
 
     def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text (uint32); none for null."""
+        return [ids for a, b in batches(texts, 1 << 19) for ids in self._some(texts[a:b])]
+
+    def _some(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         known = self.known
         if len(known) > _REMEMBERED:
             known.clear()
         whole = [bool(t) and self.special is not None and bool(self.special.search(t)) for t in texts]
         pieces = [() if w or not t else self.split(t) for t, w in zip(texts, whole)]
         new = list({p for part in pieces for p in part if p not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.asarray(found.ids, np.uint32).tobytes()
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[piece] = np.asarray(found.ids, np.uint32).tobytes()
         get = known.__getitem__
         return [
             np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w
