@@ -19,6 +19,12 @@ def _sliding(spark, sf):
     return _rounded(windows.window_psi(windows.sliding_from_hourly(hourly, 24), hist))
 
 
+def _sliding_psi(spark, sf):
+    """The form that streams use, over the table."""
+    hist = histogram(baseline_long(spark, sf))
+    return _rounded(windows.sliding_psi(daily_values(spark, sf), hist))
+
+
 _SLIDING_SQL = """
 dv AS (
   SELECT ts, 'value' AS feature, CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' AND user_id % 2 = 0 THEN value * 1.5e0 ELSE value END AS value FROM ev
@@ -36,6 +42,12 @@ grid AS (
   FROM wt JOIN hist ON hist.feature = wt.feature LEFT JOIN wb ON wb.w = wt.w AND wb.feature = wt.feature AND wb.bin = hist.bin
 )"""
 
+_SLIDING_PSI_SQL = with_views(
+    LONG_SQL, BASE_HIST_SQL, _SLIDING_SQL,
+    body="""SELECT w AS window_start, w + INTERVAL 24 HOUR AS window_end, feature, round(sum((c / sc - b / sb) * ln((c / sc) / (b / sb))), 6) AS psi
+            FROM (SELECT *, sum(b) OVER p AS sb, sum(c) OVER p AS sc FROM grid WINDOW p AS (PARTITION BY w, feature)) GROUP BY 1, 2, 3""",
+)
+
 _COUNTERS_SQL = """
 SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end,
   prediction, count(*) AS n, round(avg(latency_ms), 6) AS avg_latency_ms, max(latency_ms) AS max_latency_ms
@@ -50,13 +62,9 @@ QUERIES = {
                       strftime(timestamp, '%H') AS hour, count(*) AS n FROM logs GROUP BY 1, 2, 3, 4""",
         ),
     ),
-    "k03_sliding_drift": (
-        _sliding,
-        with_views(
-            LONG_SQL, BASE_HIST_SQL, _SLIDING_SQL,
-            body="""SELECT w AS window_start, w + INTERVAL 24 HOUR AS window_end, feature, round(sum((c / sc - b / sb) * ln((c / sc) / (b / sb))), 6) AS psi
-                    FROM (SELECT *, sum(b) OVER p AS sb, sum(c) OVER p AS sc FROM grid WINDOW p AS (PARTITION BY w, feature)) GROUP BY 1, 2, 3""",
-        ),
+    "k03_sliding_drift": (_sliding, _SLIDING_PSI_SQL),
+    "k03_sliding_psi": (
+        _sliding_psi, f"SELECT *, psi > 0.2 AS drift_detected FROM ({_SLIDING_PSI_SQL})"
     ),
     "k04_prediction_counters": (
         lambda spark, sf: _rounded(windows.prediction_counters(logs(spark, sf)), keep=("prediction",)),

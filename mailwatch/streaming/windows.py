@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.distribution import bin_of
 from ..operators.drift import baseline_bins, psi_proportions
+from ..functions.divergence import clipped, psi_term
 from ..functions.numeric import ratio
 
 LATE = "1 hour"
@@ -80,6 +81,32 @@ def window_psi(counts: DataFrame, histogram: DataFrame) -> DataFrame:
     return psi_proportions(grid.select(*key, "bin", "p_base", p_cur.alias("p_cur")), keys=key)
 
 
+def sliding_psi(long: DataFrame, histogram: DataFrame, hours: int = 24, late: str = LATE, limit: float = 0.2) -> DataFrame:
+    """PSI and drift flag per sliding window and feature, for streams (append mode) and tables alike.
+
+    Rows are counted once per hour; only hour counts enter the sliding windows, and only windows
+    the PSI. The state has a row per hour or window, feature and bin.
+    """
+    hour = F.window("timestamp", "1 hour").alias("hour")
+    counts = binned(_watermarked(long, late), histogram).groupBy(hour, "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    span = F.window(F.window_time("hour"), f"{hours} hours", "1 hour").alias("w")
+    spans = counts.groupBy(span, "feature", "bin").agg(F.sum("n").alias("n"))
+    cells = spans.groupBy("w", "feature").agg(
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("cells")  # one entry per bin
+    )
+    # One row per feature.
+    base = histogram.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "density"))).alias("base"))
+    shares = cells.join(F.broadcast(base), "feature").select(
+        "w", "feature", F.transform("base", lambda b: clipped(b["density"])).alias("p"),
+        F.transform("base", lambda b: clipped(F.coalesce(F.element_at("cells", b["bin"]), F.lit(0)) / F.col("total"))).alias("q"),
+    )
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    terms = F.zip_with("p", "q", lambda b, c: psi_term(b / F.col("sp"), c / F.col("sq")))
+    return shares.withColumns({"sp": total("p"), "sq": total("q")}).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature", total(terms).alias("psi")
+    ).withColumn("drift_detected", F.col("psi") > limit)
+
+
 def retained(series: DataFrame, now: Column, hours: int = 24, ts: str = "window_start") -> DataFrame:
     """Series points of the last ``hours``."""
     return series.where(F.col(ts) >= now - F.make_dt_interval(hours=F.lit(hours)))
