@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +50,24 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
     ).parquet(path)
 
 
+def _day_folders(spark: SparkSession, path: str, first: date, last: date) -> list[str]:
+    """The day folders of the log from first to last that exist; one look-up a day, and no listing of the tree."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    days = (first + timedelta(days=i) for i in range((last - first).days + 1))
+    folders = [f"{path.rstrip('/')}/{d:year=%Y/month=%m/day=%d}" for d in days]
+    system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    return [f for f in folders if system.exists(jvm.org.apache.hadoop.fs.Path(f))]
+
+
 def scan_log(spark: SparkSession, path: str, start: Column, end: Column, schema: T.StructType = INFERENCE_LOG) -> DataFrame:
-    """Rows with start ≤ timestamp ≤ end; only the days of the range are listed and read."""
+    """Rows with start ≤ timestamp ≤ end; only the day folders of the range are listed and read."""
     full = T.StructType(schema.fields + [T.StructField(c, T.IntegerType()) for c in LOG_PARTITIONS])
-    day = F.make_date("year", "month", "day")
-    return in_window(
-        spark.read.schema(full).parquet(path).where((day >= F.to_date(start)) & (day <= F.to_date(end))), start, end
-    ).drop(*LOG_PARTITIONS)
+    first, last = spark.range(1).select(F.to_date(start), F.to_date(end)).first()
+    folders = _day_folders(spark, path, first, last) if first and last else []
+    if not folders:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(full).option("basePath", path).parquet(*folders)
+    return in_window(rows, start, end).drop(*LOG_PARTITIONS)
 
 
 def in_window(log: DataFrame, start: Column, end: Column, ts: str = "timestamp") -> DataFrame:
