@@ -181,7 +181,16 @@ QUERIES = {
                       count(*) FILTER (e > 0) - 1 AS degrees_of_freedom, false AS masked_mass FROM ex GROUP BY feature""",
         ),
     ),
-    "g05_chi_square_pvalue": (lambda spark, sf: D.chi_square_pvalues(_priority_bins(spark, sf)), None),
+    "g05_chi_square_pvalue": (
+        lambda spark, sf: _rounded(D.chi_square_pvalues(_priority_bins(spark, sf))),
+        with_views(
+            _PRIORITY_SQL,
+            """tested AS (SELECT feature, sum(CASE WHEN e > 0 THEN (nc - e) * (nc - e) / e END) / 2 AS x, (count(*) FILTER (e > 0) - 1) / 2 AS a FROM ex GROUP BY feature)""",
+            body="""SELECT feature, round(2 * x, 6) AS statistic, round(least(1, greatest(0, 1 - coalesce((
+                      SELECT sum(exp((a + n) * ln(x) - x - lgamma(a + n + 1))) FROM (SELECT unnest(range(400)) AS n)), 0))), 6) AS p_value,
+                      false AS masked_mass FROM tested""",
+        ),
+    ),
     "g06_jensen_shannon": (
         lambda spark, sf: _rounded(D.jensen_shannon(_bins(spark, sf))),
         with_views(

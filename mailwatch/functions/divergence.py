@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,32 @@ def jsd_term(p: Column, q: Column) -> Column:
     return F.lit(0.5) * (p * F.log(p / m) + q * F.log(q / m))
 
 
+def chi_square_pvalue(statistic: Column, freedom: Column) -> Column:
+    """Upper tail of the chi-square distribution, from the series of the incomplete gamma function.
+
+    Terms are summed from their logarithms. Far out in the tail, where the value is below 1e-20, it is 0;
+    so the series has a number of terms that the degrees of freedom bound.
+    """
+    a, x = freedom.cast("double") / 2, statistic / 2
+    count = F.ceil(a).cast("int")
+    # ln gamma(a + 1), from a (a - 1) ... down to 1 or to gamma(1/2).
+    product = F.aggregate(F.sequence(F.lit(0), count - 1), F.lit(0.0), lambda s, k: s + F.log(a - k))
+    log_gamma = product + F.when(freedom % 2 == 1, F.lit(0.5 * math.log(math.pi))).otherwise(0.0)
+    first = a * F.log(x) - x - log_gamma
+    steps = (x + 15 * F.sqrt(x) + 60).cast("int")
+    summed = F.aggregate(
+        F.sequence(F.lit(1), steps),
+        F.struct(first.alias("term"), F.exp(first).alias("sum")),
+        lambda s, k: F.struct(
+            (s["term"] + F.log(x) - F.log(a + k)).alias("term"), (s["sum"] + F.exp(s["term"] + F.log(x) - F.log(a + k))).alias("sum")
+        ),
+        lambda s: s["sum"],
+    )
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - summed))
+    far = x > a + 40 + 20 * F.sqrt(a)
+    return F.when((freedom < 1) | (statistic <= 0), F.lit(1.0)).when(far, F.lit(0.0)).otherwise(p)
+
+
 def kolmogorov_pvalue(statistic: Column, n: Column, m: Column | None = None) -> Column:
     """Asymptotic two-sided p-value of a Kolmogorov–Smirnov statistic.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DriftConfig
-from ..functions.divergence import EPS, clipped, jsd_term, kolmogorov_pvalue, normal_cdf, psi_term
+from ..functions.divergence import EPS, chi_square_pvalue, clipped, jsd_term, kolmogorov_pvalue, normal_cdf, psi_term
 from ..functions.features import KEY_FEATURES
 from ..functions.numeric import ratio
 from .distribution import bin_of
@@ -231,26 +231,10 @@ def chi_square(counts: DataFrame) -> DataFrame:
 
 
 def chi_square_pvalues(counts: DataFrame) -> DataFrame:
-    """:func:`chi_square` with p-values; one bounded count vector per feature on the driver."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.stat import Statistics
-
-    spark = counts.sparkSession
-    stats = {r["feature"]: r for r in chi_square(counts).collect()}
-    vectors = counts.where("n_base > 0").groupBy("feature").agg(
-        F.array_sort(F.collect_list(F.struct("bin", "n_base", "n_cur"))).alias("v")
-    )
-    rows = []
-    for r in vectors.collect():
-        s = stats.pop(r["feature"])
-        p = 1.0
-        if not s["masked_mass"] and len(r["v"]) > 1 and sum(c["n_cur"] for c in r["v"]) > 0:
-            observed = Vectors.dense([float(c["n_cur"]) for c in r["v"]])
-            expected = Vectors.dense([float(c["n_base"]) for c in r["v"]])
-            p = float(Statistics.chiSqTest(observed, expected).pValue)
-        rows.append((r["feature"], float(s["statistic"]), p, bool(s["masked_mass"])))
-    rows += [(f, 0.0, 1.0, bool(s["masked_mass"])) for f, s in stats.items()]
-    return spark.createDataFrame(rows, "feature string, statistic double, p_value double, masked_mass boolean")
+    """:func:`chi_square` with p-values; 1 for a masked feature or one with fewer than two bins."""
+    tested = chi_square(counts)
+    p = F.when(F.col("masked_mass"), F.lit(1.0)).otherwise(chi_square_pvalue(F.col("statistic"), F.col("degrees_of_freedom")))
+    return tested.select("feature", "statistic", p.alias("p_value"), "masked_mass")
 
 
 def baseline_bins(histogram: DataFrame) -> DataFrame:
