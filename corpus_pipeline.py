@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailwatch.llm import language
+from mailwatch.llm.arrow_batches import few_rows
 from mailwatch.llm.decontamination import contamination, judged
 from mailwatch.llm.filtering import without
 from mailwatch.llm.near_duplicates import near_duplicates
@@ -31,6 +32,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts go to the network but not back: those rejected are left out by id, and only rows without an id
     are judged in passing.
     """
+    few_rows(spark)
     model = language.fit(docs.where(~language.held_out("doc_id")))
     known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     named, nameless = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
@@ -40,6 +42,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     return without(docs, near_duplicates(docs).where(~F.col("kept")))
 
 
@@ -49,6 +52,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     return packed_documents(docs)
 
 

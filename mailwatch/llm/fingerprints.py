@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_batches import few_rows, small
 from .hashing import batches, byte_run_hashes, word_hashes
 
 EQUAL, LIKE, RUN = 1024, 128, 8
@@ -71,7 +72,7 @@ def fingerprinted(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     given = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small(parts, "_text"):
             found = states([paragraphs(t) for t in part.column("_text").cast(pa.binary()).to_pylist()])
             yield pa.record_batch(
                 {
@@ -144,7 +145,7 @@ def edited_fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # (part, guest, id, text, state) of the row before
-        for batch in batches_:
+        for batch in small(batches_, "text"):
             texts = [t.as_py() for t in batch.column("text")]
             own = states([paragraphs(t.encode()) for t in texts])
             places, guests = batch.column("part").to_pylist(), batch.column("guest").to_pylist()
@@ -191,4 +192,5 @@ def edited_fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

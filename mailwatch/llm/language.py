@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_batches import few_rows, small
+
 UNDETERMINED = "und"
 
 
@@ -257,7 +259,7 @@ def identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", kee
     names = np.array([*model.languages, UNDETERMINED])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small(parts, "_text"):
             texts = part.column("_text").cast(pa.binary()).to_pylist()
             if model.languages:
                 p = model.pooled(texts)
@@ -281,6 +283,7 @@ def held_out(id: Column | str) -> Column:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out("doc_id")))
     found = identified(docs, model)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrow_batches import few_rows, small
 from .binary_files import make_folder, read_range, whole_file
 from .hashing import mix
 from .scratch import new_folder, pinned
@@ -69,9 +70,7 @@ def _placed(starts: dict[int, tuple[int, int]], total: int, config: OrderConfig)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, used = None, 0
-        for part in parts:
-            if not part.num_rows:
-                continue
+        for part in small(parts, "text"):
             number = part.column("row")[0].as_py() >> 33
             first, reserved = starts[number]
             numbers, bodies = [], []
@@ -185,6 +184,7 @@ def digested(rows: DataFrame) -> DataFrame:
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written in training order, and what a sequential reader finds at every position."""
+    few_rows(spark)
     folder = new_folder(spark, "order")
     manifest = materialised(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     rows = read_shards(spark, folder, manifest)

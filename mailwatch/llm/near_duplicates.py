@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_batches import few_rows, small
 from .components import components
 from .hashing import BLANKS, batches, mix, shingle_hashes, stream, word_hashes
 from .scratch import pinned
@@ -81,7 +82,7 @@ def _summaries(config: NearConfig):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = stream(41, config.rows)
         salts = stream(43, config.bands)
-        for part in parts:
+        for part in small(parts, "text"):
             sizes, ones, twos, bands = [], [], [], []
             for s in _sets(_bytes(part.column("text")), config.shingle):
                 sizes.append(len(s))
@@ -106,7 +107,7 @@ def _summaries(config: NearConfig):
 
 def _details(config: NearConfig):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small(parts, "text"):
             found = list(_sets(_bytes(part.column("text")), config.shingle))
             ones, twos = zip(*map(_sums, found)) if found else ((), ())
             lanes = [_minima(s, config.lanes, 61).astype(np.uint8).tobytes() for s in found]
@@ -315,6 +316,7 @@ def near_duplicates(
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrow_batches import few_rows, small
 from .scratch import pinned
 from .tokens import END, VOCABULARY, encoder
 
@@ -159,7 +160,7 @@ def cut(docs: DataFrame, *, id: str = "doc_id", text: str = "text", capacity: in
     kind = given.schema["_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small(parts, "_text"):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(encoder(vocabulary).ids(part.column("_text").to_pylist())):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -187,4 +188,5 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

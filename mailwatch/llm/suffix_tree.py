@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_batches import few_rows, small
 from .hashing import BLANKS, batches, word_hashes
 from .scratch import pinned
 
@@ -114,7 +115,7 @@ def _gathered(config: SuffixConfig):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (_Sum(), _Sum())
         docs = 0
-        for part in parts:
+        for part in small(parts, "text"):
             texts = _bytes(part.column("text"))
             docs += len(texts)
             for a, b in batches(texts, _SLICE):
@@ -285,7 +286,7 @@ def scored(docs: DataFrame, model: SuffixModel, words: DataFrame, *, id: str = "
         m = sent.value
         table = _Table(m.frequent, m.log10(m.frequent))
         scale = m.tokens + 0.5 * (m.kinds + 1)
-        for part in parts:
+        for part in small(parts, "text"):
             texts = _bytes(part.column("text"))
             n_tokens, known, base, score, rare = [], [], [], [], []
             for a, b in batches(texts, _SLICE):
@@ -339,6 +340,7 @@ def held_out(id: Column | str) -> Column:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model, words = fit(docs.where(~held_out("doc_id")))
     found = scored(docs, model, words)

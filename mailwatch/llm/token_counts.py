@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrow_batches import few_rows, small
 from .binary_files import make_folder, read_range, whole_file
 from .scratch import new_folder, pinned
 from .tokens import ordinary_encoder
@@ -37,6 +38,7 @@ def write_flat(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str =
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, done = TaskContext.get().partitionId(), 0
+        parts = small(parts, "_text")
         first = next((p for p in parts if p.num_rows), None)
         if first is None:
             return
@@ -123,6 +125,7 @@ def token_counts(spark: SparkSession, folder: str, *, dtype: str = "<u2", end: i
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as flat token files, then counted from these alone; the order written tells their ids."""
+    few_rows(spark)
     folder = new_folder(spark, "tokens")
     order = write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     return order.join(token_counts(spark, folder), ["file", "ordinal"], "full").select("doc_id", "file", "ordinal", "start", "n_tokens", "closed")
