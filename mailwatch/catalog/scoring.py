@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TfidfConfig
-from ..functions.features import SCALARS, SENDER
+from ..functions.features import PROFILES, SCALARS, SENDER
 from ..functions.labels import encode_label
 from ..operators import ranking, scaling, split, tfidf
 from ..operators.aggregates import scoring_summary, sender_features
 from ..plans import scoring, training
-from .views import JOB_TIME, emails, moment, table
+from .features import SQL_PROFILES
+from .joins import SENDERS_SQL
+from .textual import _sql as tfidf_sql
+from .views import EMAILS_SQL, JOB_TIME, emails, moment, table, with_views
 
 NAMES = SCALARS + SENDER
 
@@ -65,7 +68,19 @@ def _assembled(spark, sf):
     model = tfidf.fit(table(spark, sf, "documents"), "text", TfidfConfig())
     rows = scoring.full_features(mails, sender_features(emails(spark, sf, html=False)), model, "batch")
     v = vector_to_array("features")
-    return scoring.vectors(rows).select("email_id", F.size(v).alias("length"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("mass"))
+    mass = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return scoring.vectors(rows).select("email_id", F.size(v).alias("length"), F.round(mass, 4).alias("mass"))
+
+
+def _assembled_sql() -> str:
+    cells = [f"coalesce(CAST({SQL_PROFILES['batch'][c]} AS DOUBLE), 0)" for c in SCALARS]
+    cells += [f"coalesce(CAST(s.{c} AS DOUBLE), {v!r}e0)" for c, v in PROFILES["batch"].sender.items()]
+    weights = tfidf_sql("SELECT CAST(doc_id AS VARCHAR) AS email_id, sum(weight) AS mass FROM weights GROUP BY 1")
+    return with_views(
+        EMAILS_SQL, SENDERS_SQL,
+        body=f"""SELECT email_id, {len(NAMES) + TfidfConfig().max_features} AS length, round({" + ".join(cells)} + coalesce(t.mass, 0), 4) AS mass
+                 FROM emails LEFT JOIN senders s USING (sender_domain) LEFT JOIN ({weights}) t USING (email_id)""",
+    )
 
 
 def _boosted(spark, sf):
@@ -108,7 +123,7 @@ def _score(spark, sf):
 
 
 QUERIES = {
-    "c26_feature_vectors": (_assembled, None),
+    "c26_feature_vectors": (_assembled, _assembled_sql()),
     "h06_logistic_regression": (_metrics_of(training.logistic_regression), None),
     "h07_random_forest": (_metrics_of(lambda rows: training.random_forest()), None),
     "h08_boosted_trees": (_boosted, None),

@@ -38,18 +38,21 @@ def full_features(
     emails: DataFrame, senders: DataFrame | None, tfidf: TfidfModel | None, profile: str = "batch",
     keep: Sequence[str] = ("email_id",),
 ) -> DataFrame:
-    """Scalars, TF-IDF array and sender features of every message, defaults per profile."""
-    df = emails
+    """Scalars, TF-IDF vector and sender features of every message, defaults per profile.
+
+    Senders are looked up before anything is vectorised, so that no vector crosses an exchange.
+    """
+    defaults = PROFILES[profile].sender
+    if senders is None:
+        df = emails.withColumns({c: F.lit(float(v)) for c, v in defaults.items()})
+    else:
+        df = lookup_with_defaults(emails, senders, ["sender_domain"], defaults)
     if tfidf is not None:
         df = tfidf.transform(df, "body_text", "tfidf")
     block = ["tfidf"] if tfidf is not None else []
     scalars = [c.alias(n) for n, c in scalar_columns(profile).items()]
     domain = [] if "sender_domain" in keep else ["sender_domain"]
-    df = df.select(*keep, *domain, *scalars, *block)
-    defaults = PROFILES[profile].sender
-    if senders is None:
-        return df.withColumns({c: F.lit(float(v)) for c, v in defaults.items()})
-    return lookup_with_defaults(df, senders, ["sender_domain"], defaults)
+    return df.select(*keep, *domain, *scalars, *block, *defaults)
 
 
 def vectors(features: DataFrame, scaler: VectorScaler | None = None) -> DataFrame:
