@@ -12,13 +12,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries, and the SQL of those that can be written in it."""
     from . import (
-        aggregates, drift, evaluation, features, ingest, joins, logs, monitoring, scoring, streaming, textual,
+        aggregates, drift, evaluation, features, ingest, joins, logs, monitoring, scoring, storage, streaming,
+        textual,
     )
 
     queries: dict[str, Query] = {}
     oracles: dict[str, str] = {}
     for module in (
-        features, ingest, textual, joins, aggregates, drift, monitoring, logs, evaluation, scoring, streaming,
+        features, ingest, textual, joins, aggregates, drift, monitoring, logs, evaluation, scoring, streaming, storage,
     ):
         for name, (run, sql) in module.QUERIES.items():
             if name in queries:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -28,15 +31,11 @@ def build_session(app: str = "mailwatch", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder for reliable checkpoints.
-
-    The cluster names it in ``spark.checkpoint.dir``; ``fallback`` is used only where
-    that setting is absent (single-machine tests).
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names; in local mode a folder of its own will do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        folder = tempfile.mkdtemp(prefix="mailwatch-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
