@@ -163,7 +163,9 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, config: O
     spans = wanted.withColumn("first", F.explode(F.sequence(begin, F.col("n") - 1, F.lit(step).cast("long"))))
     spans = spans.select("path", "shard", "before", "first", F.least(F.lit(step), F.col("n") - F.col("first")).alias("n"))
     schema = "position long, shard long, id long, piece int, start long, length long, tokens array<int>"
-    return spans.repartition("shard", "first").mapInArrow(run, schema)
+    # A given number of partitions stays, however small the list of spans is.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spans.repartition(parts, "shard", "first").mapInArrow(run, schema)
 
 
 def digested(rows: DataFrame) -> DataFrame:

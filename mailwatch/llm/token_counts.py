@@ -93,8 +93,10 @@ def token_counts(spark: SparkSession, folder: str, *, dtype: str = "<u2", end: i
     blocks = files.where("length > 0").select(
         "path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / block).cast("long"))).alias("block")
     )
+    # A given number of partitions stays, however small the list of blocks is.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = pinned(
-        blocks.repartition("path", "block").mapInArrow(_scan(dtype, end, block), "path string, block long, n long, ends array<int>")
+        blocks.repartition(parts, "path", "block").mapInArrow(_scan(dtype, end, block), "path string, block long, n long, ends array<int>")
     )
     size = block // width
     marks = found.select(
