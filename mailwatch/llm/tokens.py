@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
-import public_tokenizers
-import regex
-import tiktoken
-from tokenizers import Tokenizer
 
 from .hashing import batches
 
@@ -20,6 +16,12 @@ END = 2
 _REMEMBERED = 300_000
 
 
+def _path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class Encoder:
     """Encodes texts piece by piece.
 
@@ -29,6 +31,11 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Here, so that plans can be built where the tokenizers are not installed.
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
@@ -59,13 +66,16 @@ class Encoder:
 @cache
 def encoder(name: str = VOCABULARY) -> Encoder:
     """The encoder of a named public vocabulary, one a worker process."""
-    return Encoder(public_tokenizers.path(name))
+    return Encoder(_path(name))
 
 
 class OrdinaryEncoder:
     """Encodes texts by a vocabulary given as ranks, without added tokens: their strings are ordinary text."""
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ordinary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -78,4 +88,4 @@ class OrdinaryEncoder:
 @cache
 def ordinary_encoder(name: str = RANKS) -> OrdinaryEncoder:
     """An encoder that never yields an id beyond its ranks, so that such an id can end documents."""
-    return OrdinaryEncoder(public_tokenizers.path(name))
+    return OrdinaryEncoder(_path(name))
