@@ -20,7 +20,7 @@ from mailwatch.llm.packing import packed_documents
 from mailwatch.llm.scratch import new_folder
 
 #: The least pooled probability of the predicted language with which a document stays.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 #: Trained networks, tokenizers and similarity joins have no SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
