@@ -6,6 +6,10 @@ the whole training corpus are summed in Spark; from them every context that occu
 compared with the one a byte shorter, and kept where its next-symbol distribution diverges. A text is
 scored by the longest kept suffix at each byte, whose distribution is smoothed with that of its own
 suffixes. The unigram base of words is computed beside it.
+
+States and their cells stay tables, which grow with the input. Frequent runs go to all tasks with their
+log probability; the others are gathered by groups of partitions of texts, looked up by joins, and laid
+into one file a group in the shared folder, from which the texts are scored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_batches import few_rows, small
+from .binary_files import make_folder, opened, whole_file
 from .hashing import BLANKS, batches, word_hashes
-from .scratch import pinned
+from .scratch import new_folder, pinned
 
 _END_BYTE = 10
 #: Stands for the end token among the hashes of words.
@@ -28,15 +33,17 @@ _END_WORD = -(1 << 63) + 1
 _FULL = (1 << 64) - 1
 #: Bytes of text that a task works on at once; numpy holds some 60 bytes for each.
 _SLICE = 1 << 20
+#: Runs in one row of a partition's runs, the bits of a row number below its partition, and training symbols for each group.
+_HELD, _ROW_BITS, _GROUP = 10_000, 33, 1 << 24
+_FILED = np.dtype([("key", "<i8"), ("log", "<f4")])
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """depth: bytes of the longest context (7 at most). share: a context, run or word with less than this
-    share of all occurrences gets no state, fast lookup or place in the table of frequent words, which
-    bounds each of them by 1 / share rows a level; nothing is left out of counts or scores for it.
-    least: occurrences that a context needs besides. gain: nats by which a kept context must shorten
-    the training text against its suffix.
+    """depth: bytes of the longest context (7 at most). share: a run or word with less than this share of
+    all occurrences is looked up by a join, not in the tables that go to all tasks, which bounds each of
+    these by 1 / share rows; counts, states and scores do not depend on it. least: occurrences that a
+    context needs. gain: nats by which a kept context must shorten the training text against its suffix.
     """
 
     depth: int = 5
@@ -139,7 +146,7 @@ def _low(key: Column, symbols: Column | int) -> Column:
     return key.bitwiseAND(F.when(bits >= 64, F.lit(-1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1))
 
 
-def states(counts: DataFrame, total: int, config: SuffixConfig) -> tuple[DataFrame, DataFrame]:
+def states(counts: DataFrame, config: SuffixConfig) -> tuple[DataFrame, DataFrame]:
     """The kept states (d, context, rest) and their cells (d, key, part) from counts (key, n) of byte runs.
 
     A state gives its next symbol rest times the probability of the state a byte shorter, plus part if
@@ -149,8 +156,7 @@ def states(counts: DataFrame, total: int, config: SuffixConfig) -> tuple[DataFra
     cells = levels.groupBy("d", _low(F.col("key"), F.col("d") + 1).alias("key")).agg(F.sum("n").alias("n"))
     cells = pinned(cells.withColumn("context", F.shiftrightunsigned("key", 8)))
     contexts = cells.groupBy("d", "context").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    floor = max(config.least, int(config.share * total))
-    contexts = pinned(contexts.where((F.col("d") == 0) | (F.col("all") >= floor)))
+    contexts = pinned(contexts.where((F.col("d") == 0) | (F.col("all") >= config.least)))
     own = cells.join(contexts, ["d", "context"])
     above = own.select(
         (F.col("d") + 1).alias("d"), F.col("key").alias("near"), F.col("n").alias("n_above"), F.col("all").alias("all_above")
@@ -170,15 +176,33 @@ def states(counts: DataFrame, total: int, config: SuffixConfig) -> tuple[DataFra
     weight = F.col("all") + F.col("kinds")
     return (
         kept.select("d", "context", (F.col("kinds") / weight).alias("rest")),
-        cells.join(kept, ["d", "context"]).select("d", "key", (F.col("n") / weight).alias("part")),
+        pinned(cells.join(kept, ["d", "context"]).select("d", "key", (F.col("n") / weight).alias("part"))),
     )
 
 
+def logs(given: DataFrame, kept: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """(key, log) of the distinct runs of given (key): log10 probability of the last byte after the others."""
+    found = None
+    for d in range(depth + 1):
+        here = given.select(_low(F.col("key"), d + 1).alias("key")).distinct()
+        here = here.join(cells.where(F.col("d") == d).select("key", "part"), "key", "left")
+        here = here.withColumn("context", F.shiftrightunsigned("key", 8))
+        here = here.join(kept.where(F.col("d") == d).select("context", "rest"), "context", "left")
+        if found is None:
+            here = here.withColumn("before", F.lit(1 / 256))
+        else:
+            above = found.select(F.col("key").alias("near"), F.col("p").alias("before"))
+            here = here.withColumn("near", _low(F.col("key"), d)).join(above, "near")
+        own = F.col("rest") * F.col("before") + F.coalesce("part", F.lit(0.0))
+        found = here.select("key", F.when(F.col("rest").isNull(), F.col("before")).otherwise(own).alias("p"))
+    return found.select("key", F.log10("p").alias("log"))
+
+
 class _Table:
     """Values by key for the most frequent keys: two direct-mapped tables; what they miss is told."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(10, int(4 * len(keys)).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 4):
+        bits = max(10, int(room * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.parts = []
         left = np.arange(len(keys))
@@ -210,34 +234,42 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def _lists(values: np.ndarray, chosen: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The chosen values of each text, whose edges among all values are ends."""
+    left = np.concatenate([[0], np.cumsum(chosen)])[ends]
+    return pa.ListArray.from_arrays(pa.array(left - left[0], pa.int32()), pa.array(values[chosen]))
+
+
+@dataclass(frozen=True)
+class _Hot:
+    """What goes to all tasks: frequent runs with their log10 probabilities, and frequent words with their counts."""
+
+    depth: int
+    runs: np.ndarray
+    logs: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+
+
 @dataclass(frozen=True)
 class SuffixModel:
-    """A fitted tree with the frequent words; rare words stay in the table words (key, n)."""
+    """A fitted tree as tables of states (d, context, rest) and cells (d, key, part), with its frequent part."""
 
-    config: SuffixConfig
-    levels: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
-    frequent: np.ndarray
-    hot_words: np.ndarray
-    hot_counts: np.ndarray
+    states: DataFrame
+    cells: DataFrame
+    hot: _Hot
     tokens: int
     kinds: int
+    symbols: int
+
+    def logs(self, given: DataFrame) -> DataFrame:
+        return logs(given, self.states, self.cells, self.hot.depth)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each run after the others."""
-        p = np.full(len(keys), 1 / 256)
-        for d, (contexts, rest, cells, part) in enumerate(self.levels):
-            low = np.uint64(_FULL >> (8 * (7 - d)))
-            key = keys & low
-            at, known = _find(contexts, key >> np.uint64(8))
-            cell, seen = _find(cells, key)
-            if len(contexts):
-                p = np.where(known, rest[at] * p, p)
-            if len(cells):
-                p = np.where(known & seen, p + part[cell], p)
-        return np.log10(p)
-
-    def unseen_log(self) -> float:
-        return float(np.log10(0.5 / (self.tokens + 0.5 * (self.kinds + 1))))
+        """Log probability of the last byte of each run after the others, for a few runs."""
+        given = self.states.sparkSession.createDataFrame([(k,) for k in keys.view(np.int64).tolist()], "key long")
+        found = dict(self.logs(given).collect())
+        return np.array([found[k] for k in keys.view(np.int64).tolist()])
 
 
 def fit(docs: DataFrame, *, text: str = "text", config: SuffixConfig = SuffixConfig()) -> tuple[SuffixModel, DataFrame]:
@@ -248,26 +280,77 @@ def fit(docs: DataFrame, *, text: str = "text", config: SuffixConfig = SuffixCon
     sizes = {r["kind"]: (r["rows"], r["n"]) for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
     grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     (_, symbols), (kinds, tokens) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
-    kept, cells = states(grams, symbols, config)
-    # Both have at most 1 / share states a level; the two tables below at most 1 / share rows.
-    s, c = kept.toArrow(), cells.toArrow()
-    levels = []
-    for d in range(config.depth + 1):
-        here, there = (np.asarray(t.column("d").to_numpy()) == d for t in (s, c))
-        contexts = s.column("context").to_numpy()[here].view(np.uint64)
-        keys = c.column("key").to_numpy()[there].view(np.uint64)
-        i, j = np.argsort(contexts), np.argsort(keys)
-        levels.append(
-            (contexts[i], s.column("rest").to_numpy()[here][i], keys[j], c.column("part").to_numpy()[there][j])
-        )
-    often = grams.where(F.col("n") >= config.share * symbols).select("key").toArrow().column("key").to_numpy()
+    kept, cells = states(grams, config)
+    # Of frequent runs and words there are at most 1 / share.
+    often = logs(grams.where(F.col("n") >= config.share * symbols).select("key"), kept, cells, config.depth).toArrow()
     hot = words.where(F.col("n") >= config.share * tokens).toArrow()
     hot_words, hot_counts = hot.column("key").to_numpy(), hot.column("n").to_numpy()
     order = np.argsort(hot_words)
-    model = SuffixModel(
-        config, tuple(levels), often.view(np.uint64), hot_words[order], hot_counts[order], int(tokens), int(kinds)
+    table = _Hot(
+        config.depth, often.column("key").to_numpy().view(np.uint64), often.column("log").to_numpy(), hot_words[order], hot_counts[order]
     )
-    return model, words
+    return SuffixModel(kept, cells, table, int(tokens), int(kinds), int(symbols)), words
+
+
+def _missed(sent, groups: int):
+    """(chunk, keys): the distinct runs of a partition of texts that the frequent ones leave out, some in each row; chunk is its group."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = sent.value
+        table, sums, chunk = _Table(hot.runs, hot.logs), _Sum(), 0
+        for part in small(parts, "text"):
+            texts = _bytes(part.column("text"))
+            chunk = (part.column("row")[0].as_py() >> _ROW_BITS) % groups
+            for a, b in batches(texts, _SLICE):
+                form, places, _ = plain(texts[a:b], hot.depth)
+                keys = runs(form, places, hot.depth)
+                sums.add(keys[table.find(keys)[1]].view(np.int64))
+        keys, _ = sums.merge()
+        for i in range(0, len(keys), _HELD):
+            held = keys[i : i + _HELD]
+            yield pa.record_batch(
+                {"chunk": pa.array([chunk], pa.int32()), "keys": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))}
+            )
+
+    return run
+
+
+def _filed(folder: str):
+    """Writes rows (chunk, key, log), in order of chunk and key, to one file a chunk; (chunk, n) tells what was written."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def put() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            with whole_file(f"{folder}/{at}") as out:
+                out.write(rows.tobytes())
+            return pa.record_batch({"chunk": pa.array([at], pa.int32()), "n": pa.array([len(rows)], pa.int64())})
+
+        for part in parts:
+            chunks = part.column("chunk").to_numpy()
+            rows = np.empty(len(chunks), _FILED)
+            rows["key"], rows["log"] = part.column("key").to_numpy(), part.column("log").to_numpy()
+            for chunk in np.unique(chunks).tolist():
+                if at is not None and chunk != at:
+                    yield put()
+                    held = []
+                at = chunk
+                held.append(rows[chunks == chunk])
+        if held:
+            yield put()
+
+    return run
+
+
+def _chunk(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of a group with their logs; none where it has no file."""
+    system, path = opened(f"{folder}/{chunk}")
+    if not system.get_file_info(path).is_file:
+        return np.empty(0, np.int64), np.empty(0)
+    with system.open_input_file(path) as f:
+        rows = np.frombuffer(f.read(), _FILED)
+    return np.ascontiguousarray(rows["key"]), rows["log"].astype(np.float64)
 
 
 def scored(docs: DataFrame, model: SuffixModel, words: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,59 +358,82 @@ def scored(docs: DataFrame, model: SuffixModel, words: DataFrame, *, id: str = "
 
     Tokens are the words and one end. base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))); score is the log10
     probability of the text under the tree. A null or empty text is the end alone. Rows that share an
-    id are scored apart. Other columns are ignored.
+    id are scored apart. Other columns are ignored. Texts are read twice; what the first reading did
+    not see in the same group of partitions is looked up apart.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model.hot)
+    scale = model.tokens + 0.5 * (model.kinds + 1)
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
 
+    folder = new_folder(spark, "runs")
+    make_folder(folder)
+    groups = max(1, model.symbols // _GROUP)
+    missed = given.mapInArrow(_missed(sent, groups), "chunk int, keys array<long>")
+    each = pinned(missed.select("chunk", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set("chunk").alias("chunks")))
+    laid = each.join(model.logs(each), "key").select(F.explode("chunks").alias("chunk"), "key", F.col("log").cast("float").alias("log"))
+    laid.repartition("chunk").sortWithinPartitions("chunk", "key").mapInArrow(_filed(folder), "chunk int, n long").count()
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        table = _Table(m.frequent, m.log10(m.frequent))
-        scale = m.tokens + 0.5 * (m.kinds + 1)
+        hot = sent.value
+        table, chunk, seldom, seldom_logs, near = _Table(hot.runs, hot.logs), None, None, None, None
         for part in small(parts, "text"):
             texts = _bytes(part.column("text"))
-            n_tokens, known, base, score, rare = [], [], [], [], []
+            now = (part.column("row")[0].as_py() >> _ROW_BITS) % groups
+            if now != chunk:
+                chunk, (seldom, seldom_logs) = now, _chunk(folder, now)
+                near = _Table(seldom.view(np.uint64), seldom_logs, 2)
+            n_tokens, known, base, score, rare, other = [], [], [], [], [], []
             for a, b in batches(texts, _SLICE):
-                form, places, edges = plain(texts[a:b], m.config.depth)
-                keys = runs(form, places, m.config.depth)
+                form, places, edges = plain(texts[a:b], hot.depth)
+                keys = runs(form, places, hot.depth)
                 logs, missed = table.find(keys)
-                others, back = np.unique(keys[missed], return_inverse=True)
-                logs[missed] = m.log10(others)[back]
+                logs[missed], left = near.find(keys[missed])
+                missed = missed[left]
+                at, met = _find(seldom, keys[missed].view(np.int64))
+                logs[missed[met]] = seldom_logs[at[met]]
+                strange = np.zeros(len(keys), bool)
+                strange[missed[~met]] = True
+                other.append(_lists(keys.view(np.int64), strange, edges))
                 score.append(np.add.reduceat(logs, edges[:-1]) if len(logs) else np.zeros(b - a))
                 hashes, ends = word_hashes(texts[a:b])
                 # The end token comes after the words of its text.
                 hashes = np.insert(hashes.view(np.int64), ends[1:], _END_WORD)
                 ends = ends + np.arange(len(ends))
-                at, hot = _find(m.hot_words, hashes)
-                c = m.hot_counts[at] if len(m.hot_counts) else np.zeros(len(at))
-                value = np.where(hot, np.log10((np.where(hot, c, 0) + 0.5) / scale), 0.0)
+                at, often = _find(hot.words, hashes)
+                c = hot.counts[at] if len(hot.counts) else np.zeros(len(at))
+                value = np.where(often, np.log10((np.where(often, c, 0) + 0.5) / scale), 0.0)
                 n_tokens.append(np.diff(ends))
-                known.append(np.add.reduceat(hot.astype(np.int64), ends[:-1]))
+                known.append(np.add.reduceat(often.astype(np.int64), ends[:-1]))
                 base.append(np.add.reduceat(value, ends[:-1]))
-                left = np.concatenate([[0], np.cumsum(~hot)])[ends]
-                rare.append(pa.ListArray.from_arrays(pa.array(left - left[0], pa.int32()), pa.array(hashes[~hot])))
+                rare.append(_lists(hashes, ~often, ends))
             join = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0), t)
             yield pa.record_batch(
                 {
                     "row": part.column("row"), "id": part.column("id"), "n_tokens": join(n_tokens, pa.int64()),
                     "known": join(known, pa.int64()), "base": join(base, pa.float64()), "score": join(score, pa.float64()),
-                    "rare": pa.concat_arrays(rare) if rare else pa.array([], pa.list_(pa.int64())),
+                    "rare": pa.concat_arrays(rare), "other": pa.concat_arrays(other),
                 }
             )
 
-    schema = f"row long, id {kind}, n_tokens long, known long, base double, score double, rare array<long>"
+    schema = f"row long, id {kind}, n_tokens long, known long, base double, score double, rare array<long>, other array<long>"
     rows = pinned(given.mapInArrow(run, schema))
     seen = words.select(F.col("key").alias("word"), "n")
-    value = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.tokens + 0.5 * (model.kinds + 1)))
+    value = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(scale))
     rest = (
         rows.select("row", F.explode("rare").alias("word"))
         .join(seen, "word", "left")
         .groupBy("row")
         .agg(F.sum(value).alias("rare_base"), F.count("n").alias("rare_known"))
     )
-    return rows.drop("rare").join(rest, "row", "left").select(
+    # None, where both readings of docs were partitioned alike.
+    apart = rows.select("row", F.explode("other").alias("key"))
+    if not apart.isEmpty():
+        apart = apart.join(model.logs(apart.select("key")), "key")
+        rows = rows.join(apart.groupBy("row").agg(F.sum("log").alias("more")), "row", "left")
+        rows = rows.withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return rows.drop("rare", "other").join(rest, "row", "left").select(
         F.col("id").alias(id), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
     )

@@ -286,6 +286,25 @@ def test_suffix_tree(spark, docs, none):
     assert suffix_tree.scored(none, model, words).count() == 0
 
 
+def test_suffix_tree_keeps_contexts_of_a_small_source(spark):
+    """A context of fixed count stays when unrelated text is added, and share only moves lookups."""
+    small_source = [(i, "qxa zxb " * 6) for i in range(10)]
+    other = [(100 + i, " ".join(WORDS[i * 20 : i * 20 + 200])) for i in range(150)]
+    run = np.array([int.from_bytes(b"xb qxa", "big")], np.uint64)
+    for rows in (small_source, small_source + other):
+        model, _ = suffix_tree.fit(spark.createDataFrame(rows, "doc_id long, text string"), config=suffix_tree.SuffixConfig(share=0.01))
+        assert 10 ** model.log10(run)[0] > 0.9
+    frame = spark.createDataFrame(small_source + other, "doc_id long, text string").repartition(3)
+    got = []
+    for share in (2e-6, 0.001, 2.0):
+        model, words = suffix_tree.fit(frame.where("doc_id % 3 > 0"), config=suffix_tree.SuffixConfig(share=share))
+        got.append({r["doc_id"]: r for r in suffix_tree.scored(frame, model, words).collect()})
+        assert len(model.hot.runs) == 0 or share < 1
+    for doc, r in got[0].items():
+        for x in got[1:]:
+            assert x[doc]["score"] == pytest.approx(r["score"], rel=1e-5) and x[doc]["base_score"] == pytest.approx(r["base_score"])
+
+
 def test_plain_forms():
     form, places, edges = suffix_tree.plain([b" A\t\nbC ", None, b"x"], 2)
     assert bytes(form) == b"\n\na bc \n\n\n\nx \n\n"
