@@ -3,7 +3,8 @@
 Stages, each over all that the one before kept: language identification drops documents that have no
 letter or no language with a fair share of the probability; near-duplicate removal keeps one document
 of each group; decontamination drops documents that hold benchmark passages; packing cuts and places
-the tokens of the rest.
+the tokens of the rest. The first three decide every row by its text; rows without an id, or that share
+one, are judged like all others.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from mailwatch.llm import language
 from mailwatch.llm.arrow_batches import few_rows
 from mailwatch.llm.decontamination import contamination, judged
-from mailwatch.llm.filtering import without
+from mailwatch.llm.filtering import KEY, keyed, one_of_each_text, without
 from mailwatch.llm.near_duplicates import near_duplicates
 from mailwatch.llm.packing import packed_documents
-from mailwatch.llm.scratch import new_folder
+from mailwatch.llm.scratch import new_folder, pinned
 
 #: The least pooled probability of the predicted language with which a document stays.
 LEAST_SCORE = 0.3
@@ -29,26 +30,31 @@ ORACLE_SQL = None
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the network learns from a bounded sample of the labelled ones.
 
-    Texts go to the network but not back: those rejected are left out by id, and only rows without an id
-    are judged in passing.
+    Texts go to the network but not back: those rejected are left out by a hash of the text.
     """
     few_rows(spark)
     model = language.fit(docs.where(~language.held_out("doc_id")))
     known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    named, nameless = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
-    kept = without(named, language.identified(named, model).where(~known))
-    seen = language.identified(nameless, model, keep=docs.columns).where(known)
-    return kept.select(*docs.columns).unionByName(seen.select(*docs.columns))
+    rows = keyed(docs)
+    return without(rows, language.identified(rows, model, keep=(KEY,)).where(~known), KEY).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group, of the smallest id (none comes last); rows without a word are in no group."""
     few_rows(spark)
-    return without(docs, near_duplicates(docs).where(~F.col("kept")))
+    rows = one_of_each_text(docs)
+    found = near_duplicates(rows, id=KEY).where(F.col(KEY).isNotNull()).select(KEY, "component_id")
+    members = pinned(rows.select("doc_id", KEY).join(found, KEY))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", KEY)
+    first = members.groupBy("component_id").agg(F.min(place).alias("first"))
+    gone = members.join(first, "component_id").where(F.col(KEY) != F.col(f"first.{KEY}"))
+    return without(rows, gone, KEY).select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, judged(contamination(docs, benchmark)).where("contaminated"))
+    rows = keyed(docs)
+    return without(rows, judged(contamination(rows, benchmark, id=KEY)).where("contaminated"), KEY).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,31 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert sorted(stage(spark, given, SF).columns) == sorted(given.columns), name
 
 
+def test_stages_judge_rows_without_or_with_shared_ids(spark, tmp_path):
+    passage = " ".join(f"bench{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = [" ".join(f"word{k}x{i}" for i in range(30)) for k in range(8)]
+    near = " ".join(plain[0].split()[:-1])
+    schema = "doc_id long, text string, lang string"
+
+    def after(stage, rows):
+        given = spark.createDataFrame([(d, t, "en") for d, t in rows], schema).repartition(3)
+        got = [(r["doc_id"], r["text"]) for r in stage(spark, given, str(tmp_path)).collect()]
+        return sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+    # A null id, a shared id and repeated rows: each row goes or stays by its own text.
+    rows = [(1, passage), (1, plain[1]), (2, plain[2]), (None, passage), (None, plain[3]), (4, plain[4]), (4, plain[4])]
+    assert after(corpus_pipeline.keep_uncontaminated, rows) == [(1, plain[1]), (2, plain[2]), (4, plain[4]), (4, plain[4]), (None, plain[3])]
+    # One row of each group, of the smallest id: copies, near copies, repeated rows and rows without an id.
+    rows = [(5, plain[0]), (3, near), (3, plain[1]), (None, plain[0]), (2, plain[2]), (2, plain[2]), (2, plain[5]), (9, plain[5])]
+    rows += [(None, plain[3])] * 5 + [(7, plain[4])] * 4 + [(None, plain[4]), (8, " "), (8, " "), (None, None)]
+    want = [(2, plain[2]), (2, plain[5]), (3, near), (3, plain[1]), (7, plain[4]), (8, " "), (8, " "), (None, None), (None, plain[3])]
+    assert after(corpus_pipeline.keep_one_of_each_group, rows) == want
+    # Texts without a letter have no language.
+    rows = [(1, "123"), (1, plain[1]), (None, "456"), (None, plain[2]), (3, plain[3]), (3, plain[3]), (4, "")]
+    assert after(corpus_pipeline.keep_identified, rows) == [(1, plain[1]), (3, plain[3]), (3, plain[3]), (None, plain[2])]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
