@@ -1,9 +1,10 @@
 """Document fingerprints as a homomorphic multiset hash of paragraphs.
 
-A paragraph hashes to a wide vector, and a text is the sum of its paragraphs' vectors modulo 2^16. Sums
-do not depend on order, and inserting or deleting a paragraph adds or subtracts its vector. The vector
-has two parts: 1,024 lanes of an extendable hash of the paragraph, which decide equality, and 128 lanes
-that sum signs of its byte runs, whose angle tells how alike two texts are.
+A paragraph hashes to a wide vector, and a text is the sum of its paragraphs' vectors. Sums do not
+depend on order, and inserting or deleting a paragraph adds or subtracts its vector. The vector has two
+parts: 1,024 lanes modulo 2^16 of an extendable hash of the paragraph, which decide equality, and 128
+lanes modulo 2^32 that sum signs of its byte runs, whose angle tells how alike two texts are. No text
+has room for the 2^31 runs with which such a lane would wrap.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from .arrow_batches import few_rows, small
 from .hashing import batches, byte_run_hashes, word_hashes
 
 EQUAL, LIKE, RUN = 1024, 128, 8
-WIDTH = EQUAL + LIKE
+#: A vector is held in 16-bit numbers, two (the low one first) for each lane of likeness.
+WIDTH = EQUAL + 2 * LIKE
 _FIRST = -(1 << 63)
 
 
@@ -49,13 +51,28 @@ def states(texts: Sequence[Sequence[bytes]]) -> np.ndarray:
         place = owner * LIKE + (hashes % np.uint64(LIKE)).astype(np.int64)
         sign = 1.0 - 2.0 * (hashes >> np.uint64(63)).astype(np.float64)
         sums = np.bincount(place, weights=sign, minlength=(end - start) * LIKE)
-        out[start:end, EQUAL:] = sums.astype(np.int64).astype(np.uint16).reshape(-1, LIKE)
+        out[start:end, EQUAL:] = sums.astype("<i4").reshape(-1, LIKE).view("<u2")
     return out
 
 
+def _lanes(state: np.ndarray) -> np.ndarray:
+    """The lanes of likeness."""
+    return np.ascontiguousarray(state[..., EQUAL:], "<u2").view("<i4")
+
+
+def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The vectors of a and b together."""
+    return np.concatenate([a[..., :EQUAL] + b[..., :EQUAL], (_lanes(a) + _lanes(b)).view("<u2")], axis=-1)
+
+
+def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The vectors of a without b."""
+    return np.concatenate([a[..., :EQUAL] - b[..., :EQUAL], (_lanes(a) - _lanes(b)).view("<u2")], axis=-1)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, how alike two texts are (0 to 1): 1 for equal vectors, else the cosine of their signed lanes."""
-    x, y = (v[:, EQUAL:].view(np.int16).astype(np.float64) if len(v) else np.zeros((0, LIKE)) for v in map(np.ascontiguousarray, (a, b)))
+    x, y = (_lanes(v).astype(np.float64) if len(v) else np.zeros((0, LIKE)) for v in (a, b))
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = (x * y).sum(axis=1) / np.where(size > 0, size, 1)
     return np.where((a == b).all(axis=1), 1.0, np.clip(cosine, 0, 1))
@@ -87,12 +104,12 @@ def fingerprinted(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 
 def inserted(state: bytes, text: bytes) -> bytes:
     """The state with the paragraphs of text added."""
-    return (np.frombuffer(state, "<u2") + states([paragraphs(text)])[0]).astype("<u2").tobytes()
+    return plus(np.frombuffer(state, "<u2"), states([paragraphs(text)])[0]).astype("<u2").tobytes()
 
 
 def deleted(state: bytes, text: bytes) -> bytes:
     """The state with the paragraphs of text taken out."""
-    return (np.frombuffer(state, "<u2") - states([paragraphs(text)])[0]).astype("<u2").tobytes()
+    return minus(np.frombuffer(state, "<u2"), states([paragraphs(text)])[0]).astype("<u2").tobytes()
 
 
 def _neighbours(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -173,7 +190,7 @@ def edited_fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
             same = t.rfind("\n", 0, len(t) - q) + 1 if q else len(t)
             gone.append(t[same:].encode().split(b"\n") if t else [])
             come.append(new[same:].encode().split(b"\n") if t else [])
-        edited = before - states(gone) + states(come)
+        edited = plus(minus(before, states(gone)), states(come))
         return pa.record_batch(
             {
                 "id": pa.array([r[2].as_py() for r in rows], _arrow[kind] if kind in _arrow else None),

@@ -219,6 +219,18 @@ def test_fingerprints_are_homomorphic(docs, none):
     assert twice.count() == 2 * len(TEXTS)
 
 
+def test_likeness_of_long_repeats(spark):
+    """100,000 equal runs in one text, counted in full, also after paragraphs come and go."""
+    own, less, line = (fingerprints.states([fingerprints.paragraphs(t)]) for t in (b"-" * 100_007, b"-" * 75_007, b"one more line here"))
+    assert fingerprints.likeness(own, less)[0] == pytest.approx(1) and np.abs(fingerprints._lanes(own)).max() == 100_000
+    assert (fingerprints.minus(fingerprints.plus(own, line), line) == own).all()
+    lines = fingerprints.states([[b"the same line again"] * 70_000, [b"the same line again"] * 50_000])
+    assert fingerprints.likeness(lines[:1], lines[1:])[0] == pytest.approx(1)
+    rows = spark.createDataFrame([(1, "-" * 40_000), (2, "="), (3, "-" * 30_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(rows).collect()}
+    assert got[1]["near_edited"] > 0.9 and got[3]["near_next"] == pytest.approx(1)
+
+
 def test_chat_folds_events_and_reads_back(spark):
     events = [
         (1, 1, "delta", "a", "user", "hel"), (1, 2, "delta", "a", None, "lo"), (1, 3, "delta", "b", "assistant", "old "), (1, 4, "delta", "b", None, "draft"),
