@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontamination, fingerprints, language, materialise, near_duplicates, packing, suffix_tree, token_counts, urls
+from . import (
+    chat, decontamination, fingerprints, hard_negatives, language, materialise, near_duplicates, packing, suffix_tree, token_counts, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_url_filters": urls.op9_url_filters,
         "op10_lm_scoring": suffix_tree.op10_lm_scoring,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -35,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_duplicates": near_duplicates.SQL,
         "op8_chat_formatting": chat.SQL,
         "op9_url_filters": urls.SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
     }
