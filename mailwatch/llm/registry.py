@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import (
-    chat, decontamination, fingerprints, hard_negatives, language, materialise, near_duplicates, packing, suffix_tree, token_counts, urls,
+    chat, decontamination, fingerprints, hard_negatives, language, materialise, near_duplicates, nearest, packing, spelling, suffix_tree,
+    token_counts, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,8 @@ def queries() -> dict[str, Query]:
         "op9_url_filters": urls.op9_url_filters,
         "op10_lm_scoring": suffix_tree.op10_lm_scoring,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_nearest": nearest.op13_nearest,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -39,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_formatting": chat.SQL,
         "op9_url_filters": urls.SQL,
         "op11_hard_negatives": hard_negatives.SQL,
+        "op12_spelling": spelling.SQL,
     }
