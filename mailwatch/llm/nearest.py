@@ -33,16 +33,16 @@ from .vectors import first_of_groups, matrix, slices, usable, widened
 @dataclass(frozen=True)
 class NearestConfig:
     """n neighbours a query. A list has about ``list_size`` vectors; there are at most ``lists`` of them, and
-    the sample that places them has at most ``sample`` vectors (all, if there are fewer). ``recall`` is the share of
+    the sample that places them has about ``sample`` vectors and ``numbers`` components (all, if there are fewer; never over twice that). ``recall`` is the share of
     a probed sample's true neighbours that the ratio must reach there. A vector is filed under at most ``copies``
     centroids, none farther than ``border`` times the nearest. part vectors of a list meet in one task at most.
     """
 
     n: int = 20
     list_size: int = 256
-    lists: int = 16_384
-    sample: int = 65_536
-    numbers: int = 1 << 24
+    lists: int = 8192
+    sample: int = 32_768
+    numbers: int = 1 << 22
     recall: float = 0.98
     probes: int = 256
     copies: int = 4
@@ -85,9 +85,9 @@ class CentroidGraph:
         self.squares = (self.c.astype("f8") ** 2).sum(axis=1).astype("f4")
         n = len(self.c)
         near = np.empty((n, min(degree, n)), np.int32)
-        for first in range(0, n, 1024):
-            d = self.squares - 2 * self.c[first : first + 1024] @ self.c.T
-            near[first : first + 1024] = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+        for first in range(0, n, 256):
+            d = self.squares - 2 * self.c[first : first + 256] @ self.c.T
+            near[first : first + 256] = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
         rng = np.random.default_rng(seed)
         far = rng.integers(0, n, (n, 2))  # keeps the graph in one piece
         ring = (np.arange(n)[:, None] + 1) % n
@@ -179,10 +179,10 @@ def fit(nodes: DataFrame, config: NearestConfig = NearestConfig()) -> Lists | No
     size = max(2, min(config.sample, config.numbers // width))
     share = min(1.0, 1.05 * size / count)
     drawn = nodes.where(F.pmod(F.xxhash64("v", F.lit(config.seed)), F.lit(1 << 40)) < int(share * (1 << 40))).select("v")
-    x = matrix(drawn.limit(2 * size).toArrow().column("v"), "f8", width)
+    x = matrix(drawn.limit(2 * size).toArrow().column("v"), "f4", width)
     if not len(x):
-        x = matrix(nodes.limit(1).toArrow().column("v"), "f8", width)
-    x = x[np.lexsort(x.T[: min(width, 8)])]
+        x = matrix(nodes.limit(1).toArrow().column("v"), "f4", width)
+    x = x[np.lexsort([x[:, i] for i in range(min(width, 8))])]
     lists = Lists(None, float(length), width, 1.0)
     stored = lists.stored(x)
     wanted = max(1, min(config.lists, -(-count // config.list_size), len(x)))
@@ -196,21 +196,21 @@ def _ratio(x: np.ndarray, stored: np.ndarray, lists: Lists, config: NearestConfi
         return 1.0
     rng = np.random.default_rng(config.seed)
     picked = rng.permutation(len(x))[: config.probes]
-    scores = x[picked] @ x.T
-    scores[np.arange(len(picked)), picked] = -np.inf
     n = min(config.n, len(x) - 1)
-    best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    best = np.empty((len(picked), n), np.int64)
+    for i, own in enumerate(picked):
+        scores = x @ x[own]
+        scores[own] = -np.inf
+        best[i] = np.argpartition(scores, len(x) - n)[len(x) - n :]
     need, back = np.unique(best, return_inverse=True)
-    rows, at = lists.graph.filed(stored[need], config.copies, config.border)
-    c = lists.graph.c.astype("f8")
-    d = np.linalg.norm(lists.asked(x[picked])[:, None] - c, axis=2) if len(c) * len(picked) * c.shape[1] < 1 << 26 else np.stack(
-        [np.linalg.norm(q - c, axis=1) for q in lists.asked(x[picked])]
-    )
-    d = d / np.maximum(d.min(axis=1, keepdims=True), 1e-12)
-    nearest = np.full((len(picked), len(need)), np.inf)
-    for j in range(len(rows)):
-        nearest[:, rows[j]] = np.minimum(nearest[:, rows[j]], d[:, at[j]])
-    wanted = np.take_along_axis(nearest, back.reshape(best.shape), 1)
+    filed = [lists.graph.filed(stored[need[i : i + 512]], config.copies, config.border) for i in range(0, len(need), 512)]
+    rows, at = np.concatenate([r + 512 * i for i, (r, _) in enumerate(filed)]), np.concatenate([c for _, c in filed])
+    wanted = np.empty(best.shape)
+    for i, q in enumerate(lists.asked(x[picked])):
+        far = np.linalg.norm(q - lists.graph.c, axis=1)
+        nearest = np.full(len(need), np.inf)
+        np.minimum.at(nearest, rows, far[at] / max(far.min(), 1e-12))
+        wanted[i] = nearest[back.reshape(best.shape)[i]]
     return float(np.quantile(wanted, config.recall, method="higher"))
 
 
