@@ -23,10 +23,6 @@ from .views import EMAILS_SQL, JOB_TIME, emails, moment, table, with_views
 NAMES = SCALARS + SENDER
 
 
-#: The search of a session and folder is run once; its queries read parts of the same result.
-_SEARCHES: dict[tuple[str, str], DataFrame] = {}
-
-
 def _labelled(spark, sf, html: bool = True):
     return emails(spark, sf, html=html).where(F.col("label").isNotNull())
 
@@ -85,22 +81,20 @@ def _assembled_sql() -> str:
 
 def _boosted(spark, sf):
     with _sets(spark, sf, "positive") as (train, test):
-        model = training.fit(training.boosted_trees(training.sample_trials()[0], train.count()), train)
+        model = training.boosted_trees(train, training.sample_trials()[:1], test, patience=10)[0]
         return _kept(training.metrics(training.scored_rows(model, test)))
 
 
 def _searched(spark, sf) -> DataFrame:
-    """The trials of the documented search space with their F1."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SEARCHES:
-        with _sets(spark, sf, "positive") as (train, test):
-            _SEARCHES[key] = training.random_search(train, test, training.sample_trials())[0]
-    return _SEARCHES[key]
+    """The trials of the documented search space with their measures."""
+    with _sets(spark, sf, "positive") as (train, test):
+        return training.random_search(train, test, training.sample_trials())[0]
 
 
 def _refit(spark, sf):
     with _sets(spark, sf, "positive") as (train, test):
-        model = training.refit_best(train, training.sample_trials(), _searched(spark, sf))
+        trials = training.sample_trials()
+        model = training.refit_best(train, trials, training.random_search(train, test, trials)[0])
         return _kept(training.metrics(training.scored_rows(model, test)))
 
 

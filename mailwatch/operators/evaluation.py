@@ -63,6 +63,24 @@ def metrics(
     return row.withColumn("auc_roc", auc(scored, label, score, ranges).scalar())
 
 
+def metrics_by(
+    scored: DataFrame, keys: list[str], label: str = "label", prediction: str = "prediction", score: str = "score",
+    ranges: int | None = None,
+) -> DataFrame:
+    """The measures of :func:`metrics` for every group, of all groups in the same aggregates."""
+    y, p, s = F.col(label), F.col(prediction), F.col(score)
+    rates = _rates(
+        F.count_if((y == 1) & (p == 1)), F.count_if((y == 0) & (p == 1)), F.count_if((y == 1) & (p == 0)), F.count_if((y == 0) & (p == 0))
+    )
+    rows = scored.where(s.isNotNull() & y.isin(0, 1))
+    counts = rows.groupBy(*keys, s.cast("double").alias("value")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    steps = running_totals(counts, keys, "value", ["pos", "neg"], ranges)
+    wins = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg").cast("double") / 2))
+    pairs = F.first("total_pos").cast("double") * F.first("total_neg").cast("double")
+    areas = steps.groupBy(*keys).agg(ratio(wins, pairs, None).alias("auc_roc"))
+    return scored.groupBy(*keys).agg(*[c.alias(n) for n, c in rates.items()]).join(areas, keys, "left")
+
+
 def classification_report(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Per class and as macro / weighted means: precision, recall, F1, support."""
     y, p = F.col(label), F.col(prediction)

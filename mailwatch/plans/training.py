@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Model, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators.aggregates import class_weights, fill_numeric_nulls
-from ..operators.evaluation import metrics
+from ..operators.evaluation import metrics, metrics_by
 from ..operators.joins import join_sender_features, left_join_suffixed
 
 
@@ -58,7 +58,7 @@ def random_forest(weight: str = "weight", trees: int = 100, depth: int = 15, see
 
 @dataclass(frozen=True)
 class TrialConfig:
-    """One point of the search space. L1/L2 terms have no counterpart in Spark's trees."""
+    """One point of the search space."""
 
     max_depth: int
     learning_rate: float
@@ -67,6 +67,21 @@ class TrialConfig:
     subsample: float
     colsample: float
     gamma: float
+    alpha: float = 0.0
+    lambda_: float = 1.0
+
+    def params(self) -> boosting.TreeParams:
+        return boosting.TreeParams(**vars(self))
+
+    def fault(self) -> str | None:
+        """Why no model can be grown from these values, if so."""
+        if self.max_depth < 1 or self.n_estimators < 1:
+            return "depth and number of trees must be positive"
+        if not (0 < self.subsample <= 1 and 0 < self.colsample <= 1):
+            return "shares of rows and columns must be in (0, 1]"
+        if min(self.learning_rate, self.min_child_weight, self.gamma, self.alpha, self.lambda_) < 0:
+            return "rates, weights and penalties must not be negative"
+        return None
 
 
 def sample_trials(n: int = 20, seed: int = 42) -> list[TrialConfig]:
@@ -82,27 +97,26 @@ def sample_trials(n: int = 20, seed: int = 42) -> list[TrialConfig]:
             subsample=rng.uniform(0.6, 1.0),
             colsample=rng.uniform(0.6, 1.0),
             gamma=rng.uniform(0.0, 1.0),
+            alpha=log_uniform(1e-8, 10.0),
+            lambda_=log_uniform(1e-8, 10.0),
         )
         for _ in range(n)
     ]
 
 
-def boosted_trees(trial: TrialConfig, rows: int, weight: str | None = "weight", seed: int = 42) -> GBTClassifier:
-    """Spark's boosted trees with the trial's parameters.
-
-    gamma bounds the summed loss reduction of a split, Spark's minInfoGain the mean one,
-    hence the division by the number of training rows.
-    """
-    gbt = GBTClassifier(
-        featuresCol="features", labelCol="label", seed=seed,
-        maxIter=trial.n_estimators, maxDepth=trial.max_depth, stepSize=trial.learning_rate,
-        subsamplingRate=trial.subsample, featureSubsetStrategy=f"{trial.colsample:.4f}",
-        minInstancesPerNode=trial.min_child_weight, minInfoGain=trial.gamma / max(rows, 1),
-    )
-    return gbt.setWeightCol(weight) if weight else gbt
+def boosted_trees(
+    train: DataFrame, trials: Sequence[TrialConfig], validation: DataFrame | None = None, patience: int | None = None,
+    key: str = "email_id", seed: int = 42,
+) -> list[boosting.Ensemble]:
+    """One ensemble for each trial, all grown together; rows are drawn by their ``key``."""
+    cuts = boosting.cut_points(train)
+    blocks = boosting.blocks_of(train, validation, cuts, key)
+    return boosting.boost(blocks, cuts, [t.params() for t in trials], patience, seed)
 
 
-def scored_rows(model: Transformer, df: DataFrame, keep: Sequence[str] = ("label",)) -> DataFrame:
+def scored_rows(model: Transformer | boosting.Ensemble, df: DataFrame, keep: Sequence[str] = ("label",)) -> DataFrame:
+    if isinstance(model, boosting.Ensemble):
+        return boosting.scored(df, [model], keep).drop("model")
     p = vector_to_array("probability")[1]
     return model.transform(df).select(*keep, F.col("prediction").cast("int").alias("prediction"), p.alias("score"))
 
@@ -116,53 +130,47 @@ def fit(classifier, train: DataFrame) -> Model:
         rows.unpersist()
 
 
-def evaluate(model: Transformer, test: DataFrame) -> Mapping[str, float]:
+def evaluate(model: Transformer | boosting.Ensemble, test: DataFrame) -> Mapping[str, float]:
     return metrics(scored_rows(model, test)).first().asDict()
 
 
 def random_search(
-    train: DataFrame, validation: DataFrame, trials: Sequence[TrialConfig], parallelism: int = 4
-) -> tuple[DataFrame, list]:
-    """Fits the trials ``parallelism`` at a time; a failed trial is reported without F1.
+    train: DataFrame, validation: DataFrame, trials: Sequence[TrialConfig], patience: int | None = 10, key: str = "email_id"
+) -> tuple[DataFrame, list[boosting.Ensemble | None]]:
+    """Grows all trials together and measures them on the validation rows.
 
-    Each trial is itself a distributed Spark job. Returns the trial table and the models.
+    A trial ends early when its validation loss has not fallen for ``patience`` trees. One that cannot be grown is reported
+    without measures. Returns the trial table, one row a trial, and the models.
     """
-
-    train = train.select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
-    size = train.count()
-
-    def run(item):
-        number, trial = item
-        try:
-            model = boosted_trees(trial, size).fit(train)
-            return number, trial, float(evaluate(model, validation)["f1"]), model, None
-        except Exception as e:  # reported in the trial table
-            return number, trial, None, None, str(e).splitlines()[0][:200]
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(run, enumerate(trials)))
-    train.unpersist()
-    validation.unpersist()
+    faults = [t.fault() for t in trials]
+    good = [n for n, f in enumerate(faults) if f is None]
+    grown = boosted_trees(train, [trials[n] for n in good], validation, patience, key)
+    found = {good[r["model"]]: r for r in metrics_by(boosting.scored(validation, grown), ["model"]).collect()}
+    models: dict[int, boosting.Ensemble] = dict(zip(good, grown))
+    measures = ("f1", "precision", "recall", "auc_roc")
     rows = [
-        (n, t.max_depth, t.learning_rate, t.n_estimators, t.min_child_weight, t.subsample, t.colsample, t.gamma, f1, err)
-        for n, t, f1, _, err in results
+        (n, *vars(t).values(), len(models[n].trees) if n in models else None, *(found[n][m] if n in found else None for m in measures), faults[n])
+        for n, t in enumerate(trials)
     ]
     schema = (
-        "trial int, max_depth int, learning_rate double, n_estimators int, min_child_weight int, "
-        "subsample double, colsample double, gamma double, f1 double, error string"
+        "trial int, max_depth int, learning_rate double, n_estimators int, min_child_weight int, subsample double, "
+        "colsample double, gamma double, reg_alpha double, reg_lambda double, trees int, "
+        + ", ".join(f"{m} double" for m in measures) + ", error string"
     )
-    return train.sparkSession.createDataFrame(rows, schema), [m for _, _, _, m, _ in results]
+    return train.sparkSession.createDataFrame(rows, schema), [models.get(n) for n in range(len(trials))]
 
 
-def refit_best(train: DataFrame, trials: Sequence[TrialConfig], table: DataFrame) -> Model:
-    """Refit on the same training split with the best trial's parameters."""
+def refit_best(train: DataFrame, trials: Sequence[TrialConfig], table: DataFrame, key: str = "email_id") -> boosting.Ensemble:
+    """Refit on the same training split with the best trial's parameters, all of its trees."""
     best = table.where(F.col("f1").isNotNull()).orderBy(F.col("f1").desc(), "trial").first()
-    return fit(boosted_trees(trials[best["trial"]], train.count()), train)
+    return boosted_trees(train, [trials[best["trial"]]], key=key)[0]
 
 
-def feature_importances(spark: SparkSession, model: Model, names: Sequence[str]) -> DataFrame:
+def feature_importances(spark: SparkSession, model: Model | boosting.Ensemble, names: Sequence[str]) -> DataFrame:
     """(feature, importance): one row per feature of the vector."""
-    values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
+    if isinstance(model, boosting.Ensemble):
+        values = model.importances()
+    else:
+        values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
     rows = [(n, abs(float(values[i]))) for i, n in enumerate(names)]
     return spark.createDataFrame(rows, "feature string, importance double")

@@ -78,7 +78,8 @@ def sets(spark):
     for i in range(240):
         y = i % 3 == 0
         rows.append((int(y), Vectors.dense([rng.gauss(2 if y else 0, 0.7), rng.gauss(0, 1), rng.random()])))
-    df = training.with_weights(spark.createDataFrame(rows, ["label", "features"]).repartition(2)).cache()
+    df = spark.createDataFrame([(f"m{i}", *r) for i, r in enumerate(rows)], ["email_id", "label", "features"])
+    df = training.with_weights(df.repartition(2)).cache()
     return df, df
 
 
@@ -145,6 +146,9 @@ def test_random_search_skips_failures(spark, sets):
     trials.append(replace(trials[0], max_depth=-1))
     table, models = training.random_search(train, test, trials)
     rows = {r["trial"]: r for r in table.collect()}
+    for n in (0, 1):
+        alone = evaluation.metrics(training.scored_rows(models[n], test)).first()
+        assert all(rows[n][m] == pytest.approx(alone[m]) for m in ("f1", "precision", "recall", "auc_roc"))
     assert rows[2]["f1"] is None and rows[2]["error"] and models[2] is None
     best = ranking.best_trial(table.where("f1 is not null")).first()
     assert best["f1"] == max(rows[0]["f1"], rows[1]["f1"])
@@ -156,6 +160,7 @@ def test_search_space_is_seeded():
     a, b = training.sample_trials(20), training.sample_trials(20)
     assert a == b and len({t.learning_rate for t in a}) == 20
     assert all(3 <= t.max_depth <= 11 and 0.01 <= t.learning_rate <= 0.3 and 50 <= t.n_estimators <= 299 for t in a)
+    assert all(1e-8 <= x <= 10 for t in a for x in (t.alpha, t.lambda_))
 
 
 def one(spark, **values):
