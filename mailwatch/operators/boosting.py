@@ -3,9 +3,9 @@
 Features are cut once into at most 256 bins and kept as bytes, in blocks of rows. A tree is grown level by
 level: tasks sum gradients and Hessians by (trial, node, feature, bin), the sums meet in a shuffle, and the
 best split of a node is chosen where its sums are. Nodes that have become small move their rows instead, and
-one job finishes all of their subtrees. Both ways use the same sums and the same choice, so the size at which
-a node counts as small changes no tree. All trials share these jobs: a round of boosting costs
-one job for small data and one more for each level that has large nodes.
+one job finishes all of their subtrees. If even all rows are few, a task goes on with the next trees of its trial for some
+rounds. All ways use the same sums and the same choice, so the size at which a node counts as small changes no tree.
+All trials share these jobs: a round costs one job and one more for each level that has large nodes.
 
 Sums are of whole numbers (multiples of 2^-24), so neither partitions nor retried tasks change a tree.
 Nothing is kept in workers: a job reads the blocks with the margins of some rounds ago, in reliable storage,
@@ -46,6 +46,9 @@ class TreeParams:
     lambda_: float = 1.0
 
 
+_KINDS = {"feature": "i4", "cut": "i4", "left": "i4", "value": "f8", "gain": "f8"}
+
+
 @dataclass
 class Tree:
     """Nodes in arrays: a feature of -1 is a leaf, others send bins up to ``cut`` to ``left`` and the rest to ``left`` + 1."""
@@ -75,6 +78,13 @@ class Tree:
         self.left[node] = moved[0]
         self.left += moved[1:]
 
+    def packed(self) -> dict[str, bytes]:
+        return {c: np.array(getattr(self, c), kind).tobytes() for c, kind in _KINDS.items()}
+
+    @classmethod
+    def unpacked(cls, row) -> "Tree":
+        return cls(**{c: np.frombuffer(row[c], kind).tolist() for c, kind in _KINDS.items()})
+
     def reached(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of every row."""
         feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
@@ -124,11 +134,10 @@ def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
 
 def cut_points(df: DataFrame, features: str = "features", bins: int = 256, accuracy: int = 10_000) -> list[np.ndarray]:
     """At most bins - 1 distinct quantiles of every vector component, in one aggregate; the last bin is open."""
-    values = df.select(vector_to_array(features).alias("x"))
-    width = values.select(F.max(F.size("x"))).first()[0] or 0
     shares = [(i + 1) / bins for i in range(bins - 1)]
-    row = values.agg(*[F.percentile_approx(F.col("x")[i], shares, accuracy).alias(f"c{i}") for i in range(width)]).first() if width else ()
-    return [np.unique(np.array(c or [0.0])) for c in row]
+    cells = df.select(F.posexplode(vector_to_array(features)).alias("f", "x"))
+    rows = cells.groupBy("f").agg(F.percentile_approx("x", shares, accuracy).alias("c")).collect()
+    return [np.unique(np.array(r["c"])) for r in sorted(rows, key=lambda r: r["f"])]
 
 
 def _blocked(cuts: list[np.ndarray], size: int):
@@ -283,10 +292,22 @@ class _Trial:
     recent: list[Tree] = field(default_factory=list)
     tree: Tree = field(default_factory=Tree)
     trees: int = 0
+    grown: list[Tree] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)
+    ended: bool = False
     #: Open nodes of the tree in progress, by node: (level, rows).
     large: dict[int, int] = field(default_factory=dict)
     small: dict[int, int] = field(default_factory=dict)
 
+    def add(self, tree: Tree) -> None:
+        self.recent.append(tree)
+        self.grown.append(tree)
+        self.trees += 1
+
+    def sent(self) -> "_Trial":
+        """What tasks need of it."""
+        return replace(self, grown=[])
+
 
 def layout_of(sizes: np.ndarray, t: _Trial, seed: int) -> Layout:
     """The bins of the columns drawn for the trial's tree in progress."""
@@ -386,9 +407,7 @@ def _moved(sent, sizes: np.ndarray, seed: int):
                     margin = _margin(rows, t)
                     v = rows["valid"]
                     if v.any():
-                        loss = np.logaddexp(0, np.where(rows["label"][v] == 1, -margin[v], margin[v]))
-                        total = np.array([np.rint(loss * _UNIT).sum(), len(loss)], np.int64)
-                        out.append((t.number, -1, b"", total.tobytes(), b""))
+                        out.append((t.number, -1, b"", _loss(rows["label"][v], margin[v]).tobytes(), b""))
                     if not t.small:
                         continue
                     learn = ~v & drawn_rows(rows["key"], t.params.subsample, seed + t.number, t.trees)
@@ -405,6 +424,12 @@ def _moved(sent, sizes: np.ndarray, seed: int):
     return run
 
 
+def _loss(label: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Sum of the log losses in units, and their number."""
+    loss = np.logaddexp(0, np.where(label == 1, -margin, margin))
+    return np.array([np.rint(loss * _UNIT).sum(), len(loss)], np.int64)
+
+
 _GROWN = "trial long, node long, feature binary, cut binary, left binary, value binary, gain binary, loss double"
 
 
@@ -422,8 +447,7 @@ def _grown(sent, sizes: np.ndarray, seed: int):
             t = next(t for t in sent.value if t.number == number)
             bins = read("bins", np.uint8).reshape(-1, len(sizes))
             tree = subtree(bins, read("g", "i8"), read("h", "i8"), t.params.max_depth - t.small[node], layout_of(sizes, t, seed), t.params)
-            kinds = {"feature": "i4", "cut": "i4", "left": "i4", "value": "f8", "gain": "f8"}
-            row |= {c: np.array(getattr(tree, c), kind).tobytes() for c, kind in kinds.items()}
+            row |= tree.packed()
         return pa.Table.from_pylist([row])
 
     return run
@@ -444,61 +468,132 @@ def _stored(sent, trials: int, sizes: np.ndarray):
     return run
 
 
+def _all_rows(sent, sizes: np.ndarray):
+    """All rows for every trial, with the margin of its trees so far."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for block in part.to_pylist():
+                rows = _columns_of(block, len(sizes))
+                for t in sent.value:
+                    kept = {c: block[c] for c in ("block", "n", "bins", "label", "weight", "key", "valid")}
+                    yield pa.RecordBatch.from_pylist([{"trial": t.number, **kept, "margin": _margin(rows, t).tobytes()}])
+
+    return run
+
+
+def _rounds(sent, sizes: np.ndarray, seed: int, patience: int | None, rounds: int):
+    """The next trees of one trial, whose rows are all here; node is the tree's number, or -1 for a loss."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("trial")[0].as_py()
+        t = next(t for t in sent.value if t.number == number)
+        rows = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in _CELLS.items()}
+        rows["bins"] = rows["bins"].reshape(len(rows["label"]), len(sizes))
+        margin, v, losses, out = rows["margin"].copy(), rows["valid"], list(t.losses), []
+        for n in range(t.trees, min(t.trees + rounds, t.params.n_estimators)):
+            if v.any():
+                total = _loss(rows["label"][v], margin[v])
+                losses.append(float(total[0] / _UNIT / total[1]))
+                out.append({"node": -1, "loss": losses[-1], **{c: b"" for c in _KINDS}})
+                if _least(losses, patience) is not None:
+                    break
+            now = replace(t, trees=n)
+            learn = ~v & drawn_rows(rows["key"], t.params.subsample, seed + number, n)
+            g, h = _slopes(rows, margin)
+            tree = subtree(rows["bins"][learn], g[learn], h[learn], t.params.max_depth, layout_of(sizes, now, seed), t.params)
+            margin += tree.values(rows["bins"])
+            out.append({"node": n, "loss": 0.0, **tree.packed()})
+        schema = pa.schema([("trial", pa.int64()), ("node", pa.int64()), *((c, pa.binary()) for c in _KINDS), ("loss", pa.float64())])
+        return pa.Table.from_pylist([{"trial": number, **r} for r in out], schema=schema)
+
+    return run
+
+
+_CELLS = {"bins": np.uint8, "label": "f8", "weight": "f8", "key": "i8", "valid": bool, "margin": "f8"}
+
+
+def _least(losses: list[float], patience: int | None) -> int | None:
+    """The number of trees with the least loss, once ``patience`` further trees have not lowered it; the first loss is that of none."""
+    if patience is None or len(losses) < 2:
+        return None
+    least = 1 + int(np.argmin(losses[1:]))
+    return least if len(losses) - 1 - least >= patience else None
+
+
 def boost(
     blocks: DataFrame, cuts: list[np.ndarray], trials: Sequence[TreeParams], patience: int | None = None, seed: int = 42,
-    small: int = 1 << 16, kept: int = 8, sums: int = 1 << 24,
+    small: int = 1 << 16, kept: int = 8, rounds: int = 64, sums: int = 1 << 24,
 ) -> list[Ensemble]:
     """Grows the ensembles of all trials over the blocks of :func:`blocks_of`.
 
     With ``patience``, a trial ends when the validation loss has not become less for so many trees, and keeps those up to its
-    least loss. Nodes of up to ``small`` rows are finished in one task each. Margins are stored every ``kept`` rounds. A job sums at
-    most ``sums`` bins of nodes.
+    least loss. Nodes of up to ``small`` rows are finished in one task each; so few rows in all go on for ``rounds`` trees in a job.
+    Margins are stored every ``kept`` rounds of larger data. A job sums at most ``sums`` bins of nodes.
     """
     spark = blocks.sparkSession
     sizes = np.array([len(c) + 1 for c in cuts])
     size = blocks.agg(F.coalesce(F.sum(F.col("n")), F.lit(0))).first()[0]
     state = [_Trial(i, p) for i, p in enumerate(trials)]
-    done: list[Ensemble] = [Ensemble([], cuts) for _ in trials]
-    active, best = [t for t in state if t.params.n_estimators > 0], {}
+    done: list[Ensemble] = [Ensemble([], cuts, t.losses) for t in state]
+    active = [t for t in state if t.params.n_estimators > 0]
+    spread = spark.sparkContext.defaultParallelism
     at = blocks
     while active and size and len(sizes):
+        if size <= small:
+            _grow_rounds(at, sizes, active, seed, patience, rounds, min(spread, len(active)))
+        else:
+            for t in active:
+                t.tree, t.large, t.small = Tree(), {0: 0}, {}
+            while any(t.large for t in active):
+                _grow_level(spark, at, sizes, active, seed, small, sums)
+            _grow_rest(at, sizes, active, seed, min(spread, sum(len(t.small) + 1 for t in active)))
+            for t in active:
+                t.add(t.tree)
         for t in active:
-            t.tree, t.large, t.small = Tree(), {}, {}
-            (t.large if size > small else t.small)[0] = 0
-        while any(t.large for t in active):
-            _grow_level(spark, at, sizes, active, seed, small, sums)
-        sent = spark.sparkContext.broadcast(active)
-        moved = at.mapInArrow(_moved(sent, sizes, seed), "trial long, node long, bins binary, g binary, h binary")
-        spread = min(spark.sparkContext.defaultParallelism, sum(len(t.small) + 1 for t in active))
-        for r in moved.repartition(spread, "trial", "node").groupBy("trial", "node").applyInArrow(_grown(sent, sizes, seed), _GROWN).collect():
-            t = state[r["trial"]]
-            if r["node"] < 0:
-                done[t.number].losses.append(r["loss"])
-                continue
-            kinds = {"feature": "i4", "cut": "i4", "left": "i4", "value": "f8", "gain": "f8"}
-            t.tree.graft(r["node"], Tree(**{c: np.frombuffer(r[c], kind).tolist() for c, kind in kinds.items()}))
-        sent.destroy()
-        for t in active:
-            losses = done[t.number].losses  # the n-th is that of n trees, the first of none
-            if patience is not None and len(losses) > 1:
-                least = 1 + int(np.argmin(losses[1:]))
-                if len(losses) - 1 - least >= patience:
-                    best[t.number] = least
-                    continue
-            done[t.number].trees.append(t.tree)
-            t.recent.append(t.tree)
-            t.trees += 1
-        active = [t for t in active if t.number not in best and t.trees < t.params.n_estimators]
-        if active and max(len(t.recent) for t in active) >= kept:
-            sent = spark.sparkContext.broadcast(active)
+            least = _least(t.losses, patience)
+            t.ended = least is not None or t.trees >= t.params.n_estimators
+            done[t.number].trees = t.grown if least is None else t.grown[:least]
+        active = [t for t in active if not t.ended]
+        if active and max(len(t.recent) for t in active) >= (rounds if size <= small else kept):
+            sent = spark.sparkContext.broadcast([t.sent() for t in active])
             at = reliable(at.mapInArrow(_stored(sent, len(trials), sizes), blocks.schema))
             for t in state:
                 t.recent = []
-    for n, least in best.items():
-        done[n].trees = done[n].trees[:least]
     return done
 
 
+def _grow_rounds(at: DataFrame, sizes: np.ndarray, active: list[_Trial], seed: int, patience: int | None, rounds: int, spread: int) -> None:
+    """The next trees of every trial, each in the task that gets all rows for it."""
+    spark = at.sparkSession
+    sent = spark.sparkContext.broadcast([t.sent() for t in active])
+    rows = at.mapInArrow(_all_rows(sent, sizes), "trial long, block long, n long, bins binary, label binary, weight binary, key binary, valid binary, margin binary")
+    found = rows.repartition(spread, "trial").groupBy("trial").applyInArrow(_rounds(sent, sizes, seed, patience, rounds), _GROWN).collect()
+    sent.destroy()
+    by_number = {t.number: t for t in active}
+    for r in sorted((r for r in found if r["node"] >= 0), key=lambda r: r["node"]):
+        by_number[r["trial"]].add(Tree.unpacked(r))
+    for r in found:  # in the order of their trees within a trial
+        if r["node"] < 0:
+            by_number[r["trial"]].losses.append(r["loss"])
+
+
+def _grow_rest(at: DataFrame, sizes: np.ndarray, active: list[_Trial], seed: int, spread: int) -> None:
+    """Finishes the trees in progress, each small node in a task of its own, and measures those before."""
+    spark = at.sparkSession
+    sent = spark.sparkContext.broadcast([t.sent() for t in active])
+    moved = at.mapInArrow(_moved(sent, sizes, seed), "trial long, node long, bins binary, g binary, h binary")
+    found = moved.repartition(spread, "trial", "node").groupBy("trial", "node").applyInArrow(_grown(sent, sizes, seed), _GROWN).collect()
+    sent.destroy()
+    by_number = {t.number: t for t in active}
+    for r in found:
+        t = by_number[r["trial"]]
+        if r["node"] < 0:
+            t.losses.append(r["loss"])
+        else:
+            t.tree.graft(r["node"], Tree.unpacked(r))
+
+
 def _grow_level(spark: SparkSession, at: DataFrame, sizes: np.ndarray, active: list[_Trial], seed: int, small: int, sums: int) -> None:
     """Splits the large nodes of all trials once, as many at a time as a task can hold sums of."""
     nodes = [(t, k) for t in active for k in t.large]
@@ -506,7 +601,7 @@ def _grow_level(spark: SparkSession, at: DataFrame, sizes: np.ndarray, active: l
     levels = {(t.number, k): t.large[k] for t, k in nodes}
     for first in range(0, len(nodes), step):
         some = nodes[first : first + step]
-        now = [replace(t, large={k: t.large[k] for x, k in some if x is t}, small={}) for t in active if any(x is t for x, _ in some)]
+        now = [replace(t, grown=[], large={k: t.large[k] for x, k in some if x is t}, small={}) for t in active if any(x is t for x, _ in some)]
         sent = spark.sparkContext.broadcast(now)
         parts = at.mapInArrow(_level(sent, sizes, seed), "trial long, node long, bin long, g long, h long, n long")
         total = parts.groupBy("trial", "node", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])

@@ -100,7 +100,7 @@ def test_rounds_follow_the_gradient(spark, data):
     """The second tree is the plain tree of the slopes that the first one leaves."""
     x, y, w = data
     p = TreeParams(max_depth=3, n_estimators=3, alpha=0.2)
-    model = grown(spark, data, [p], kept=1)[0]
+    model = grown(spark, data, [p], rounds=1)[0]
     bins = boosting.binned(x, model.cuts)
     margin = np.zeros(len(y))
     for tree in model.trees:
@@ -115,7 +115,7 @@ def test_rounds_follow_the_gradient(spark, data):
 def test_every_way_grows_the_same_trees(spark, data):
     trials = [replace(p, n_estimators=n, subsample=s, colsample=c) for p, n, s, c in zip(PARAMS, (3, 5, 2, 4), (1.0, 0.7, 0.6, 1.0), (0.6, 1.0, 0.75, 1.0))]
     want = grown(spark, data, trials)
-    for how in ({"small": 0}, {"small": 30, "parts": 1}, {"small": 0, "sums": 1, "kept": 1, "size": 7}, {"parts": 7, "kept": 2}):
+    for how in ({"small": 0}, {"small": 30, "parts": 1}, {"small": 0, "sums": 1, "kept": 1, "size": 7}, {"parts": 7, "rounds": 2}):
         got = grown(spark, data, trials, **how)
         assert [[as_plain(t) for t in m.trees] for m in got] == [[as_plain(t) for t in m.trees] for m in want], how
     assert [len(m.trees) for m in want] == [3, 5, 2, 4]
@@ -130,14 +130,15 @@ def test_rows_and_columns_are_drawn_for_each_tree(spark, data):
     assert all(abs(m.mean() - 0.7) < 0.02 for m in masks) and (masks[0] != masks[1]).mean() > 0.3
 
 
-def test_early_end(spark, data):
+@pytest.mark.parametrize("how", [{}, {"small": 40}, {"rounds": 2}])
+def test_early_end(spark, data, how):
     train = frame(spark, data)
     flipped = train.withColumn("label", 1 - train["label"])  # whatever is learnt makes this worse
     cuts = boosting.cut_points(train)
-    trials = [TreeParams(n_estimators=20), TreeParams(n_estimators=2)]
-    bad, few = boosting.boost(boosting.blocks_of(train, flipped, cuts), cuts, trials, patience=3)
+    trials = [TreeParams(n_estimators=9), TreeParams(n_estimators=2)]
+    bad, few = boosting.boost(boosting.blocks_of(train, flipped, cuts), cuts, trials, patience=3, **how)
     assert len(bad.trees) == 1 and len(bad.losses) == 5 and bad.losses[1] == min(bad.losses[1:])
-    good, _ = boosting.boost(boosting.blocks_of(train, train, cuts), cuts, trials, patience=3)
+    good, _ = boosting.boost(boosting.blocks_of(train, train, cuts), cuts, trials, patience=3, **how)
     assert len(good.trees) > 5 and len(few.trees) == 2
     x, y, _ = data
     assert good.losses[2] == pytest.approx(np.logaddexp(0, np.where(y == 1, -1, 1) * (good.trees[0].values(boosting.binned(x, cuts)) + good.trees[1].values(boosting.binned(x, cuts)))).mean(), abs=1e-6)
