@@ -43,36 +43,67 @@ def path_of(url: Column) -> Column:
 
 
 def address_of(url: Column) -> Column:
-    """What tells addresses apart: host, path without a closing slash, and the query without tracking; null without a host."""
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    """What tells addresses apart: host, path without a closing slash, and the query without tracking; null without a host.
+
+    The fragment ends an address, whatever it holds.
+    """
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^{_TRACKING}(?:=|$)")), "&")
     path = F.regexp_replace(path_of(url), r"/+$", "")
     return F.when(host_of(url) != "", F.concat(host_of(url), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved; .. above the root is dropped."""
+    last = F.regexp_extract(path, r"([^/]*)$", 1)
+    steps = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(step == ".", done)
+        .otherwise(F.concat(done, F.array(step))),
+    )
+    return F.concat(F.array_join(steps, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
 def _target(url: Column, href: Column) -> Column:
-    """The absolute URL of a link; null where it only has a relative path."""
-    href = F.trim(href)
+    """The absolute URL of a link on a page: only a leading scheme makes it absolute, other links are read from the page's own
+    address. Null for other schemes (mailto and the like), for a link within the page, and on a page without a host."""
+    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    way, rest = F.regexp_extract(href, r"(?s)^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    there = F.when(href.startswith("/"), way).when(way == "", path_of(url)).otherwise(F.concat(folder, way))
     return (
-        F.when(href.contains("://"), href)
-        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
-        .when(href.startswith("/"), F.concat(F.lit("http://"), host_of(url), href))
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | href.startswith("#") | (href == "") | (host_of(url) == ""), None)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), href))
+        .otherwise(F.concat(origin, _without_dots(there), rest))
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, or empty."""
+    value = [F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*{form}", 1) for form in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]
+    return F.trim(F.regexp_replace(F.when(value[0] != "", value[0]).when(value[1] != "", value[1]).otherwise(value[2]), "&amp;", "&"))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, target): the canonical link and the refresh redirect that pages state about themselves."""
+    """(url, target): all canonical links and refresh redirects that pages state about themselves.
+
+    ``rel`` may name canonical among other relations; relative links are resolved against the page's url.
+    """
     u, h = F.col(url), F.col(html)
-    canonical = F.regexp_extract(h, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract(h, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    hrefs = F.array(
-        F.regexp_extract(canonical, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
+    links, metas = (F.regexp_extract_all(h, F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0)) for tag in ("link", "meta"))
+    canonical = F.filter(links, lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(metas, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    hrefs = F.concat(
+        F.transform(canonical, lambda t: _attribute(t, "href")),
+        F.transform(refresh, lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"']*)", 1))),
     )
     # Most pages have neither word, which is cheap to see.
     said = F.lower(h).contains("canonical") | F.lower(h).contains("http-equiv")
-    links = pages.where(said).select(u.alias("url"), F.explode(hrefs).alias("href")).where(F.col("href") != "")
-    return links.select("url", _target(F.col("url"), F.col("href")).alias("target")).where(F.col("target").isNotNull())
+    found = pages.where(said).select(u.alias("url"), F.explode(hrefs).alias("href")).where(F.col("href") != "")
+    return found.select("url", _target(F.col("url"), F.col("href")).alias("target")).where(F.col("target").isNotNull())
 
 
 def with_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -161,22 +192,43 @@ WITH RECURSIVE rules(verdict, rhost, rpath) AS (
          ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ),
 seen AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+tagged AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM seen),
+worded AS (
+  SELECT url, lower(tag[2:5]) AS kind, list_transform(['rel', 'href', 'http-equiv', 'content'], lambda k: replace(trim(coalesce(
+    nullif(regexp_extract(tag, '(?is)[\s"''/]' || k || '\s*=\s*"([^"]*)"', 1), ''),
+    nullif(regexp_extract(tag, '(?is)[\s"''/]' || k || '\s*=\s*''([^'']*)''', 1), ''),
+    regexp_extract(tag, '(?is)[\s"''/]' || k || '\s*=\s*([^\s"''>]+)', 1))), '&amp;', '&')) AS v
+  FROM tagged
+),
 tags AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
-  ]) AS href FROM seen
+  SELECT url, v[2] AS href FROM worded WHERE kind = 'link' AND list_contains(regexp_split_to_array(lower(v[1]), '\s+'), 'canonical')
+  UNION ALL
+  SELECT url, trim(regexp_extract(v[4], '(?is)\burl\s*=\s*["'']?([^"'']*)', 1)) FROM worded WHERE kind = 'meta' AND lower(v[3]) = 'refresh'
 ),
-links AS (
-  SELECT url, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href
-    WHEN starts_with(href, '/') THEN 'http://' || regexp_extract(url, '://([^/?#]*)', 1) || href END AS target
+aimed AS (
+  SELECT url, href, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin, regexp_extract(href, '(?s)^[^?#]*(.*)$', 1) AS rest,
+    regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS here, regexp_extract(href, '(?s)^([^?#]*)', 1) AS way
   FROM tags WHERE href <> ''
 ),
+placed AS (
+  SELECT *, CASE WHEN starts_with(href, '/') THEN way WHEN way = '' THEN here
+    ELSE coalesce(nullif(regexp_replace(here, '[^/]*$', ''), ''), '/') || way END AS there
+  FROM aimed
+),
+links AS (
+  SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(href, '#') OR regexp_extract(url, '://([^/?#]*)', 1) = '' THEN NULL
+    WHEN starts_with(href, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || href
+    ELSE origin || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(there, '/'), lambda x: [x])),
+        lambda a, x: CASE WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN x[1] = '.' THEN a ELSE a || x END), '/')
+      || CASE WHEN regexp_matches(there, '(?:^|/)\.\.?$') THEN '/' ELSE '' END || rest END AS target
+  FROM placed
+),
 urls AS (SELECT url FROM seen UNION SELECT target FROM links WHERE target IS NOT NULL),
 parts AS (
   SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
-    array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+    array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
       lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&#]*|ref|fbclid|gclid)(?:=|$)')), '&') AS query
   FROM urls
 ),
