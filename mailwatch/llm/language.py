@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrow_batches import few_rows, small
 
@@ -222,16 +223,24 @@ class LanguageModel:
 
 
 def sample(labelled: DataFrame, id: str, text: str, lang: str, c: LanguageConfig = LanguageConfig()) -> DataFrame:
-    """(lang, id, text): the bounded sample of windows that the fit sees."""
+    """(lang, id, text): the windows that the fit sees, at most ``per_language`` of each language.
+
+    Rows are ordered by a hash of id and text, and the first ones of each language are taken; rows that agree in both (with a null
+    id, in the text) count once, so neither repeated rows nor a repeated id can fill the sample or exceed it.
+    """
     rows = labelled.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    shares = rows.groupBy("lang").agg((F.lit(float(c.per_language)) / F.count(F.lit(1))).alias("share"))
-    draw = F.pmod(F.xxhash64("id", F.lit(c.seed)), F.lit(1_000_000)) / 1e6
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("id", "text", F.lit(c.seed)))
+    # Only what may be among the first is shuffled: about four times as many rows, which is short of none.
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * c.per_language / F.approx_count_distinct("h")).alias("share"))
+    draw = F.shiftrightunsigned("h", 11) * F.lit(2.0**-53)
     room = F.greatest(F.length("text") - c.window, F.lit(0)) + 1
-    at = F.pmod(F.xxhash64("id", F.lit(c.seed + 1)), room.cast("long")) + 1
+    at = F.pmod(F.xxhash64("h", F.lit(c.seed + 1)), room.cast("long")) + 1
     # One row a language.
-    chosen = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
-    return chosen.select("lang", "id", F.col("text").substr(at.cast("int"), F.lit(c.window)).alias("text"))
+    drawn = rows.join(F.broadcast(sizes), "lang").where(draw < F.col("share"))
+    cut = drawn.select("lang", "id", "h", F.col("text").substr(at.cast("int"), F.lit(c.window)).alias("text"))
+    once = cut.groupBy("lang", "h").agg(F.min(F.struct("id", "text")).alias("x")).select("lang", "h", "x.id", "x.text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    return once.withColumn("place", place).where(F.col("place") <= c.per_language).select("lang", "id", "text")
 
 
 def fit(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", config: LanguageConfig = LanguageConfig()) -> LanguageModel:
