@@ -37,10 +37,8 @@ def _hash(words: Column, at: Column, size: int) -> Column:
 
 
 def windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
-    """Distinct windows (words, items): size consecutive words, or all words of a shorter item."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), words(text).alias("w")).where(
-        (F.size("w") > 0) & F.col("item").isNotNull()
-    )
+    """Distinct windows (words, items): size consecutive words, or all words of a shorter item; items names those with an id."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), words(text).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(size))
     every = items.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("at"))
     cut = every.select("item", F.slice("w", F.col("at") + 1, length).alias("words"))
@@ -102,8 +100,8 @@ def contamination(
     """One row per row of docs: id, n_words, n_hit (words inside an occurring window), spans, items.
 
     spans are the (start, end) word ranges of occurring windows, sorted; items the ids of their
-    benchmark items, as sorted strings. A null or empty text has no words; items without an id or
-    without words match nothing; an empty benchmark marks nothing. Rows that share an id are judged
+    benchmark items, as sorted strings. A null or empty text has no words; items without words match
+    nothing, those without an id are marked but not named; an empty benchmark marks nothing. Rows that share an id are judged
     apart. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
@@ -213,7 +211,7 @@ hit AS (
   FROM (SELECT doc_id, unnest(range(i, i + l)) AS place FROM occ) GROUP BY doc_id
 ),
 its AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,

@@ -29,17 +29,16 @@ def contamination(docs, items, size=13):
     windows: dict = {}
     for item, text in items:
         w = bench_words(text)
-        if w and item is not None:
-            k = min(size, len(w))
-            for i in range(len(w) - k + 1):
-                windows.setdefault(tuple(w[i : i + k]), set()).add(str(item))
+        k = min(size, len(w))
+        for i in range(len(w) - k + 1) if w else ():
+            windows.setdefault(tuple(w[i : i + k]), set()).update([] if item is None else [str(item)])
     out = {}
     sizes = {len(x) for x in windows}
     for doc, text in docs:
         w, hit, found = bench_words(text), set(), set()
         for k in sizes:
             for i in range(len(w) - k + 1):
-                if (ids := windows.get(tuple(w[i : i + k]))):
+                if (ids := windows.get(tuple(w[i : i + k]))) is not None:
                     hit |= set(range(i, i + k))
                     found |= ids
         out[doc] = (len(w), len(hit), sorted(found))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -282,6 +283,41 @@ def test_urls(spark):
     assert urls.judged_urls(frame, urls.rule_table(spark).limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_page_links(spark):
+    pages = [
+        ("http://good.org/login", "<link rel=canonical href='/login?next=http://x.net/es/b'>", ["http://good.org/login?next=http://x.net/es/b"]),
+        ("http://a.org/d/e/p.html?k=1", "<link rel=canonical href=q.html>", ["http://a.org/d/e/q.html"]),
+        ("http://a.org/d/e/p.html", "<link href='../q/./r/..' rel='alternate Canonical'>", ["http://a.org/d/q/"]),
+        ("http://a.org/d/p", '<link rel="canonical" href="?id=3&amp;s=4#x">', ["http://a.org/d/p?id=3&s=4#x"]),
+        ("http://a.org", "<link rel=canonical href=../../b><LINK HREF='//c.org/y' REL='nofollow\ncanonical'>", ["http://a.org/b", "http://c.org/y"]),
+        ("https://a.org/z", "<meta http-equiv=Refresh content='5;URL=w'><meta content=\"0; url='https://v.org/1 2'\" http-equiv='refresh'>", ["https://a.org/w", "https://v.org/1 2"]),
+        ("http://a.org/n", "<link rel=canonical href=mailto:x@y><link rel=canonical href='#top'><link rel=canonicals href=/a><a rel=canonical href=/b><link data-rel=canonical href=/c>", []),
+        ("nohost", "<link rel=canonical href=/a><link rel=canonical href='ftp://b.org/c'>", ["ftp://b.org/c"]),
+    ]
+    frame = spark.createDataFrame([(u, h) for u, h, _ in pages], "url string, html string")
+    found: dict = {}
+    for r in urls.page_links(frame).collect():
+        found.setdefault(r["url"], []).append(r["target"])
+    assert found == {u: t for u, _, t in pages if t}
+    # The SQL reads the same links.
+    sql = urls.SQL[: urls.SQL.index("urls AS (SELECT url FROM seen")].rstrip().removesuffix(",") + " SELECT url, target FROM links WHERE target IS NOT NULL"
+    con = duckdb.connect()
+    con.register("pages", frame.selectExpr("1 AS page_id", "*").toPandas())
+    assert sorted(con.execute(sql).fetchall()) == sorted((u, t) for u, _, targets in pages for t in targets)
+    bad = spark.createDataFrame([(1, "http://good.org/login", pages[0][1]), (2, "http://a.org/p#f?k=1", "<link rel=canonical href='https://x.net/es/'>"), (3, "http://a.org/p", "")], "page_id long, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.judged_urls(bad, urls.rule_table(spark)).collect()}
+    assert verdicts == {1: "allow", 2: "block", 3: "block"}
+
+
+def test_language_sample_is_bounded(spark):
+    c = language.LanguageConfig(per_language=100)
+    rows = [("en", None if i % 2 else 7, f"text number {i} of many") for i in range(6000)] + [("en", 7, "one that stands very often")] * 4000
+    rows += [("de", i, f"satz {i}") for i in range(40)] + [("fr", 1, None), (None, 2, "keine"), ("fr", 3, "123")]
+    found = language.sample(spark.createDataFrame(rows, "lang string, doc_id long, text string").repartition(5), "doc_id", "text", "lang", c).collect()
+    assert sum(r["lang"] == "en" for r in found) == 100 and len({r["text"] for r in found if r["lang"] == "en"}) == 100
+    assert sum(r["lang"] == "de" for r in found) == 40 and not any(r["lang"] == "fr" for r in found)
+
+
 def test_suffix_tree(spark, docs, none):
     config = suffix_tree.SuffixConfig(least=2, gain=0.5)
     model, words = suffix_tree.fit(docs, config=config)
