@@ -5,7 +5,8 @@ rarest shingle alone is a necessary prefix. One pass over the texts keeps the pl
 occur in the benchmark at all (a bit set of bounded size tells most others at once) with the words
 around them. Their counts over the whole corpus order the shingles of each window by rarity; only
 places of a window's rarest shingle are joined, bounded by position and length, and compared word by
-word with the window. Texts are read once and never shuffled.
+word with the window. Texts are read once and never shuffled. Long texts are cut into overlapping segments,
+so what is kept around the places of one row is bounded however much of a text is hit.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SHINGLE = 3
 _MOST_BITS = 1 << 24
 _SENT = 100_000
+#: Words of a segment; the next one begins a window less a word before its end.
+_SEGMENT = 4096
 
 
 def words(text: Column | str) -> Column:
@@ -115,14 +118,18 @@ def contamination(
     shingles = places.withColumn("h", by_size)
     sizes = sorted(r["k"] for r in targets.select(size.alias("k")).distinct().collect())
 
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), words(text).alias("w")
-    ).withColumn("n_words", F.size("w").cast("long"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), words(text).alias("w"))
+    n = F.size("w")
+    step = _SEGMENT - (window - 1)
+    starts = F.when(n > _SEGMENT, F.sequence(F.lit(0), n - window, F.lit(step))).otherwise(F.array(F.lit(0)))
+    pieces = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("w", i + 1, _SEGMENT).alias("w")))
+    texts = texts.select("row", "id", n.alias("total"), F.explode(pieces).alias("z"))
+    texts = texts.select("row", "id", "total", "z.at", "z.w", F.size("z.w").alias("n_words"))
     found = [_places(F.col("w"), s, window - 1, _bits(shingles.where(F.col("k") == s))) for s in sizes]
     shape = "array<struct<p:int,h:bigint,back:int,near:array<string>>>"
     seen = F.concat(*found) if found else F.array().cast(shape)
-    marked = pinned(texts.select("row", "id", "n_words", seen.cast(shape).alias("seen")))
-    occurrences = marked.select("row", "n_words", F.inline("seen"))
+    marked = pinned(texts.select("row", "id", "total", "at", "n_words", seen.cast(shape).alias("seen")))
+    occurrences = marked.select("row", "at", "n_words", F.inline("seen"))
 
     # Rarity over the whole corpus; a window whose rarest shingle never occurs cannot occur either.
     counts = occurrences.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -145,17 +152,19 @@ def contamination(
         & (F.slice("near", F.greatest(F.col("back") - c["j"], F.lit(0)) + 1, F.size(c["words"])) == c["words"]),
     )
     spans = F.transform(
-        fits, lambda c: F.struct((F.col("p") - c["j"]).alias("start"), (F.col("p") - c["j"] + F.size(c["words"])).alias("end"))
-    )
-    verified = joined.select("row", spans.alias("spans"), F.flatten(F.transform(fits, lambda c: c["items"])).alias("items"))
-    per_row = (
-        verified.where(F.size("spans") > 0)
-        .groupBy("row")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
+        fits,
+        lambda c: F.struct(
+            (F.col("at") + F.col("p") - c["j"]).alias("start"), (F.col("at") + F.col("p") - c["j"] + F.size(c["words"])).alias("end"),
+            c["items"].alias("items"),
+        ),
     )
+    # Overlaps of segments are met twice; equal spans become one before they are gathered.
+    verified = joined.select("row", F.inline(spans))
+    ranges = verified.groupBy("row", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    named = verified.select("row", F.explode("items").alias("item")).distinct()
+    named = named.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    per_row = ranges.join(named, "row", "left")
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct(
@@ -165,7 +174,8 @@ def contamination(
         lambda a: a["n"].cast("long"),
     )
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return marked.select("row", "id", "n_words").join(per_row, "row", "left").select(
+    whole = marked.where(F.col("at") == 0).select("row", "id", F.col("total").cast("long").alias("n_words"))
+    return whole.join(per_row, "row", "left").select(
         F.col("id").alias(id), "n_words", F.coalesce(covered, F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

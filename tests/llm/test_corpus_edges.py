@@ -50,6 +50,19 @@ def test_contamination(spark, docs, none):
     assert twice.count() == 2 * len(TEXTS) and twice.distinct().count() == len(TEXTS)
 
 
+def test_contamination_of_a_long_text(spark):
+    """A text that is hit throughout, over many segments, and windows that lie across their borders."""
+    passage = " ".join(WORDS[:40])
+    clean = [f"x{i}" for i in range(9000)]
+    across = clean[:4080] + WORDS[100:130] + clean[4080:8150] + WORDS[200:213] + clean[8150:]
+    texts = [(1, " ".join([passage] * 5000)), (2, " ".join(across)), (3, " ".join(clean)), (4, " ".join(WORDS[100:130] * 137))]
+    items = [(1, passage), (2, " ".join(WORDS[100:130])), (None, " ".join(WORDS[200:213]))]
+    frames = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.contamination(*frames).collect()}
+    assert got == brute.contamination(texts, items)
+    assert got[1][:2] == (200_000, 200_000) and got[2][1] == 43
+
+
 def test_near_duplicates(docs, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(docs).collect()}
     want = brute.near_groups([t for t in TEXTS if t[0] is not None])
