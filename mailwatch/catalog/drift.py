@@ -8,10 +8,11 @@ from ..config import DriftConfig
 from ..functions.features import KEY_FEATURES
 from ..functions.labels import psi_band
 from ..operators import drift as D
-from ..operators import ordered
-from ..operators.distribution import feature_statistics, histogram
+from ..operators import ordered, sketches
+from ..operators.distribution import QUARTILES, feature_statistics, histogram, to_long
+from ..session import scratch_folder
 from .aggregates import _rounded, hist_sql
-from .views import LONG_SQL, baseline_long, current_long, table, with_views
+from .views import LONG_SQL, SPLIT, baseline_long, current_long, k_value, moment, table, with_views
 
 # --- SQL building blocks --------------------------------------------------------------
 
@@ -144,6 +145,81 @@ def _ranks(spark, sf):
     return ordered.average_ranks(long, ["feature"], "value")
 
 
+def written(df, name: str):
+    """The rows of df as a Parquet table of the shared folder."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _user_pair(spark, sf):
+    """Every user as a feature, with some dozens of values on each side."""
+    events = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("feature"), "ts", "user_id", "value")
+    late = F.col("ts") >= moment(SPLIT)
+    moved = F.when(F.col("user_id") % 2 == 0, F.col("value") * 1.5).otherwise(F.col("value"))
+    return events.where(~late).select("feature", "value"), events.where(late).select("feature", moved.alias("value"))
+
+
+USER_SQL = """
+ev AS (SELECT 'u' || user_id AS feature, ts, CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' AND user_id % 2 = 0 THEN value * 1.5e0 ELSE value END AS value FROM events),
+base AS (SELECT feature, value FROM ev WHERE ts < TIMESTAMP '2024-01-16 00:00:00'),
+cur AS (SELECT feature, value FROM ev WHERE ts >= TIMESTAMP '2024-01-16 00:00:00')"""
+
+#: All merges of n and m values, one value more in each round; what reaches the distance stays there.
+LATTICE_SQL = """
+lattice AS (
+  SELECT feature, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(round(d * n * m) AS BIGINT) AS h, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, 1.0e0 AS p FROM kd
+  UNION ALL
+  SELECT feature, n, m, h, i, j, sum(p) AS p FROM (
+    SELECT feature, n, m, h, i + x AS i, j + 1 - x AS j, p * CASE WHEN x = 1 THEN n - i ELSE m - j END / (n + m - i - j) AS p
+    FROM lattice, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS step(x) WHERE abs(i * m - j * n) < h AND CASE WHEN x = 1 THEN i < n ELSE j < m END)
+  GROUP BY feature, n, m, h, i, j
+)"""
+
+
+def _sketch_distances(spark, sf):
+    """Distances from stored sketches, held against those of all values."""
+    base, cur = _pair(spark, sf)
+    stored = [written(sketches.sketch_table(side), f"sketches-{i}") for i, side in enumerate((base, cur))]
+    near = sketches.sketch_distances(*stored).withColumnsRenamed({"ks_statistic": "ks", "wasserstein": "area"})
+    steps = D.two_sample_table(base, cur)
+    exact = D.ks_two_sample(None, None, table=steps).join(D.wasserstein(None, None, table=steps), "feature")
+    return near.join(exact, "feature").select(
+        "feature", (F.abs(F.col("ks") - F.col("ks_statistic")) < 0.02).alias("ks_near"),
+        (F.abs(F.col("area") - F.col("wasserstein")) <= 0.05 * F.col("wasserstein") + 0.5).alias("wasserstein_near"),
+    )
+
+
+def _daily_sketches(spark, sf):
+    """One stored sketch per day and feature, merged over all days; its quartiles have about the ranks they should."""
+    events = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "value", k_value().cast("double").alias("k"))
+    long = to_long(events, ["value", "k"], keep=["day"])
+    daily = written(sketches.sketch_table(long, ["day", "feature"]), "daily-sketches")
+    days = daily.groupBy("feature").agg(F.count_distinct("day").alias("days"))
+    whole = sketches.merged(daily).join(days, "feature")
+    points = sketches.sketch_quantiles(whole, QUARTILES)
+    ranks = long.join(F.broadcast(points), "feature").groupBy("feature").agg(  # one row a feature
+        *[F.avg((F.col("value") <= F.col(c)).cast("int")).alias(f"{c}_upto") for c in QUARTILES],
+        *[F.avg((F.col("value") < F.col(c)).cast("int")).alias(f"{c}_below") for c in QUARTILES],
+    )
+    near = [((F.col(f"{c}_below") <= q + 0.01) & (F.col(f"{c}_upto") >= q - 0.01)).alias(f"{c}_near") for c, q in QUARTILES.items()]
+    return whole.join(ranks, "feature").select("feature", "n", "min", "max", "days", *near)
+
+
+NORMAL_SQL = """
+SELECT feature, round(d, 6) AS ks_statistic, round(CASE WHEN lam < 0.2 THEN 1.0e0 ELSE least(greatest(
+    list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0e0 ELSE -2.0e0 END * exp(-2.0e0 * k * k * lam * lam))), 0.0e0), 1.0e0) END, 6) AS ks_pvalue
+FROM (
+  SELECT feature, max(greatest(CAST(upto AS DOUBLE) / n - f, f - CAST(upto - c AS DOUBLE) / n)) AS d, sqrt(any_value(n)) * d AS lam
+  FROM (
+    SELECT feature, c, upto, n, 0.5e0 * (1 + sign(z) * (1 - ((((1.061405429e0 * t - 1.453152027e0) * t + 1.421413741e0) * t - 0.284496736e0) * t + 0.254829592e0) * t * exp(-z * z))) AS f
+    FROM (
+      SELECT *, 1 / (1 + 0.3275911e0 * abs(z)) AS t FROM (
+        SELECT feature, c, sum(c) OVER (PARTITION BY feature ORDER BY value) AS upto, sum(c) OVER (PARTITION BY feature) AS n,
+          (value - mean) / greatest(std, 1e-6) / sqrt(2.0e0) AS z
+        FROM (SELECT feature, value, count(*) AS c FROM cur WHERE value IS NOT NULL GROUP BY feature, value) JOIN st USING (feature))))
+  GROUP BY feature)"""
+
 _J = (LONG_SQL, JOINT_SQL)
 
 QUERIES = {
@@ -163,15 +239,37 @@ QUERIES = {
         with_views(LONG_SQL, BASE_HIST_SQL, IN_BINS_SQL, body="SELECT feature, round(psi, 6) AS psi FROM psip"),
     ),
     "g03_ks_two_sample": (
-        lambda spark, sf: _rounded(D.ks_two_sample(*_pair(spark, sf))),
+        lambda spark, sf: _rounded(D.ks_two_sample(*_pair(spark, sf)), keep=("feature", "ks_method")),
         with_views(
             *_J, ECDF2_SQL, KS_SQL,
-            body="SELECT feature, round(ks_statistic, 6) AS ks_statistic, round(ks_pvalue, 6) AS ks_pvalue FROM ks",
+            body="SELECT feature, round(ks_statistic, 6) AS ks_statistic, round(ks_pvalue, 6) AS ks_pvalue, 'asymptotic' AS ks_method FROM ks",
+        ),
+    ),
+    "g03_ks_small_samples": (
+        lambda spark, sf: _rounded(D.ks_two_sample(*_user_pair(spark, sf)), keep=("feature", "ks_method")),
+        with_views(
+            USER_SQL, JOINT_SQL, ECDF2_SQL, KS_SQL, LATTICE_SQL,
+            body="""SELECT feature, round(d, 6) AS ks_statistic, round(least(p, 1.0e0), 6) AS ks_pvalue, 'exact' AS ks_method
+                    FROM kd JOIN (SELECT feature, sum(p) AS p FROM lattice WHERE abs(i * m - j * n) >= h GROUP BY feature) USING (feature)""",
+        ).replace("WITH", "WITH RECURSIVE", 1),
+    ),
+    "g03_sketch_distances": (
+        _sketch_distances,
+        with_views(LONG_SQL, body="SELECT feature, TRUE AS ks_near, TRUE AS wasserstein_near FROM base GROUP BY feature"),
+    ),
+    "f03_daily_sketches": (
+        _daily_sketches,
+        with_views(
+            LONG_SQL,
+            body="""SELECT feature, count(value) AS n, min(value) AS min, max(value) AS max, count(DISTINCT day) AS days, TRUE AS q25_near,
+                      TRUE AS median_near, TRUE AS q75_near
+                    FROM (SELECT 'value' AS feature, value, CAST(ts AS DATE) AS day FROM ev UNION ALL SELECT 'k', k, CAST(ts AS DATE) FROM ev)
+                    GROUP BY feature""",
         ),
     ),
     "g04_ks_normal": (
-        lambda spark, sf: D.ks_normal(current_long(spark, sf), feature_statistics(baseline_long(spark, sf))),
-        None,
+        lambda spark, sf: _rounded(D.ks_normal(current_long(spark, sf), feature_statistics(baseline_long(spark, sf)))),
+        with_views(LONG_SQL, STATS_SQL, body=NORMAL_SQL),
     ),
     "g05_chi_square": (
         lambda spark, sf: _rounded(D.chi_square(_priority_bins(spark, sf))),

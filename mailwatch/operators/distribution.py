@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null, ratio
+from . import sketches
 from .ordered import ecdf, exact_quantiles
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -19,8 +20,8 @@ def to_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) ->
     return df.select(*keep, F.inline(cells))
 
 
-def moments(long: DataFrame) -> DataFrame:
-    """Per feature: counts, mean, population std and range. Combines map-side."""
+def moments(long: DataFrame, *more: Column) -> DataFrame:
+    """Per feature: counts, mean, population std and range, and further aggregates. Combines map-side."""
     missing = F.count_if(F.col("value").isNull())
     n = F.count(F.lit(1))
     return long.groupBy("feature").agg(
@@ -31,24 +32,23 @@ def moments(long: DataFrame) -> DataFrame:
         F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
+        *more,
     )
 
 
-def feature_statistics(long: DataFrame, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
+def feature_statistics(long: DataFrame, approximate: bool = False, size: int = sketches.SIZE) -> DataFrame:
     """Mean, std, range, quartiles, missing and distinct counts per feature.
 
-    Exact by default; ``approximate`` uses sketches (no shuffle of distinct values).
-    Features without any value report zeros and a missing ratio of 1.
+    Exact by default. ``approximate`` makes sketches in the aggregate of the moments, one pass without a shuffle of values, and
+    keeps them in a column ``sketch`` (null for a feature without values), to be stored and merged. Features without any value
+    report zeros and a missing ratio of 1.
     """
-    base = moments(long)
     if approximate:
-        shape = long.groupBy("feature").agg(
-            *[F.percentile_approx("value", q, accuracy).alias(n) for n, q in QUARTILES.items()],
-            F.approx_count_distinct("value").alias("unique_count"),
-        )
+        found = moments(long, sketches.sketch_of("value", size).alias("_sketch"), F.approx_count_distinct("value").alias("unique_count"))
+        sketch = F.when(F.col("missing_count") < F.col("total"), F.col("_sketch"))
+        joined = found.withColumns({"sketch": sketch, **{n: sketches.quantile(sketch, q) for n, q in QUARTILES.items()}})
     else:
-        shape = exact_quantiles(long, QUARTILES)
-    joined = base.join(F.broadcast(shape), "feature", "left")  # one row per feature
+        joined = moments(long).join(F.broadcast(exact_quantiles(long, QUARTILES)), "feature", "left")  # one row per feature
     zeros = ["mean", "std", "min", "max", *QUARTILES]
     return joined.select(
         "feature",
@@ -56,6 +56,7 @@ def feature_statistics(long: DataFrame, approximate: bool = False, accuracy: int
         "missing_count",
         "missing_ratio",
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
+        *(["sketch"] if approximate else []),
     )
 
 

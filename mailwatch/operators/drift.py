@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DriftConfig
-from ..functions.divergence import EPS, chi_square_pvalue, clipped, jsd_term, kolmogorov_pvalue, normal_cdf, psi_term
+from ..functions.divergence import EPS, chi_square_pvalue, clipped, exact_ks_pvalue, jsd_term, kolmogorov_pvalue, normal_cdf, psi_term
 from ..functions.features import KEY_FEATURES
 from ..functions.numeric import ratio
 from .distribution import bin_of
@@ -43,18 +43,30 @@ def _side_totals(stacked: DataFrame) -> DataFrame:
 # --- sample-based ------------------------------------------------------------------
 
 
-def psi_samples(baseline: DataFrame, current: DataFrame, bins: int = 10, eps: float = EPS) -> DataFrame:
-    """PSI over equal bins of the joint range; 0 for an empty side or a single value."""
-    both = _stacked(baseline, current)
-    sides = _side_totals(both)
+def side_values(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(feature, value, n_base, n_cur): the distinct values of both samples; distances that share it read the samples once."""
+    return value_counts(_stacked(baseline, current), ["feature"], "value", _side_counts())
+
+
+def psi_samples(
+    baseline: DataFrame | None, current: DataFrame | None, bins: int = 10, eps: float = EPS, values: DataFrame | None = None
+) -> DataFrame:
+    """PSI over equal bins of the joint range; 0 for an empty side or a single value. ``values`` may be the table of
+    :func:`side_values`, which is then read instead of the samples."""
+    if values is None:
+        both = _stacked(baseline, current)
+        sides = _side_totals(both)
+        n_base, n_cur = F.count_if(~F.col("is_current")), F.count_if(F.col("is_current"))
+    else:
+        both, n_base, n_cur = values, F.sum("n_base"), F.sum("n_cur")
+        sides = values.groupBy("feature").agg(
+            n_base.alias("total_base"), n_cur.alias("total_cur"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        )
     usable = (F.col("total_base") > 0) & (F.col("total_cur") > 0) & (F.col("lo") < F.col("hi"))
     counts = (
         both.join(F.broadcast(sides.where(usable)), "feature")  # one row per feature
         .groupBy("feature", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-        .agg(
-            F.count_if(~F.col("is_current")).alias("n_base"),
-            F.count_if(F.col("is_current")).alias("n_cur"),
-        )
+        .agg(n_base.alias("n_base"), n_cur.alias("n_cur"))
     )
     # Bins empty on both sides contribute psi_term(eps, eps) = 0 and need no row.
     term = psi_term(
@@ -64,11 +76,12 @@ def psi_samples(baseline: DataFrame, current: DataFrame, bins: int = 10, eps: fl
     return sides.join(psi, "feature", "left").select("feature", F.coalesce("_psi", F.lit(0.0)).alias("psi"))
 
 
-def two_sample_table(baseline: DataFrame, current: DataFrame, ranges: int | None = None) -> DataFrame:
+def two_sample_table(
+    baseline: DataFrame | None, current: DataFrame | None, ranges: int | None = None, values: DataFrame | None = None
+) -> DataFrame:
     """Distinct values of both samples with both CDFs and the distance to the next value."""
-    both = _stacked(baseline, current)
-    counts = value_counts(both, ["feature"], "value", _side_counts())
-    run = running_totals(counts, ["feature"], "value", ["n_base", "n_cur"], ranges, source=both)
+    counts = values if values is not None else side_values(baseline, current)
+    run = running_totals(counts, ["feature"], "value", ["n_base", "n_cur"], ranges)
     base, cur = F.col("total_n_base"), F.col("total_n_cur")
     return run.select(
         "feature",
@@ -82,19 +95,27 @@ def two_sample_table(baseline: DataFrame, current: DataFrame, ranges: int | None
 
 
 def ks_two_sample(
-    baseline: DataFrame, current: DataFrame, ranges: int | None = None, table: DataFrame | None = None
+    baseline: DataFrame | None, current: DataFrame | None, ranges: int | None = None, table: DataFrame | None = None, exact: int = 1000
 ) -> DataFrame:
-    """Two-sample Kolmogorov–Smirnov statistic and asymptotic p-value; (0, 1) below 2 values."""
+    """Two-sample Kolmogorov–Smirnov statistic and two-sided p-value; (0, 1) below 2 values.
+
+    ``ks_method`` tells how the p-value came about: by counting merges (exact) where both samples have at most ``exact`` values, else
+    by the limit distribution (asymptotic).
+    """
     steps = table if table is not None else two_sample_table(baseline, current, ranges)
     gap = F.abs(F.col("cdf_base") - F.col("cdf_cur"))
     agg = steps.groupBy("feature").agg(
         F.max(gap).alias("d"), F.first("total_base").alias("n"), F.first("total_cur").alias("m")
     )
     enough = (F.col("n") >= 2) & (F.col("m") >= 2)
+    few = enough & (F.greatest("n", "m") <= exact)
+    counted = exact_ks_pvalue(F.col("d"), F.when(few, F.col("n")), F.when(few, F.col("m")))
+    p = F.coalesce(F.when(few, counted), kolmogorov_pvalue(F.col("d"), F.col("n"), F.col("m")))
     return agg.select(
         "feature",
         F.when(enough, F.col("d")).otherwise(F.lit(0.0)).alias("ks_statistic"),
-        F.when(enough, kolmogorov_pvalue(F.col("d"), F.col("n"), F.col("m"))).otherwise(F.lit(1.0)).alias("ks_pvalue"),
+        F.when(enough, p).otherwise(F.lit(1.0)).alias("ks_pvalue"),
+        F.when(few, "exact").otherwise("asymptotic").alias("ks_method"),
     )
 
 
@@ -388,7 +409,9 @@ def table_drift(
     reference: DataFrame, current: DataFrame, config: DriftConfig = DriftConfig()
 ) -> DataFrame:
     """PSI and KS of every feature of two long tables (built from their common columns)."""
-    per = psi_samples(reference, current).join(ks_two_sample(reference, current), "feature", "left")
+    values = side_values(reference, current)
+    ks = ks_two_sample(None, None, table=two_sample_table(None, None, values=values))
+    per = psi_samples(None, None, values=values).join(ks, "feature", "left")
     p = F.coalesce("ks_pvalue", F.lit(1.0))
     return per.select(
         "feature",

@@ -23,7 +23,7 @@ def _score_steps(scored: DataFrame, label: str, score: str, ranges: int | None)
     counts = rows.groupBy("feature", "value").agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
     )
-    run = running_totals(counts, ["feature"], "value", ["pos", "neg"], ranges, source=rows)
+    run = running_totals(counts, ["feature"], "value", ["pos", "neg"], ranges)
     return run.withColumnsRenamed({"total_pos": "p_total", "total_neg": "n_total"})
 
 
