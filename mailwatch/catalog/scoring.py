@@ -5,7 +5,6 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +62,9 @@ def _assembled(spark, sf):
     mails = emails(spark, sf)
     model = tfidf.fit(table(spark, sf, "documents"), "text", TfidfConfig())
     rows = scoring.full_features(mails, sender_features(emails(spark, sf, html=False)), model, "batch")
-    v = vector_to_array("features")
-    mass = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    return scoring.vectors(rows).select("email_id", F.size(v).alias("length"), F.round(mass, 4).alias("mass"))
+    mass = F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x)
+    cells = scoring.sparse_cells(rows, TfidfConfig().max_features)
+    return cells.select("email_id", F.col("features.size").alias("length"), F.round(mass, 4).alias("mass"))
 
 
 def _assembled_sql() -> str:
@@ -104,16 +103,15 @@ def _importances(spark, sf):
 
 
 def _score(spark, sf):
-    """All mails scored on the full vector by the documented forest, fitted on the labelled ones."""
-    senders = sender_features(emails(spark, sf, html=False))
+    """All mails scored on the full vector by the documented forest, fitted on the labelled ones; vectors are made once."""
+    mails = emails(spark, sf)
     words = tfidf.fit(table(spark, sf, "documents"), "text")
-    rows = scoring.full_features(_labelled(spark, sf), senders, words, "batch", keep=("email_id", "label"))
-    train = scoring.vectors(rows.withColumn("label", encode_label("label"))).select("label", "features")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = scoring.full_features(mails, sender_features(emails(spark, sf, html=False)), words, "batch", keep=("email_id", "label"))
+    stored = scoring.stored_vectors(rows, len(words.terms))
+    train = stored.where(F.col("label").isNotNull()).select(encode_label("label").alias("label"), "features")
     scaler = scaling.fit_vector_scaler(train)
-    model = training.fit(training.random_forest(), training.with_weights(scaler.transform(train)))
-    train.unpersist()
-    return scoring.score_table(emails(spark, sf, labels=False), model, senders, words, scaler, moment(JOB_TIME), "1")
+    model = training.fit(training.random_forest(), training.with_weights(scaler.scale_only(train)))
+    return scoring.scored_vectors(stored, model, scaler, moment(JOB_TIME), "1")
 
 
 QUERIES = {

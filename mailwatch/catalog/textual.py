@@ -80,8 +80,7 @@ def _vocabulary(spark, sf):
 
 def _counts(spark, sf):
     docs = _docs(spark, sf)
-    wide = tfidf.fit(docs, "text", CONFIG).counts(docs, "text")
-    cells = wide.select("doc_id", F.posexplode(vector_to_array("counts")).alias("idx", "n")).where(F.col("n") > 0)
+    cells = tfidf.fit(docs, "text", CONFIG).hits(docs, "text").select("doc_id", F.inline("hits"))
     return cells.select("doc_id", "idx", F.col("n").cast("long").alias("n"), F.round(1.0 + F.log("n"), 6).alias("tf"))
 
 
@@ -93,8 +92,8 @@ def _weights(spark, sf):
 
 def _norms(spark, sf):
     docs = _docs(spark, sf)
-    rows = tfidf.fit(docs, "text", CONFIG).transform(docs, "text", "v")
-    square = F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, w: a + w * w)
+    rows = tfidf.fit(docs, "text", CONFIG).weights(docs, "text", "v")
+    square = F.aggregate("v", F.lit(0.0), lambda a, h: a + h["weight"] * h["weight"])
     return rows.select("doc_id", F.round(F.sqrt(square), 6).alias("norm"))
 
 

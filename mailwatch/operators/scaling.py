@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,17 @@ class VectorScaler:
         return df.withColumn(column, array_to_vector(scaled))
 
 
+    def scale_only(self, df: DataFrame, column: str = "features") -> DataFrame:
+        """x/std per component, so that zeros of a sparse vector take no place.
+
+        The shift by the mean changes no order within a component, hence no split of a tree, and is part of a linear model's
+        intercept.
+        """
+        factors = Vectors.dense([1.0 / s for s in self.std])
+        scaled = ElementwiseProduct(scalingVec=factors, inputCol=column, outputCol="_scaled").transform(df)
+        return scaled.withColumn(column, F.col("_scaled")).drop("_scaled")
+
+
 def fit_vector_scaler(train: DataFrame, column: str = "features") -> VectorScaler:
     """One mergeable aggregate over the whole vector, however wide; zero std becomes 1."""
     s = train.select(Summarizer.metrics("count", "mean", "variance").summary(F.col(column)).alias("s")).first()["s"]

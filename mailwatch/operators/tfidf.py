@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,24 +109,31 @@ class TfidfModel:
         model = CountVectorizerModel.from_vocabulary(list(self.terms), "terms", out)
         return model.transform(with_terms(docs, text, self.config)).drop("terms")
 
-    def transform(self, docs: DataFrame, text: str = "body_text", out: str = "tfidf") -> DataFrame:
-        """Adds the L2-normalised weight vector; no shuffle, any corpus, rows kept as they are.
+    def hits(self, docs: DataFrame, text: str = "body_text", out: str = "hits") -> DataFrame:
+        """Adds (idx, n) of the vocabulary terms that a text has, in order of idx."""
+        if not self.terms:
+            return docs.withColumn(out, F.array().cast("array<struct<idx:int,n:double>>"))
+        found = F.unwrap_udt("_counts")  # a sparse vector: its positions and values
+        pairs = F.arrays_zip(found["indices"].alias("idx"), found["values"].alias("n"))
+        return self.counts(docs, text, "_counts").withColumn(out, pairs).drop("_counts")
+
+    def weights(self, docs: DataFrame, text: str = "body_text", out: str = "tfidf") -> DataFrame:
+        """Adds the L2-normalised weights (idx, weight) of the terms that a text has; no shuffle, any corpus, rows kept as they are.
 
-        A document without vocabulary terms gets the zero vector.
+        Work and size follow the hits of a text, not the vocabulary. A document without vocabulary terms gets an empty list.
         """
         if not self.terms:
-            return zero_block(docs, out, self.config.max_features)
+            return docs.withColumn(out, F.array().cast("array<struct<idx:int,weight:double>>"))
         idf = F.array(*[F.lit(v) for v in self.idf])
-        weighted = F.zip_with(
-            vector_to_array("_tf"), idf, lambda c, i: F.when(c > 0, (F.lit(1.0) + F.log(c)) * i).otherwise(F.lit(0.0))
-        )
-        raw = self.counts(docs, text, "_tf").withColumn("_w", array_to_vector(weighted)).drop("_tf")
-        return Normalizer(p=2.0, inputCol="_w", outputCol=out).transform(raw).drop("_w")
+        raw = F.transform("_hits", lambda h: F.struct(h["idx"].alias("idx"), ((F.lit(1.0) + F.log(h["n"])) * F.get(idf, h["idx"])).alias("weight")))
+        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, h: a + h["weight"] * h["weight"]))
+        scaled = F.transform("_raw", lambda h: F.struct(h["idx"].alias("idx"), (h["weight"] / F.col("_norm")).alias("weight")))
+        rows = self.hits(docs, text, "_hits").withColumn("_raw", raw).withColumn("_norm", norm)
+        return rows.withColumn(out, scaled).drop("_hits", "_raw", "_norm")
 
     def transform_long(self, docs: DataFrame, key: str, text: str = "body_text") -> DataFrame:
-        """Non-zero weights as (key, idx, weight)."""
-        wide = self.transform(docs.select(key, text), text, "_v")
-        return wide.select(key, F.posexplode(vector_to_array("_v")).alias("idx", "weight")).where(F.col("weight") > 0)
+        """Weights as (key, idx, weight): one row per hit."""
+        return self.weights(docs.select(key, text), text, "_w").select(key, F.inline("_w"))
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t, float(v)) for i, (t, v) in enumerate(zip(self.terms, self.idf))]
@@ -145,12 +152,12 @@ def fit(docs: DataFrame, text: str = "body_text", config: TfidfConfig = TfidfCon
 
 
 def wide_columns(df: DataFrame, column: str = "tfidf", size: int = 500) -> DataFrame:
-    """tfidf_0 … tfidf_{size-1} columns; indexes past the vocabulary are 0."""
-    values = df.withColumn("_cells", vector_to_array(column)).drop(column)
-    cells = [F.coalesce(F.get("_cells", F.lit(i)), F.lit(0.0)).alias(f"tfidf_{i}") for i in range(size)]
+    """tfidf_0 … tfidf_{size-1} columns from the weights; terms that a text lacks are 0."""
+    values = df.withColumn("_cells", F.map_from_entries(column)).drop(column)
+    cells = [F.coalesce(F.try_element_at("_cells", F.lit(i)), F.lit(0.0)).alias(f"tfidf_{i}") for i in range(size)]
     return values.select(*[c for c in values.columns if c != "_cells"], *cells)
 
 
 def zero_block(df: DataFrame, out: str = "tfidf", size: int = 500) -> DataFrame:
-    """The block used when no fitted vocabulary exists."""
+    """The dense block used when no fitted vocabulary exists."""
     return df.withColumn(out, array_to_vector(F.array_repeat(F.lit(0.0), size)))

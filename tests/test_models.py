@@ -128,10 +128,12 @@ def test_scoring_job_end_to_end(spark):
     mails = spark.createDataFrame(rows, cols)
     senders, words = aggregates.sender_features(mails), tfidf.fit(mails)
     full = scoring.full_features(mails, senders, words, keep=("email_id", "label"))
-    train = scoring.vectors(full).withColumn("label", (F.col("label") == "spam").cast("int")).cache()
+    train = scoring.stored_vectors(full, len(words.terms)).withColumn("label", (F.col("label") == "spam").cast("int")).cache()
+    first = train.first()["features"]
+    assert type(first).__name__ == "SparseVector" and first.size == 24 + len(words.terms) + 4 and all(first.values != 0)
     scaler = scaling.fit_vector_scaler(train)
     scaling.check_length(scaler, 24 + len(words.terms) + 4)
-    model = training.fit(training.random_forest(trees=5, depth=3), training.with_weights(scaler.transform(train)))
+    model = training.fit(training.random_forest(trees=5, depth=3), training.with_weights(scaler.scale_only(train)))
     out = scoring.score_table(mails, model, senders, words, scaler, F.lit("2024-02-01").cast("timestamp"), "7", threshold=0.5)
     got = {r["email_id"]: r for r in out.collect()}
     assert len(got) == 60 and got["e0"]["model_version"] == "7" and got["e0"]["prediction_timestamp"].startswith("2024-02-01T")

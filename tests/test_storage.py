@@ -1,3 +1,4 @@
+import math
 import json
 from datetime import datetime
 
@@ -103,12 +104,16 @@ def test_vocabulary_round_trip_and_zero_rows(spark, tmp_path):
     tables.save_artifact(model.to_frame(spark), str(tmp_path / "v"))
     again = tfidf.TfidfModel.from_frame(spark.read.parquet(str(tmp_path / "v")), config)
     assert again == model
-    vectors = [r["tfidf"] for r in again.transform(docs).collect()]
-    assert [round(float(v.norm(2)), 9) for v in vectors] == [1.0, 1.0, 0.0, 0.0]
+    found = [r["tfidf"] for r in again.weights(docs).collect()]
+    assert [round(sum(h["weight"] ** 2 for h in v), 9) for v in found] == [1.0, 1.0, 0, 0]
+    assert [[h["idx"] for h in v] for v in found] == [[1, 3, 4, 5], [0, 1, 2], [], []]
+    first = {h["idx"]: h["weight"] for h in found[0]}
+    idf = dict(enumerate(model.idf))
+    assert first[1] / first[5] == pytest.approx((1 + math.log(2)) * idf[1] / idf[5])
     empty = tfidf.fit(docs, config=TfidfConfig(min_df=5))
-    assert empty.terms == () and empty.transform(docs).first()["tfidf"].norm(2) == 0.0
-    wide = tfidf.wide_columns(again.transform(docs), size=8)
-    assert wide.columns[1:] == [f"tfidf_{i}" for i in range(8)] and wide.first()["tfidf_7"] == 0.0
+    assert empty.terms == () and empty.weights(docs).first()["tfidf"] == []
+    wide = tfidf.wide_columns(again.weights(docs), size=8)
+    assert wide.columns[1:] == [f"tfidf_{i}" for i in range(8)] and wide.first()["tfidf_7"] == 0.0 and wide.first()["tfidf_1"] == first[1]
 
 
 def test_predicates(spark):
