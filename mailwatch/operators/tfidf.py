@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel
@@ -96,6 +96,11 @@ def select_vocabulary(terms: DataFrame, size: int) -> DataFrame:
     return ordered.select(F.posexplode("v").alias("idx", "t")).select("idx", "t.*").withColumn("idf", idf)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often, and in whatever lambda, it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 @dataclass(frozen=True)
 class TfidfModel:
     """A fitted vocabulary: at most ``max_features`` terms with their idf."""
@@ -113,8 +118,8 @@ class TfidfModel:
         """Adds (idx, n) of the vocabulary terms that a text has, in order of idx."""
         if not self.terms:
             return docs.withColumn(out, F.array().cast("array<struct<idx:int,n:double>>"))
-        found = F.unwrap_udt("_counts")  # a sparse vector: its positions and values
-        pairs = F.arrays_zip(found["indices"].alias("idx"), found["values"].alias("n"))
+        # A sparse vector: its positions and values.
+        pairs = _once(F.unwrap_udt("_counts"), lambda v: F.arrays_zip(v["indices"].alias("idx"), v["values"].alias("n")))
         return self.counts(docs, text, "_counts").withColumn(out, pairs).drop("_counts")
 
     def weights(self, docs: DataFrame, text: str = "body_text", out: str = "tfidf") -> DataFrame:
@@ -126,10 +131,12 @@ class TfidfModel:
             return docs.withColumn(out, F.array().cast("array<struct<idx:int,weight:double>>"))
         idf = F.array(*[F.lit(v) for v in self.idf])
         raw = F.transform("_hits", lambda h: F.struct(h["idx"].alias("idx"), ((F.lit(1.0) + F.log(h["n"])) * F.get(idf, h["idx"])).alias("weight")))
-        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, h: a + h["weight"] * h["weight"]))
-        scaled = F.transform("_raw", lambda h: F.struct(h["idx"].alias("idx"), (h["weight"] / F.col("_norm")).alias("weight")))
-        rows = self.hits(docs, text, "_hits").withColumn("_raw", raw).withColumn("_norm", norm)
-        return rows.withColumn(out, scaled).drop("_hits", "_raw", "_norm")
+
+        def normalised(cells: Column) -> Column:
+            square = F.aggregate(cells, F.lit(0.0), lambda a, h: a + h["weight"] * h["weight"])
+            return _once(F.sqrt(square), lambda n: F.transform(cells, lambda h: F.struct(h["idx"].alias("idx"), (h["weight"] / n).alias("weight"))))
+
+        return self.hits(docs, text, "_hits").withColumn(out, _once(raw, normalised)).drop("_hits")
 
     def transform_long(self, docs: DataFrame, key: str, text: str = "body_text") -> DataFrame:
         """Weights as (key, idx, weight): one row per hit."""
