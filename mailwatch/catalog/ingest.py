@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import structure
+from ..session import scratch_folder
 from ..sources import mail, tables
 from .views import EMAILS_SQL, content_emails, emails, moment, table, with_views
 
@@ -117,7 +118,29 @@ def _ingest(spark, sf):
     return mail.ingest_summary(mail.decode_messages(_broken(spark, sf)))
 
 
+def _raw_scan(spark, sf):
+    """All messages as files of the shared folder, scanned again by label directory; totals come from the write itself."""
+    root = scratch_folder(spark, "raw")
+    seen = Observation()
+    written = mail.write_messages(raw_messages(spark, sf), root).observe(seen, F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    written.write.format("noop").mode("overwrite").save()
+    found = mail.scan_messages(spark, root)
+    corpus = mail.corpus_name(F.col("path"))
+    size = F.length("content")
+    rows = found.select(corpus.alias("corpus"), mail.label_of(corpus).alias("label"), size.alias("size"), F.regexp_extract(F.col("content").cast("string"), r"(?m)^Subject: (.*)$", 1).alias("subject"))
+    return rows.groupBy("corpus", "label").agg(
+        F.count(F.lit(1)).alias("files"), F.count_distinct("subject").alias("subjects"), F.lit(seen.get["files"]).cast("long").alias("files_written"),
+        (F.sum("size") <= F.lit(seen.get["bytes"])).alias("within_written"),
+    )
+
+
 QUERIES = {
+    "a01_raw_scan": (
+        _raw_scan,
+        f"""SELECT {_CORPUS_SQL} AS corpus, CASE WHEN doc_id % 4 = 0 THEN 'spam' ELSE 'ham' END AS label, count(*) AS files,
+              count(DISTINCT doc_id) AS subjects, (SELECT count(*) FROM documents) AS files_written, TRUE AS within_written
+            FROM documents WHERE doc_id % 19 <> 0 GROUP BY 1, 2""",
+    ),
     "a02_labels_from_path": (
         _labels,
         f"""SELECT {_CORPUS_SQL} || '_m' || CAST(doc_id AS VARCHAR) AS filename,

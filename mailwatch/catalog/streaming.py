@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.distribution import histogram
+from ..session import scratch_folder
 from ..sources.logs import with_partitions
 from ..streaming import windows
+from ..streaming.ledger import Ledger, ledger_stream
 from .aggregates import _rounded
 from .drift import BASE_HIST_SQL
 from .monitoring import daily_values
@@ -53,7 +55,65 @@ SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, time_bucket(INTE
   prediction, count(*) AS n, round(avg(latency_ms), 6) AS avg_latency_ms, max(latency_ms) AS max_latency_ms
 FROM logs GROUP BY 1, 2, 3"""
 
+def _streamed(spark, sf, write=None):
+    """The log as a stream of files through the ledger, run to its end and then once more from the start."""
+    rows = logs(spark, sf)
+    source = scratch_folder(spark, "arriving")
+    rows.repartition(6, "inference_id").write.parquet(source)
+    folder = scratch_folder(spark, "ledger")
+    ledger = Ledger(spark, folder, **({"write": write} if write else {}))
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    # The second run has lost its checkpoint and hands over all batches again.
+    for run in ("first", "again"):
+        query = ledger_stream(arriving, ledger, f"{folder}/_{run}", once=True).start()
+        query.awaitTermination()
+    return ledger, rows.schema
+
+
+def _log_sink(spark, sf):
+    """Rows by hour of the streamed log, whose batches were all handed over twice."""
+    ledger, schema = _streamed(spark, sf)
+    return ledger.log(schema).groupBy("year", "month", "day", "hour").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("inference_id").alias("ids")
+    )
+
+
+def _failing_sink(spark, sf):
+    """Every second batch cannot be written: its rows are dead letters, and none is lost or doubled."""
+    def broken(batch, path):
+        if int(path.split("/batch=")[1].split("/")[0]) % 2:
+            raise OSError("no space left")
+        batch.write.parquet(path)
+
+    ledger, schema = _streamed(spark, sf, broken)
+    stored, dead = ledger.log(schema), ledger.dead_letters(schema)
+    known = ledger.manifest().agg(F.sum("n").alias("n")).scalar()
+    every = stored.select("prediction", "inference_id", F.lit(None).cast("string").alias("error")).unionByName(
+        dead.select("prediction", "inference_id", "error")
+    )
+    return every.groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("inference_id").alias("ids"),
+        F.min("error").alias("reason"), F.max(known).alias("in_manifest"),
+    )
+
+
 QUERIES = {
+    "k01_log_sink": (
+        _log_sink,
+        with_views(
+            LOGS_SQL,
+            body="""SELECT strftime(timestamp, '%Y') AS year, strftime(timestamp, '%m') AS month, strftime(timestamp, '%d') AS day,
+                      strftime(timestamp, '%H') AS hour, count(*) AS n, count(DISTINCT inference_id) AS ids FROM logs GROUP BY 1, 2, 3, 4""",
+        ),
+    ),
+    "k02_dead_letters": (
+        _failing_sink,
+        with_views(
+            LOGS_SQL,
+            body="""SELECT prediction, count(*) AS n, count(DISTINCT inference_id) AS ids, 'no space left' AS reason,
+                      (SELECT count(*) FROM logs) AS in_manifest FROM logs GROUP BY prediction""",
+        ),
+    ),
     "a06_log_partitions": (
         lambda spark, sf: with_partitions(logs(spark, sf)).groupBy("year", "month", "day", "hour").agg(F.count(F.lit(1)).alias("n")),
         with_views(

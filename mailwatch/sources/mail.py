@@ -13,6 +13,9 @@ from datetime import timezone
 from email.utils import parseaddr, parsedate_to_datetime
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,11 +104,37 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every file under ``path``; hidden files are skipped."""
+    """(path, content) of every file under ``path``; hidden and empty files are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.where(~file_name(F.col("path")).startswith(".")).select("path", "content")
 
 
+def write_messages(messages: DataFrame, root: str) -> DataFrame:
+    """(corpus, path, bytes): every message written to ``root`` as a file of its own, in the folder of its corpus.
+
+    Tasks write through a file system that pyarrow opens on the executors (file, hdfs, s3, gs, abfs). A repeated task writes the
+    same files again. The result is lazy; running it writes.
+    """
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri = root if "://" in root else "file://" + root.removeprefix("file:")
+        system, base = fs.FileSystem.from_uri(uri)
+        for part in parts:
+            paths = [f"{base.rstrip('/')}/{c}/{n}" for c, n in zip(part.column("corpus").to_pylist(), part.column("name").to_pylist())]
+            for folder in {p.rsplit("/", 1)[0] for p in paths}:
+                system.create_dir(folder, recursive=True)
+            for path, content in zip(paths, part.column("content").to_pylist()):
+                with system.open_output_stream(path) as out:
+                    out.write(content)
+            sizes = pc.cast(pc.binary_length(part.column("content")), pa.int64())
+            yield pa.record_batch([part.column("corpus"), pa.array(paths, pa.string()), sizes], names=["corpus", "path", "bytes"])
+
+    rows = messages.where(F.col("content").isNotNull()).select(
+        corpus_name(F.col("path")).alias("corpus"), file_name(F.col("path")).alias("name"), "content"
+    )
+    return rows.mapInArrow(write, "corpus string, path string, bytes long")
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
