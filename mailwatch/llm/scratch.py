@@ -31,3 +31,19 @@ def pinned(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """The rows of df as a compressed Parquet table of the shared folder, and its path.
+
+    Large intermediate tables take a fraction of the room of a checkpoint, and can be dropped as soon as their last reader is done.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Removes a table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .arrow_batches import few_rows, small
 from .binary_files import make_folder, opened, whole_file
 from .hashing import BLANKS, batches, word_hashes
-from .scratch import new_folder, pinned
+from .scratch import drop, new_folder, stored
 
 _END_BYTE = 10
 #: Stands for the end token among the hashes of words.
@@ -152,12 +153,18 @@ def states(counts: DataFrame, config: SuffixConfig) -> tuple[DataFrame, DataFram
     A state gives its next symbol rest times the probability of the state a byte shorter, plus part if
     the symbol was seen after it (interpolation by the number of different symbols).
     """
-    levels = counts.select(F.explode(F.sequence(F.lit(0), F.lit(config.depth))).alias("d"), "key", "n")
-    cells = levels.groupBy("d", _low(F.col("key"), F.col("d") + 1).alias("key")).agg(F.sum("n").alias("n"))
-    cells = pinned(cells.withColumn("context", F.shiftrightunsigned("key", 8)))
-    contexts = cells.groupBy("d", "context").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    contexts = pinned(contexts.where((F.col("d") == 0) | (F.col("all") >= config.least)))
-    own = cells.join(contexts, ["d", "context"])
+    # Counts of shorter runs are sums of those one byte longer, so the long runs are read once.
+    level, levels = counts.select("key", "n"), []
+    for d in range(config.depth, -1, -1):
+        if d < config.depth:
+            level = level.groupBy(_low(F.col("key"), d + 1).alias("key")).agg(F.sum("n").alias("n"))
+        # A context has at most 256 next symbols.
+        nodes = level.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(
+            F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("key", "n")).alias("seen")
+        )
+        levels.append(nodes.where(F.col("all") >= (config.least if d else 0)).select(F.lit(d).alias("d"), "*"))
+    contexts, folder = stored(reduce(DataFrame.unionByName, levels), "contexts")
+    own = contexts.select("d", "context", "all", F.inline("seen"))
     above = own.select(
         (F.col("d") + 1).alias("d"), F.col("key").alias("near"), F.col("n").alias("n_above"), F.col("all").alias("all_above")
     )
@@ -172,12 +179,12 @@ def states(counts: DataFrame, config: SuffixConfig) -> tuple[DataFrame, DataFram
         F.col("to").alias("d"), _low(F.col("context"), F.col("to")).alias("context")
     )
     root = contexts.where("d = 0").select("d", "context")
-    kept = pinned(closed.unionByName(root).distinct().join(contexts, ["d", "context"]))
     weight = F.col("all") + F.col("kinds")
-    return (
-        kept.select("d", "context", (F.col("kinds") / weight).alias("rest")),
-        pinned(cells.join(kept, ["d", "context"]).select("d", "key", (F.col("n") / weight).alias("part"))),
-    )
+    kept, _ = stored(closed.unionByName(root).distinct().join(contexts, ["d", "context"]), "states")
+    cells = kept.withColumn("weight", weight).select("d", "weight", F.inline("seen"))
+    cells, _ = stored(cells.select("d", "key", (F.col("n") / F.col("weight")).alias("part")), "cells")
+    drop(counts.sparkSession, folder)
+    return kept.select("d", "context", (F.col("kinds") / weight).alias("rest")), cells
 
 
 def logs(given: DataFrame, kept: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
@@ -276,7 +283,7 @@ def fit(docs: DataFrame, *, text: str = "text", config: SuffixConfig = SuffixCon
     """The model of all texts of docs, and the counts (key, n) of all their words; null counts as an empty text."""
     given = docs.select(F.col(text).cast("string").alias("text"))
     found = given.mapInArrow(_gathered(config), "kind int, key long, n long")
-    counts = pinned(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts, _ = stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     sizes = {r["kind"]: (r["rows"], r["n"]) for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
     grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     (_, symbols), (kinds, tokens) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
@@ -371,9 +378,11 @@ def scored(docs: DataFrame, model: SuffixModel, words: DataFrame, *, id: str = "
     make_folder(folder)
     groups = max(1, model.symbols // _GROUP)
     missed = given.mapInArrow(_missed(sent, groups), "chunk int, keys array<long>")
-    each = pinned(missed.select("chunk", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set("chunk").alias("chunks")))
+    each = missed.select("chunk", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set("chunk").alias("chunks"))
+    each, seldom_runs = stored(each, "seldom")
     laid = each.join(model.logs(each), "key").select(F.explode("chunks").alias("chunk"), "key", F.col("log").cast("float").alias("log"))
     laid.repartition("chunk").sortWithinPartitions("chunk", "key").mapInArrow(_filed(folder), "chunk int, n long").count()
+    drop(spark, seldom_runs)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
@@ -418,7 +427,7 @@ def scored(docs: DataFrame, model: SuffixModel, words: DataFrame, *, id: str = "
             )
 
     schema = f"row long, id {kind}, n_tokens long, known long, base double, score double, rare array<long>, other array<long>"
-    rows = pinned(given.mapInArrow(run, schema))
+    rows, _ = stored(given.mapInArrow(run, schema), "scores")
     seen = words.select(F.col("key").alias("word"), "n")
     value = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(scale))
     rest = (

@@ -82,6 +82,38 @@ def base_scores(docs):
     return out, n
 
 
+def tree_scores(train, texts, depth, least, gain):
+    """Log10 probabilities of texts under a suffix tree over the bytes of train, with dictionaries."""
+
+    def form(text):
+        return b"\n" * depth + b"".join(w.encode() + b" " for w in tokens(text)) + b"\n"
+
+    seen: dict = {}
+    for text in train:
+        f = form(text)
+        for i in range(depth, len(f)):
+            for d in range(depth + 1):
+                seen.setdefault(f[i - d : i], Counter())[f[i]] += 1
+    kept = {b""}
+    for context, after in seen.items():
+        if context and (total := sum(after.values())) >= least:
+            above = seen[context[1:]]
+            whole = sum(above.values())
+            if sum(n * math.log(n * whole / (total * above[s])) for s, n in after.items()) >= gain:
+                kept |= {context[k:] for k in range(len(context))}
+
+    def probability(before, symbol):
+        p = 1 / 256
+        for d in range(depth + 1):
+            context = before[len(before) - d :]
+            if context in kept and context in seen:
+                total, kinds = sum(seen[context].values()), len(seen[context])
+                p = kinds / (total + kinds) * p + seen[context][symbol] / (total + kinds)
+        return p
+
+    return [sum(math.log10(probability(f[i - depth : i], f[i])) for i in range(depth, len(f))) for f in map(form, texts)]
+
+
 def edited(rows):
     """rows: (id, text) in order of id. id -> edited text."""
     out = {}

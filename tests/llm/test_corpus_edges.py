@@ -347,6 +347,16 @@ def test_suffix_tree(spark, docs, none):
     assert suffix_tree.scored(none, model, words).count() == 0
 
 
+@pytest.mark.parametrize("config", [suffix_tree.SuffixConfig(depth=3, least=4, gain=2.0), suffix_tree.SuffixConfig(share=0.002, least=3, gain=1.0)])
+def test_suffix_tree_scores_are_those_of_plain_counts(spark, config):
+    texts = [" ".join(WORDS[i * 7 % 60 : i * 7 % 60 + 12]) + " Über naïve\tcafé " * (i % 3) + "the cat sat " * (i % 5) for i in range(50)] + [None, "", "THE CAT"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, words = suffix_tree.fit(frame.where("doc_id % 4 > 0"), config=config)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(frame, model, words).collect()}
+    want = brute.tree_scores([t for i, t in enumerate(texts) if i % 4], texts, config.depth, config.least, config.gain)
+    assert all(got[i] == pytest.approx(w, rel=1e-5) for i, w in enumerate(want))
+
+
 def test_suffix_tree_keeps_contexts_of_a_small_source(spark):
     """A context of fixed count stays when unrelated text is added, and share only moves lookups."""
     small_source = [(i, "qxa zxb " * 6) for i in range(10)]
