@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SliceConfig
@@ -152,17 +154,65 @@ def misclassified(scored: DataFrame, key: str, label: str = "label", prediction:
     return scored.where(F.col(label) != F.col(prediction)).select(key, kind.alias("kind"))
 
 
+def _moments_of_pairs(columns: Sequence[str]):
+    """Per task and column pair: rows with both values, means, and sums of products about the means."""
+    left, right = np.triu_indices(len(columns), 1)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        origin, sums = None, None
+        for part in parts:
+            x = np.column_stack([np.asarray(part.column(c).cast(pa.float64()).fill_null(np.nan)) for c in columns])
+            if not len(x):
+                continue
+            there = ~np.isnan(x)
+            if origin is None:  # products about a point near the data keep their digits
+                origin = np.where(there, x, 0).sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+                origin[~np.isfinite(origin)] = 0
+                sums = [np.zeros((len(columns), len(columns))) for _ in range(4)]
+            m, z = there.astype(float), np.where(there, x - origin, 0)
+            for total, product in zip(sums, (m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z)):
+                total += product
+        if origin is None:
+            return
+        n, first, second, cross = sums
+        n_of, a, b = n[left, right], first[left, right], first[right, left]
+        some = np.maximum(n_of, 1)
+        columns_out = {
+            "i": left.astype("i4"), "j": right.astype("i4"), "n": n_of.astype("i8"), "ma": origin[left] + a / some, "mb": origin[right] + b / some,
+            "caa": second[left, right] - a * a / some, "cbb": second[right, left] - b * b / some, "cab": cross[left, right] - a * b / some,
+        }
+        yield pa.record_batch({k: pa.array(v) for k, v in columns_out.items()})
+
+    return run
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair, in one aggregate pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(nan_to_null(a), nan_to_null(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{i}").alias("correlation"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    """(left, right, correlation): Pearson correlation of every column pair over the rows that have both values.
+
+    Tasks sum products of whole blocks of rows, one matrix product for all pairs, and send one row per pair; so hundreds of
+    columns are one pass and one small aggregate. NULL without two rows or without spread.
+    """
+    columns = list(columns)
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "left string, right string, correlation double")
+    rows = df.select(*[nan_to_null(c).cast("double").alias(c) for c in columns])
+    parts = rows.mapInArrow(_moments_of_pairs(columns), "i int, j int, n long, ma double, mb double, caa double, cbb double, cab double")
+    # Means of tasks are compared with the least of their pair, so that large values lose no digits.
+    pair = Window.partitionBy("i", "j")
+    parts = parts.where("n > 0").withColumns({c: F.col(c) - F.min(c).over(pair) for c in ("ma", "mb")})
+    n, w = F.sum("n"), F.col("n")
+    between = lambda x, y: F.sum(w * F.col(x) * F.col(y)) - F.sum(w * F.col(x)) * F.sum(w * F.col(y)) / F.nullif(n, F.lit(0))
+    pairs = parts.groupBy("i", "j").agg(
+        n.alias("n"), (F.sum("caa") + between("ma", "ma")).alias("caa"), (F.sum("cbb") + between("mb", "mb")).alias("cbb"),
+        (F.sum("cab") + between("ma", "mb")).alias("cab"),
     )
-    return one.select(F.inline(rows))
+    size = len(columns)
+    grid = df.sparkSession.range(size * size).select((F.col("id") / size).cast("int").alias("i"), (F.col("id") % size).cast("int").alias("j"))
+    pairs = grid.where("i < j").join(F.broadcast(pairs), ["i", "j"], "left")  # one row a pair
+    names = F.array(*[F.lit(c) for c in columns])
+    spread = F.sqrt(F.col("caa")) * F.sqrt(F.col("cbb"))
+    value = F.when((F.col("n") > 1) & (F.col("caa") > 0) & (F.col("cbb") > 0), F.greatest(F.least(F.col("cab") / F.nullif(spread, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)))
+    return pairs.select(F.get(names, F.col("i")).alias("left"), F.get(names, F.col("j")).alias("right"), value.alias("correlation"))
 
 
 def extraction_summary(features: DataFrame, senders: DataFrame, vocabulary_size: int) -> DataFrame:
