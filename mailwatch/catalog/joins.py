@@ -13,6 +13,8 @@ from ..operators import joins, latest, predicates, ranking, tfidf
 from ..operators.aggregates import sender_features
 from ..plans.feature_store import Entity, FeatureService, FeatureStore, FeatureView
 from ..plans.training import training_table
+from ..session import scratch_folder
+from ..sources.snapshots import Snapshot
 from .features import SQL_TRAIN
 from .textual import _sql as tfidf_sql
 from .views import (
@@ -194,6 +196,15 @@ def _materialized_incremental(spark, sf):
     )
 
 
+def _stored_upserts(spark, sf):
+    """The same through a stored snapshot: two runs, each of which writes the buckets that its rows touch."""
+    history = feature_history(spark, sf)
+    kept = Snapshot(spark, scratch_folder(spark, "snapshot"), ("user_id",), buckets=16)
+    for end in ("2024-01-15 00:00:00", "2024-01-31 00:00:00"):
+        kept.upsert(history, moment(end))
+    return kept.read(history.schema)
+
+
 def _latest_sql(condition: str) -> str:
     return with_views(
         FEATURE_HISTORY_SQL,
@@ -415,4 +426,8 @@ QUERIES = {
         _materialized_incremental,
         _latest_sql("event_timestamp BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'"),
     ),
+    "w02_stored_upserts": (
+        _stored_upserts,
+        _latest_sql("event_timestamp BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'"),
+    ),
 }
