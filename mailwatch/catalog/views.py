@@ -244,4 +244,5 @@ history AS (
 
 
 def with_views(*parts: str, body: str) -> str:
-    return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body.strip()
+    kind = "WITH RECURSIVE " if any("lattice AS" in p for p in parts) else "WITH "
+    return kind + ",".join(p.strip() for p in parts) + "\n" + body.strip()

@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from mailwatch.functions.divergence import lattice_pvalue
 from mailwatch.operators import distribution, ordered, sketches
