@@ -163,7 +163,9 @@ def states(counts: DataFrame, config: SuffixConfig) -> tuple[DataFrame, DataFram
             F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("key", "n")).alias("seen")
         )
         levels.append(nodes.where(F.col("all") >= (config.least if d else 0)).select(F.lit(d).alias("d"), "*"))
-    contexts, folder = stored(reduce(DataFrame.unionByName, levels), "contexts")
+    # As many files as a shuffle has partitions, not as many for each depth.
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contexts, folder = stored(reduce(DataFrame.unionByName, levels).coalesce(parts), "contexts")
     own = contexts.select("d", "context", "all", F.inline("seen"))
     above = own.select(
         (F.col("d") + 1).alias("d"), F.col("key").alias("near"), F.col("n").alias("n_above"), F.col("all").alias("all_above")
