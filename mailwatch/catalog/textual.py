@@ -64,7 +64,7 @@ def _kept(spark, sf):
 
 
 def _terms(spark, sf):
-    return tfidf.with_terms(_docs(spark, sf), "text", CONFIG).select(F.explode("terms").alias("term")).groupBy("term").agg(
+    return tfidf.with_terms(_docs(spark, sf), "text", CONFIG).select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -74,13 +74,12 @@ def _frequency(spark, sf):
 
 
 def _vocabulary(spark, sf):
-    vocab = tfidf.select_vocabulary(tfidf.document_frequency(_docs(spark, sf), "text", CONFIG), CONFIG.max_features)
-    return vocab.select("idx", "term", "df", "cf", F.round("idf", 6).alias("idf"))
+    return tfidf.vocabulary(_docs(spark, sf), "text", CONFIG).select("idx", "term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def _counts(spark, sf):
     docs = _docs(spark, sf)
-    cells = tfidf.fit(docs, "text", CONFIG).hits(docs, "text").select("doc_id", F.inline("hits"))
+    cells = tfidf.fit(docs, "text", CONFIG).hits(docs, "text").select("doc_id", F.inline_outer("hits")).where(F.col("idx").isNotNull())
     return cells.select("doc_id", "idx", F.col("n").cast("long").alias("n"), F.round(1.0 + F.log("n"), 6).alias("tf"))
 
 

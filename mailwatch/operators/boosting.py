@@ -135,7 +135,8 @@ def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
 def cut_points(df: DataFrame, features: str = "features", bins: int = 256, accuracy: int = 10_000) -> list[np.ndarray]:
     """At most bins - 1 distinct quantiles of every vector component, in one aggregate; the last bin is open."""
     shares = [(i + 1) / bins for i in range(bins - 1)]
-    cells = df.select(F.posexplode(vector_to_array(features)).alias("f", "x"))
+    # Outer: from an inner one the optimizer derives a filter on the vector and makes the vector once more for it.
+    cells = df.select(F.posexplode_outer(vector_to_array(features)).alias("f", "x")).where(F.col("f").isNotNull())
     rows = cells.groupBy("f").agg(F.percentile_approx("x", shares, accuracy).alias("c")).collect()
     return [np.unique(np.array(r["c"])) for r in sorted(rows, key=lambda r: r["f"])]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector
@@ -33,13 +33,13 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """All n-grams of the word list, joined by one space.
 
     Longer grams grow from shorter ones by pairing each with the word that follows it, so
-    the word list is read a fixed number of times and never inside a lambda.
+    the word list is read a fixed number of times and never inside a lambda. A gram with a null word is null.
     """
     grams, parts = words, [words] if low == 1 else []
     for n in range(2, high + 1):
         count = F.greatest(F.size(words) - (n - 1), F.lit(0))
         grams = F.zip_with(
-            F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n), count), lambda g, w: F.concat_ws(" ", g, w)
+            F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n), count), lambda g, w: F.concat(g, F.lit(" "), w)
         )
         if n >= low:
             parts.append(grams)
@@ -61,32 +61,62 @@ def with_terms(docs: DataFrame, text: str, config: TfidfConfig, out: str = "term
 def term_statistics(docs: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
     """Per term: documents containing it (df) and occurrences (cf).
 
-    One pass: every document contributes its terms with cf weight and its distinct terms
-    with df weight; both are combined map-side before the shuffle on the term.
+    One pass: every document contributes its terms in order, and the first of equal ones counts for df; both are combined
+    map-side before the shuffle on the term.
     """
-    terms = with_terms(docs, text, config).select("terms")
-    weighted = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))),
-        F.transform(
-            F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
-        ),
-    )
-    return (
-        terms.select(F.inline(weighted))
-        .groupBy("term")
-        .agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
-    )
+    return _statistics(with_terms(docs, text, config).select("terms"))
+
+
+def _statistics(terms: DataFrame) -> DataFrame:
+    ordered = terms.select(F.sort_array("terms").alias("_s"))
+    first = lambda t, i: F.when((i > 0) & (F.get("_s", i - 1) == t), F.lit(0)).otherwise(F.lit(1))
+    marked = F.transform("_s", lambda t, i: F.struct(t.alias("term"), first(t, i).alias("d")))
+    # Outer: from an inner one the optimizer derives a filter on the array and makes the array once more for it.
+    return ordered.select(F.inline_outer(marked)).where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("d").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def document_frequency(docs: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
     """Terms inside the df bounds, with the corpus size alongside."""
+    return _bounded(term_statistics(docs, text, config), docs, config)
+
+
+def _bounded(stats: DataFrame, docs: DataFrame, config: TfidfConfig) -> DataFrame:
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = term_statistics(docs, text, config).where(F.col("df") >= config.min_df)
-    return stats.withColumn("n_docs", size.scalar()).where(
+    return stats.where(F.col("df") >= config.min_df).withColumn("n_docs", size.scalar()).where(
         F.col("df") <= F.lit(float(config.max_df)) * F.col("n_docs")
     )
 
 
+def vocabulary(docs: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
+    """The chosen terms of the corpus, as :func:`select_vocabulary` takes them from all terms.
+
+    A longer gram occurs no more often than any of its words. So once there are as many words in the df bounds as terms are
+    wanted, grams of words rarer than the last of those cannot be chosen, and only the others are counted. If too few words are
+    in the bounds, or very many are as frequent as the last, all terms are counted.
+    """
+    low, high = config.ngrams
+    if low == 1 and high > 1:
+        most = 8 * config.max_features
+        words = term_statistics(docs, text, replace(config, ngrams=(1, 1))).withColumn("n_docs", docs.agg(F.count(F.lit(1))).scalar())
+        common = words.orderBy(F.col("cf").desc(), "term").limit(most + 1).collect()
+        chosen = [r for r in common if config.min_df <= r["df"] <= config.max_df * r["n_docs"]][: config.max_features]
+        least = chosen[-1]["cf"] if len(chosen) == config.max_features > 0 else None
+        frequent = [r["term"] for r in common if least is not None and r["cf"] >= least]
+        if 0 < len(frequent) <= most:
+            grams = _bounded(_statistics(_terms_among(docs, text, replace(config, ngrams=(2, high)), frequent)), docs, config)
+            top = docs.sparkSession.createDataFrame([r.asDict() for r in chosen], grams.schema)
+            return select_vocabulary(top.unionByName(grams.where(F.col("cf") >= least)), config.max_features)
+    return select_vocabulary(document_frequency(docs, text, config), config.max_features)
+
+
+def _terms_among(docs: DataFrame, text: str, config: TfidfConfig, words: Sequence[str], out: str = "terms") -> DataFrame:
+    """Adds the list of those terms of every document that consist of the given words only."""
+    kept = F.transform(without_stop_words(tokens(text), stop_list(config)), lambda w: F.when(w.isin(list(words)), w))
+    low, high = config.ngrams
+    grams = docs.withColumn("_words", kept).withColumn(out, ngrams(F.col("_words"), low, high)).drop("_words")
+    return grams.withColumn(out, F.filter(out, lambda t: t.isNotNull()))
+
+
 def select_vocabulary(terms: DataFrame, size: int) -> DataFrame:
     """Top terms by occurrences (ties alphabetical), indexed alphabetically, with idf."""
     top = terms.orderBy(F.col("cf").desc(), "term").limit(size)
@@ -112,7 +142,9 @@ class TfidfModel:
     def counts(self, docs: DataFrame, text: str, out: str = "counts") -> DataFrame:
         """Adds the vector of occurrences of each vocabulary term, in vocabulary order."""
         model = CountVectorizerModel.from_vocabulary(list(self.terms), "terms", out)
-        return model.transform(with_terms(docs, text, self.config)).drop("terms")
+        # No other words than those of the vocabulary become strings of the JVM, and no other pairs are made.
+        words = sorted({w for t in self.terms for w in t.split(" ")})
+        return model.transform(_terms_among(docs, text, self.config, words)).drop("terms")
 
     def hits(self, docs: DataFrame, text: str = "body_text", out: str = "hits") -> DataFrame:
         """Adds (idx, n) of the vocabulary terms that a text has, in order of idx."""
@@ -140,7 +172,7 @@ class TfidfModel:
 
     def transform_long(self, docs: DataFrame, key: str, text: str = "body_text") -> DataFrame:
         """Weights as (key, idx, weight): one row per hit."""
-        return self.weights(docs.select(key, text), text, "_w").select(key, F.inline("_w"))
+        return self.weights(docs.select(key, text), text, "_w").select(key, F.inline_outer("_w")).where(F.col("idx").isNotNull())
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t, float(v)) for i, (t, v) in enumerate(zip(self.terms, self.idf))]
@@ -153,9 +185,8 @@ class TfidfModel:
 
 
 def fit(docs: DataFrame, text: str = "body_text", config: TfidfConfig = TfidfConfig()) -> TfidfModel:
-    """Fit on the corpus; only the ≤ max_features chosen terms reach the driver."""
-    vocabulary = select_vocabulary(document_frequency(docs, text, config), config.max_features)
-    return TfidfModel.from_frame(vocabulary, config)
+    """Fit on the corpus; only the ≤ max_features chosen terms and at most 8 times as many frequent words reach the driver."""
+    return TfidfModel.from_frame(vocabulary(docs, text, config), config)
 
 
 def wide_columns(df: DataFrame, column: str = "tfidf", size: int = 500) -> DataFrame:
