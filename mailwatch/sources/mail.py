@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from datetime import timezone
 from email.utils import parseaddr, parsedate_to_datetime
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import structure
+from ..session import bounded_batches
 
 # The decoder travels to the executors by value, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -94,13 +94,32 @@ def _row(content: bytes | None) -> dict:
         return {"_error": f"{type(e).__name__}: {e}"}
 
 
-def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _DECODED.split(", ")]
-    for pdf in batches:
-        rows = [_row(c) for c in pdf["content"]]
-        out = {c: pd.Series([r.get(c) for r in rows], index=pdf.index, dtype=object) for c in columns[2:]}
-        out["date"] = pd.to_datetime(out["date"], utc=True)
-        yield pdf[["path", "content"]].assign(**out)
+def _slices(part: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The messages of a batch in runs of at most ``limit`` bytes; a longer message is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(part.column("content")), 0).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
+            yield part.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < part.num_rows:
+        yield part.slice(start)
+
+
+def _decoder(limit: int):
+    texts = [c.split()[0] for c in _DECODED.split(", ") if c.endswith(" string") and c != "path string"]
+    kinds = {**dict.fromkeys(texts, pa.string()), "date": pa.timestamp("us", tz="UTC"), "hops": pa.list_(pa.string())}
+    columns = [c.split()[0] for c in _DECODED.split(", ")][2:]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in _slices(whole, limit):
+                rows = [_row(c.as_py()) for c in part.column("content")]
+                cells = [pa.array([r.get(c) for r in rows], kinds[c]) for c in columns]
+                yield pa.record_batch([part.column("path"), part.column("content"), *cells], names=["path", "content", *columns])
+
+    return run
 
 
 def scan_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -149,8 +168,12 @@ def label_of(corpus: Column) -> Column:
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
-    """(path, content) → decoded headers and bodies, one row per message, plus ``_error``."""
-    return messages.select("path", "content").mapInPandas(_decode_batches, _DECODED)
+    """(path, content) → decoded headers and bodies, one row per message, plus ``_error``.
+
+    A worker holds one batch of raw messages and decodes about a megabyte of it at a time, whatever the size of its partition.
+    """
+    bounded_batches(messages.sparkSession)
+    return messages.select("path", "content").mapInArrow(_decoder(1 << 20), _DECODED)
 
 
 def to_emails(decoded: DataFrame, filename: Column | None = None, label: Column | None = None) -> DataFrame:

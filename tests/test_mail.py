@@ -3,6 +3,8 @@ from email.message import EmailMessage
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from mailwatch.sources import mail
 
 MULTI = (
@@ -75,3 +77,20 @@ def test_long_body_is_stored_clipped(spark):
     df = spark.createDataFrame([("/r/ham/a", bytearray(msg.as_bytes()))], "path string, content binary")
     row = mail.joined_hops(mail.to_emails(mail.decode_messages(df))).first()
     assert len(row["body_text"]) == 50_000 and row["received_hops"] == ""
+
+
+def test_messages_reach_python_in_small_batches(spark):
+    """In a session with Spark's own settings, too; and a batch is decoded a few messages at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        rows = [(f"/raw/ham/m{i}", bytearray(b"Subject: s\n\n" + b"x" * i)) for i in range(1200)]
+        decoded = mail.decode_messages(spark.createDataFrame(rows, "path string, content binary").coalesce(1))
+        assert spark.conf.get(key) == "500"
+        assert decoded.selectExpr("sum(length(text))", "count(date)").first() == (sum(range(1200)), 0)
+    finally:
+        spark.conf.set(key, had)
+    batch = pa.record_batch([pa.array(["a", "b", "c", "d"]), pa.array([b"123", b"45", None, b"6789"], pa.binary())], names=["path", "content"])
+    assert [p.num_rows for p in mail._slices(batch, 4)] == [1, 2, 1]
+    assert [p.num_rows for out in (mail._decoder(4)([batch]),) for p in out] == [1, 2, 1]
