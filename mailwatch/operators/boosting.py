@@ -524,7 +524,7 @@ def _least(losses: list[float], patience: int | None) -> int | None:
 
 def boost(
     blocks: DataFrame, cuts: list[np.ndarray], trials: Sequence[TreeParams], patience: int | None = None, seed: int = 42,
-    small: int = 1 << 16, kept: int = 8, rounds: int = 64, sums: int = 1 << 24,
+    small: int = 1 << 18, kept: int = 8, rounds: int = 64, sums: int = 1 << 24,
 ) -> list[Ensemble]:
     """Grows the ensembles of all trials over the blocks of :func:`blocks_of`.
 

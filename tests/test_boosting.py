@@ -154,3 +154,14 @@ def test_no_rows(spark, data):
     cuts = boosting.cut_points(empty)
     model = boosting.boost(boosting.blocks_of(empty, None, cuts), cuts, [TreeParams(n_estimators=3)])[0]
     assert model.trees == [] and model.margins(np.zeros((2, 0))).tolist() == [0.0, 0.0]
+
+
+def test_rows_of_a_few_megabytes_take_no_job_for_each_level(spark, monkeypatch):
+    """100,000 rows go on for many trees in one task of their trial."""
+    levels = []
+    monkeypatch.setattr(boosting, "_grow_level", lambda *a: levels.append(a) or a[3][0].large.clear())
+    df = spark.range(100_000).selectExpr("string(id) AS email_id", "int(id % 7 > 2) AS label", "1.0D AS weight", "array(double(id % 7), double(id % 3)) AS x")
+    df = df.withColumn("features", array_to_vector("x"))
+    cuts = boosting.cut_points(df)
+    model = boosting.boost(boosting.blocks_of(df, None, cuts), cuts, [TreeParams(max_depth=2, n_estimators=3)])[0]
+    assert not levels and len(model.trees) == 3 and model.trees[0].feature[0] == 0
