@@ -17,6 +17,7 @@ from ..operators import boosting
 from ..operators.aggregates import class_weights, fill_numeric_nulls
 from ..operators.evaluation import metrics, metrics_by
 from ..operators.joins import join_sender_features, left_join_suffixed
+from ..session import scratch_folder
 
 
 def training_table(entities: DataFrame, features: DataFrame, senders: DataFrame | None) -> DataFrame:
@@ -125,11 +126,25 @@ def fit(classifier, train: DataFrame) -> Model:
     """Fit with the training vectors cached (spilling to disk): every iteration reads them."""
     rows = train.select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return classifier.fit(rows)
+        return _without_summary(classifier.fit(rows))
     finally:
         rows.unpersist()
 
 
+def _without_summary(model: Model) -> Model:
+    """The model without its training summary, which tasks cannot be sent.
+
+    A summary holds the session, and a session that has observed any query, as streams do, cannot be serialized. The copy of a
+    forest has no summary; that of a linear model has, but a saved one has not.
+    """
+    bare = model.copy()
+    if bare.hasSummary:
+        path = scratch_folder(SparkSession.active(), "model")
+        bare.write().save(path)
+        bare = type(model).load(path)
+    return bare
+
+
 def evaluate(model: Transformer | boosting.Ensemble, test: DataFrame) -> Mapping[str, float]:
     return metrics(scored_rows(model, test)).first().asDict()
 

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from mailwatch.config import DriftConfig
@@ -99,6 +100,18 @@ def test_models_learn_and_rank(spark, sets):
     assert p.where("spam_probability < 0 or spam_probability > 1").count() == 0
 
 
+def test_models_score_in_a_session_that_has_observed(spark, sets):
+    """A stream or an observed query leaves the session with a part that cannot be sent to tasks."""
+    train, test = sets
+    seen = Observation()
+    train.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 240
+    for classifier in (training.logistic_regression(240), training.random_forest(trees=3, depth=3)):
+        model = training.fit(classifier, train)
+        assert not model.hasSummary and training.scored_rows(model, test).count() == 240
+        assert training.evaluate(model, test)["f1"] > 0.8
+
+
 def test_saved_model_scores_alike(spark, sets, tmp_path):
     from pyspark.ml.classification import RandomForestClassificationModel
 
