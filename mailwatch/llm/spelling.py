@@ -56,7 +56,9 @@ def vocabulary(df: DataFrame, id: str = "doc_id", text: str = "text", config: Sp
 
 
 def _filed(words: DataFrame, config: SpellingConfig) -> DataFrame:
-    """(place, kind, head, word, n): words filed under halves (kind 0) and asking with their own (kind 1), in places of about one share."""
+    """(place, kind, head, key, word, n): words filed under halves (kind 0) and asking with their own (kind 1), in places of about one share.
+
+    The key tells halves and their parts apart."""
     n = F.length("word")
     first, last = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
     #: Halves of words one shorter, equally long and one longer; the shortest words are asked for by none shorter.
@@ -78,23 +80,26 @@ def _filed(words: DataFrame, config: SpellingConfig) -> DataFrame:
     filed = entries.join(hot, "half", "left").withColumn("part", F.pmod(F.xxhash64("word"), F.coalesce("parts", F.lit(1))).cast("int"))
     asking = asks.join(hot, "half", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     both = filed.withColumn("kind", F.lit(0)).unionByName(asking.withColumn("kind", F.lit(1)))
-    place = F.pmod(F.xxhash64("half", "part"), F.lit(places)).cast("int") * 2 + F.col("head").cast("int")
+    key = F.xxhash64("half", "part")
+    place = F.pmod(key, F.lit(places)).cast("int") * 2 + F.col("head").cast("int")
     # A place is one index; equal entries under several halves of a place are one.
-    return both.select(place.alias("place"), "kind", "head", "word", "n")
+    return both.select(place.alias("place"), "kind", "head", key.alias("key"), "word", "n")
 
 
 def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n, near, near_n): reads the places of one task in order, first what a place files, then who asks there."""
-    place, held, counts, index = None, [], {}, None
+    place, held, counts, under, index = None, [], {}, set(), None
     for part in parts:
         places, kinds = np.asarray(part.column("place")), np.asarray(part.column("kind"))
         cuts = np.flatnonzero((np.diff(places) != 0) | (np.diff(kinds) != 0)) + 1
         for a, b in zip([0, *cuts], [*cuts, part.num_rows]):
             rows = part.slice(a, b - a)
             if places[a] != place:
-                place, counts, index = places[a], {}, None
+                place, counts, under, index = places[a], {}, set(), None
             if kinds[a] == 0:
-                counts.update(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
+                filed = rows.column("word").to_pylist()
+                counts.update(zip(filed, rows.column("n").to_pylist()))
+                under.update(zip(filed, rows.column("key").to_pylist()))
                 continue
             if not counts:
                 continue
@@ -103,15 +108,19 @@ def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = sorted(counts)
                 index = WordIndex([w.encode("latin-1") for w in held], backwards=head)
             for first in range(0, len(rows), 4096):
-                yield from _answers(rows.slice(first, 4096), index, held, counts, head)
+                yield from _answers(rows.slice(first, 4096), index, held, counts, under, head)
 
 
-def _answers(rows: pa.RecordBatch, index: WordIndex, held: list[str], counts: dict[str, int], head: bool) -> Iterator[pa.RecordBatch]:
-    words, n = rows.column("word").to_pylist(), rows.column("n").to_pylist()
+def _answers(
+    rows: pa.RecordBatch, index: WordIndex, held: list[str], counts: dict[str, int], under: set[tuple[str, int]], head: bool
+) -> Iterator[pa.RecordBatch]:
+    words, n, keys = (rows.column(c).to_pylist() for c in ("word", "n", "key"))
     exact = [len(w) // 2 if head else len(w) - len(w) // 2 for w in words]
     at, met = with_one_error(index, [w.encode("latin-1") for w in words], exact)
     # What shares the first half is found from there.
     pairs = [(i, held[k]) for i, k in zip(at.tolist(), met.tolist()) if head or not held[k].startswith(words[i][: len(words[i]) // 2])]
+    # Who asks in all parts of a half meets words that other halves or parts brought here; each counts where its own part is.
+    pairs = [(i, w) for i, w in pairs if (w, keys[i]) in under]
     if pairs:
         yield pa.record_batch(
             {
