@@ -31,6 +31,16 @@ def _kept(small: DataFrame) -> DataFrame:
     return small.sparkSession.createDataFrame(small.collect(), small.schema)
 
 
+def _measured(model, test: DataFrame) -> DataFrame:
+    """The measures of a model. Each of the jobs that find them reads the scores, so these are made once."""
+    scored = training.scored_rows(model, test).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        scored.count()  # first, as jobs that run side by side would wait for each other's rows
+        return _kept(training.metrics(scored))
+    finally:
+        scored.unpersist()
+
+
 @contextmanager
 def _sets(spark, sf, scheme: str = "balanced"):
     """Weighted training rows and test rows of the labelled mails, scaled on the training split.
@@ -52,7 +62,7 @@ def _sets(spark, sf, scheme: str = "balanced"):
 def _metrics_of(classifier):
     def run(spark, sf):
         with _sets(spark, sf) as (train, test):
-            return _kept(training.metrics(training.scored_rows(training.fit(classifier(train.count()), train), test)))
+            return _measured(training.fit(classifier(train.count()), train), test)
 
     return run
 
@@ -81,7 +91,7 @@ def _assembled_sql() -> str:
 def _boosted(spark, sf):
     with _sets(spark, sf, "positive") as (train, test):
         model = training.boosted_trees(train, training.sample_trials()[:1], test, patience=10)[0]
-        return _kept(training.metrics(training.scored_rows(model, test)))
+        return _measured(model, test)
 
 
 def _searched(spark, sf) -> DataFrame:
@@ -94,7 +104,7 @@ def _refit(spark, sf):
     with _sets(spark, sf, "positive") as (train, test):
         trials = training.sample_trials()
         model = training.refit_best(train, trials, training.random_search(train, test, trials)[0])
-        return _kept(training.metrics(training.scored_rows(model, test)))
+        return _measured(model, test)
 
 
 def _importances(spark, sf):

@@ -68,3 +68,15 @@ def test_nothing_stays_cached(spark, run):
 def test_vectors_have_their_length(run):
     rows = run("c26_feature_vectors")
     assert (rows["length"] == 528).all() and rows["mass"].notna().all()
+
+
+def test_scores_are_made_once(spark, run, monkeypatch):
+    """All measures of a model are found from scores that are kept, not from the model again."""
+    levels, metrics = [], training.metrics
+
+    def seen(scored):
+        levels.append(scored.storageLevel.useMemory)
+        return metrics(scored)
+
+    monkeypatch.setattr(training, "metrics", seen)
+    assert len(run("h07_random_forest")) == 1 and levels == [True]
