@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Sequence
+import re
+from array import array
+from collections.abc import Callable, Sequence
 from functools import cache
 
 import numpy as np
@@ -22,6 +24,34 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_BLANK_BEFORE_SPACE = re.compile(r"\s ")
+_MARK_BEHIND_NO_LETTER = re.compile(r"[.,](?<![^\W_][.,])")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
+class _Pieces(dict[str, bytes]):
+    """Ids of a part of a text; those of single pieces of the pre-tokenizer are kept, others are put together from them."""
+
+    def __init__(self, tokenizer, split: Callable[[str], list[str]]):
+        self.split, self.letters = split, _byte_letters()
+        # A piece goes to the model as it is; everything that the tokenizer does before is done.
+        self.merged = tokenizer.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        pieces = self.split(part)
+        if len(pieces) != 1:
+            return b"".join(map(self.__getitem__, pieces))
+        letters = part.encode().decode("latin-1").translate(self.letters)
+        self[part] = ids = array("I", [t.id for t in self.merged(letters)]).tobytes()
+        return ids
+
+
 class Encoder:
     """Encodes texts piece by piece.
 
@@ -39,30 +69,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self.tokenizer, regex.compile(public_tokenizers.PATTERN).findall)
 
     def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text (uint32); none for null."""
         return [ids for a, b in batches(texts, 1 << 19) for ids in self._some(texts[a:b])]
 
     def _some(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        whole = [bool(t) and self.special is not None and bool(self.special.search(t)) for t in texts]
-        pieces = [() if w or not t else self.split(t) for t, w in zip(texts, whole)]
-        new = list({p for part in pieces for p in part if p not in known})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.asarray(found.ids, np.uint32).tobytes()
-        get = known.__getitem__
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        get = self.known.__getitem__
         return [
-            np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w
-            else np.frombuffer(b"".join(map(get, part)), np.uint32)
-            for t, w, part in zip(texts, whole, pieces)
+            np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if t and self.special is not None and self.special.search(t)
+            else np.frombuffer(b"".join(map(get, _parts(t or ""))), np.uint32)
+            for t in texts
         ]
 
 
+def _parts(text: str) -> list[str]:
+    """A text, cut where no piece of the pre-tokenizer goes on: before spaces and, if all stand behind letters or digits, marks.
+
+    Whole if a blank stands before a space, as blanks in a row are told apart by what follows them.
+    """
+    if "\0" in text or _BLANK_BEFORE_SPACE.search(text):
+        return [text]
+    marked = text.replace(" ", "\0 ")
+    if not _MARK_BEHIND_NO_LETTER.search(text):
+        marked = marked.replace(".", "\0.").replace(",", "\0,")
+    return marked.split("\0")
+
+
 @cache
 def encoder(name: str = VOCABULARY) -> Encoder:
     """The encoder of a named public vocabulary, one a worker process."""

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import random
 
 import duckdb
 import numpy as np
@@ -384,3 +385,16 @@ def test_plain_forms():
 
 def test_sha_of_nothing_is_the_digest_of_the_empty_string(spark):
     assert spark.range(1).select(F.sha2(F.concat_ws(",", F.array().cast("array<string>")), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_parts_of_texts_have_the_ids_of_the_tokenizer():
+    """Texts are cut before pieces are looked for, and a piece goes to the model alone; the ids stay those of the whole text."""
+    from mailwatch.llm.tokens import _parts, encoder
+
+    assert _parts("The end. So, all of it") == ["The", " end", ".", " So", ",", " all", " of", " it"]
+    draw = random.Random(3)
+    some = ["a", "B", "é", "1", "٣", "!", "'s", "'ll", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "😀", "漢字", "\0", "the", "don't",
+            ".", ",", ").", "_.", "12,", "..", " .", "<|", "endoftext", "|>", "<|endoftext|>", "\u0301"]
+    texts = ["".join(draw.choice(some) for _ in range(draw.randrange(30))) for _ in range(5000)]
+    used = encoder("byte_bpe_50k.json")
+    assert all(ids.tolist() == used.tokenizer.encode(t, add_special_tokens=False).ids for t, ids in zip(texts, used.ids(texts), strict=True))
