@@ -398,3 +398,25 @@ def test_parts_of_texts_have_the_ids_of_the_tokenizer():
     texts = ["".join(draw.choice(some) for _ in range(draw.randrange(30))) for _ in range(5000)]
     used = encoder("byte_bpe_50k.json")
     assert all(ids.tolist() == used.tokenizer.encode(t, add_special_tokens=False).ids for t, ids in zip(texts, used.ids(texts), strict=True))
+
+
+def test_a_part_of_several_pieces_is_split_once():
+    from mailwatch.llm.tokens import Encoder, _path
+
+    used, asked = Encoder(_path("byte_bpe_50k.json")), []
+    split = used.known.split
+    used.known.split = lambda part: asked.append(part) or split(part)
+    texts = ["the THE!! end" + " THE!!" * 50, None, "", "a\0b THE!!", "THE!! THE!!  x", "<|endoftext|> THE!!"] * 3
+    expected = [used.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in used.ids(texts)] == expected and asked.count(" THE!!") == 1
+
+
+def test_forgotten_parts_are_found_again(monkeypatch):
+    from mailwatch.llm import tokens
+
+    monkeypatch.setattr(tokens, "_REMEMBERED", 3)
+    used, texts = tokens.Encoder(tokens._path("byte_bpe_50k.json")), ["one two three four", "two five, six", "one two", "seven one. two"]
+    for t in texts * 3:
+        assert used.ids([t])[0].tolist() == used.tokenizer.encode(t, add_special_tokens=False).ids
+    assert " two" in used.known or " two" in used.known.before
+    assert len(used.known) + len(used.known.before) < 15
