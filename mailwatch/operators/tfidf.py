@@ -61,18 +61,18 @@ def with_terms(docs: DataFrame, text: str, config: TfidfConfig, out: str = "term
 def term_statistics(docs: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
     """Per term: documents containing it (df) and occurrences (cf).
 
-    One pass: every document contributes its terms in order, and the first of equal ones counts for df; both are combined
-    map-side before the shuffle on the term.
+    One pass: every document contributes its terms and, behind them, its distinct terms; both are combined map-side before the
+    shuffle on the term.
     """
     return _statistics(with_terms(docs, text, config).select("terms"))
 
 
 def _statistics(terms: DataFrame) -> DataFrame:
-    ordered = terms.select(F.sort_array("terms").alias("_s"))
-    first = lambda t, i: F.when((i > 0) & (F.get("_s", i - 1) == t), F.lit(0)).otherwise(F.lit(1))
-    marked = F.transform("_s", lambda t, i: F.struct(t.alias("term"), first(t, i).alias("d")))
+    lists = terms.select(F.size("terms").alias("_n"), F.concat("terms", F.array_distinct("terms")).alias("_all"))
     # Outer: from an inner one the optimizer derives a filter on the array and makes the array once more for it.
-    return ordered.select(F.inline_outer(marked)).where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("d").alias("df"), F.count(F.lit(1)).alias("cf"))
+    rows = lists.select("_n", F.posexplode_outer("_all").alias("_at", "term")).where(F.col("term").isNotNull())
+    each = F.col("_at") < F.col("_n")
+    return rows.groupBy("term").agg(F.count_if(~each).alias("df"), F.count_if(each).alias("cf"))
 
 
 def document_frequency(docs: DataFrame, text: str, config: TfidfConfig) -> DataFrame:

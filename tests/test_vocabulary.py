@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailwatch.catalog import textual
 from mailwatch.config import TfidfConfig
@@ -48,3 +49,10 @@ def test_texts_are_split_once(spark, tmp_path):
     for query in (textual._counts, textual._weights, textual._terms, textual._frequency):
         plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all") == 1, query
+
+
+def test_terms_are_counted_without_sorting_them(spark):
+    docs = spark.createDataFrame([("bb aa bb",), ("aa cc",)], "text string")
+    found = tfidf._statistics(docs.select(F.expr("CASE WHEN text LIKE 'bb%' THEN array('b', NULL, 'a', 'b', NULL) END AS terms")))
+    assert {(r["term"], r["df"], r["cf"]) for r in found.collect()} == {("a", 1, 1), ("b", 1, 2)}
+    assert "sort_array" not in found._jdf.queryExecution().optimizedPlan().toString()
