@@ -52,8 +52,9 @@ def logistic_regression(rows: int, weight: str = "weight", strength: float = 1.0
 
 
 def random_forest(weight: str = "weight", trees: int = 100, depth: int = 15, seed: int = 42) -> RandomForestClassifier:
+    """The rows' nodes are kept between passes: else every task of every pass is sent all trees grown so far, and walks them."""
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", weightCol=weight
+        numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", weightCol=weight, cacheNodeIds=True
     )
 
 

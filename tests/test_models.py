@@ -253,3 +253,13 @@ def test_paging(spark):
     rows, info = ranking.page(spark.range(25).toDF("id"), ["id"], 20, 10)
     assert [r["id"] for r in rows.collect()] == [20, 21, 22, 23, 24]
     assert tuple(info.first()) == (25, 5, False)
+
+
+def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(spark):
+    rng = random.Random(8)
+    rows = [(float(rng.randrange(2)), rng.choice([1.0, 2.0]), Vectors.dense([rng.random() for _ in range(6)])) for _ in range(300)]
+    train = spark.createDataFrame(rows, ["label", "weight", "features"])
+    forest = training.random_forest(trees=6, depth=9)
+    assert forest.getCacheNodeIds()
+    plain = forest.copy({forest.cacheNodeIds: False})
+    assert training.fit(forest, train).toDebugString.split("\n")[1:] == training.fit(plain, train).toDebugString.split("\n")[1:]
