@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -106,6 +107,64 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1800)] + [(None, 1), (4000, 4000)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in settings}
+    found, tasks, tracker = [], [], spark.sparkContext.statusTracker()
+    try:
+        for c, value in settings.items():
+            spark.conf.set(c, value)
+        for most in (components._SMALL, 0):
+            monkeypatch.setattr(components, "_SMALL", most)
+            spark.sparkContext.setJobGroup(f"components of at most {most}", "")
+            found.append(sorted(map(tuple, components.components(frame, "a", "b").collect())))
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"components of at most {most}")]
+            stages = [tracker.getStageInfo(x) for j in jobs for x in j.stageIds]
+            tasks.append(sum(x.numCompletedTasks for x in stages if x))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert found[0] == found[1]
+    least = {n: n for e in edges for n in e if e[0] is not None and e[0] != e[1]}
+    while any(least[a] != least[b] for a, b in edges if a in least and b in least):
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    assert dict(found[0]) == least
+    assert 0 < 3 * tasks[0] < tasks[1]
+
+
+def _shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+
+def test_pinned_leaves_no_shuffle_files(spark):
+    settings = {c: spark.conf.get(c, None) for c in (scratch._CLEANUP, scratch._EXCLUDED)}
+    before = _shuffle_files(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    empty = counts.where("k < 0").select("k").distinct()
+    both, none = scratch.pinned(counts), scratch.pinned(counts.join(empty, "k"))
+    kept = scratch.pinned(counts.join(empty, "k", "left_anti"))
+    assert both.agg(F.sum("count")).first()[0] == 1000
+    assert none.count() == 0 and kept.count() == 7
+    late = _shuffle_files(spark)
+    shuffled = counts.join(empty, "k", "left")
+    scratch.pinned(shuffled)
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before - late):
+            break
+        time.sleep(0.2)
+    assert not left
+    with pytest.raises(Exception, match="no such number"):
+        scratch.pinned(spark.range(3).select(F.raise_error(F.lit("no such number"))))
+    assert settings == {c: spark.conf.get(c, None) for c in settings}
+
+
 def test_hashes_tell_words_and_shingles_apart():
     texts = [b"Ab c  d\te", b"", None, b"ab c d", b" x ", b"c ab"]
     words, edges = hashing.word_hashes(texts)
