@@ -22,7 +22,10 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 def _met(docs: DataFrame, ids: DataFrame, on: tuple[str, ...], how: str) -> DataFrame:
     """Rows of docs by whether the values of on, null being a value, are among ids."""
     ids = pinned(ids.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(on)]).distinct())
-    if ids.count() <= SENT:
+    found = ids.count()
+    if not found:  # the texts need not be read for that
+        return docs if how == "left_anti" else docs.where(F.lit(False))
+    if found <= SENT:
         ids = F.broadcast(ids)
     same = [docs[c].eqNullSafe(ids[f"_{i}"]) for i, c in enumerate(on)]
     return docs.join(ids, same, how)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailwatch.llm import (
-    chat, components, decontamination, fingerprints, hashing, language, materialise, near_duplicates, packing, scratch, suffix_tree,
+    chat, components, decontamination, filtering, fingerprints, hashing, language, materialise, near_duplicates, packing, scratch, suffix_tree,
     token_counts, urls,
 )
 from tests.llm import brute
@@ -138,6 +138,17 @@ def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
     assert 0 < 3 * tasks[0] < tasks[1]
 
 
+def test_rows_are_not_read_to_leave_nothing_out(spark, docs):
+    nothing = docs.where("doc_id < 0").select("doc_id")
+    kept = filtering.without(docs, nothing, "doc_id")
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count() == len(TEXTS)
+    alike = filtering._met(docs, nothing, ("doc_id",), "left_semi")
+    assert "LocalRelation <empty>" in alike._jdf.queryExecution().optimizedPlan().toString()
+    assert alike.columns == docs.columns and alike.count() == 0
+    assert filtering.without(docs, docs.where("doc_id < 3").select("doc_id"), "doc_id").count() == len(TEXTS) - 3
+
+
 def _shuffle_files(spark):
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
