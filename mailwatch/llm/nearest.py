@@ -2,16 +2,18 @@
 
 Inner products become distances by one more component that brings every vector to the same length.
 A bounded sample of the distinct vectors is halved again and again along the direction between two
-centres, always at the median, so lists have about equal shares of the sample. The centroids and a
-neighbour graph over them are small enough for every task: rows are assigned, and queries probe, by a
-best-first walk over that graph. A vector near a border is also filed under further centroids, unless
-one of those taken already is closer to the new centroid than the vector is. A query reads all lists
-whose centroid is at most ``ratio`` times as far as the nearest one; that ratio is taken from the
-sample, whose neighbours are known, and there is no limit on the number of lists.
+centres, always at the median, so lists have about equal shares of the sample. The centroids are small
+enough for every task: rows are assigned, and queries choose lists, by their distances to all of them.
+A vector near a border is also filed under further centroids, unless one of those taken already is closer
+to the new centroid than the vector is. A query reads all lists whose centroid is at most ``ratio`` times
+as far as the nearest one; that ratio is taken from the sample, whose neighbours are known, and there is
+no limit on the number of lists.
 
 Equal vectors are one entry of the index with their smallest ids, as ties go to smaller ids, so a vector
-that half the rows share costs what any other does. A list that is larger than a task should hold is
-cut into parts, and its queries are read against each part as a stream.
+that half the rows share costs what any other does. A task holds a block of queries that start from near
+lists, with the best rows that each has met so far, and the lists that any of them reads pass by: a zone of
+them is cut, within a list if need be, where it would be more than a task should read. So neither vectors
+nor answers are multiplied by the number of lists that a query reads.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .scratch import pinned
-from .vectors import first_of_groups, matrix, slices, usable, widened
+from .vectors import matrix, slices, usable, widened
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,8 @@ class NearestConfig:
     """n neighbours a query. A list has about ``list_size`` vectors; there are at most ``lists`` of them, and
     the sample that places them has about ``sample`` vectors and ``numbers`` components (all, if there are fewer; never over twice that). ``recall`` is the share of
     a probed sample's true neighbours that the ratio must reach there. A vector is filed under at most ``copies``
-    centroids, none farther than ``border`` times the nearest. part vectors of a list meet in one task at most.
+    centroids, none farther than ``border`` times the nearest. A task holds at most ``block`` queries (fewer of long vectors),
+    and some ``part`` to ``zone`` vectors pass by them, ``part`` at a time at most.
     """
 
     n: int = 20
@@ -47,8 +50,9 @@ class NearestConfig:
     probes: int = 256
     copies: int = 4
     border: float = 1.1
-    degree: int = 24
     part: int = 8192
+    zone: int = 1 << 20
+    block: int = 16_384
     seed: int = 7
 
 
@@ -78,55 +82,25 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
 
 
 class CentroidGraph:
-    """Centroids with links to near ones, searched by a best-first walk for many vectors at once."""
+    """Centroids with the distances of many vectors at once to all of them; ``degree`` and ``seed``, once of its links, change nothing."""
 
-    def __init__(self, centroids: np.ndarray, degree: int, seed: int):
+    def __init__(self, centroids: np.ndarray, degree: int = 0, seed: int = 0):
         self.c = centroids.astype("f4")
         self.squares = (self.c.astype("f8") ** 2).sum(axis=1).astype("f4")
-        n = len(self.c)
-        near = np.empty((n, min(degree, n)), np.int32)
-        for first in range(0, n, 256):
-            d = self.squares - 2 * self.c[first : first + 256] @ self.c.T
-            near[first : first + 256] = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
-        rng = np.random.default_rng(seed)
-        far = rng.integers(0, n, (n, 2))  # keeps the graph in one piece
-        ring = (np.arange(n)[:, None] + 1) % n
-        self.links = np.concatenate([near, far, ring], axis=1).astype(np.int32)
-        self.entries = np.unique(rng.integers(0, n, min(n, 4 * int(np.sqrt(n)) + 1)))
-
-    def distances(self, q: np.ndarray, ratio: float, beam: int = 16) -> np.ndarray:
-        """Distance to every centroid that the walk met, else infinity.
-
-        The walk follows the nearest centroids not followed yet until the ``beam`` nearest, and all within
-        ratio times the nearest, have been.
-        """
-        n, q = len(self.c), q.astype("f4")
-        beam = min(beam, n)
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Distance of every row to every centroid: one product of matrices, less work than any walk from centroid to centroid."""
+        q = q.astype("f4")
         own = (q.astype("f8") ** 2).sum(axis=1).astype("f4")
-        d = np.full((len(q), n), np.inf, "f4")
-        first = self.squares[self.entries] - 2 * q @ self.c[self.entries].T + own[:, None]
-        d[:, self.entries] = np.sqrt(np.maximum(first, 0))
-        done = np.zeros(d.shape, bool)
-        while True:
-            bound = np.maximum(np.partition(d, beam - 1, axis=1)[:, beam - 1], ratio * d.min(axis=1))
-            ahead = np.where(done | (d > bound[:, None]), np.inf, d)
-            next_ones = np.argpartition(ahead, beam - 1, axis=1)[:, :beam]
-            good = np.isfinite(np.take_along_axis(ahead, next_ones, 1))
-            if not good.any():
-                return d
-            rows, at = np.nonzero(good)
-            follow = next_ones[rows, at]
-            done[rows, follow] = True
-            pairs = np.unique((rows[:, None] * n + self.links[follow]).ravel())
-            rows, seen = np.divmod(pairs, n)
-            fresh = np.isinf(d[rows, seen])
-            rows, seen = rows[fresh], seen[fresh]
-            square = own[rows] + self.squares[seen] - 2 * np.einsum("ij,ij->i", q[rows], self.c[seen])
-            d[rows, seen] = np.sqrt(np.maximum(square, 0))
+        d = q @ self.c.T
+        d *= -2
+        d += self.squares
+        d += own[:, None]
+        return np.sqrt(np.maximum(d, 0, out=d), out=d)
 
     def filed(self, x: np.ndarray, copies: int, border: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the nearest list of each row and others near the border."""
-        d = self.distances(x, border)
+        d = self.distances(x)
         tried = min(4 * copies, len(self.c))
         order = np.argpartition(d, tried - 1, axis=1)[:, :tried]
         order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), axis=1, kind="stable"), 1)
@@ -144,7 +118,7 @@ class CentroidGraph:
 
     def probed(self, q: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): all lists whose centroid is at most ratio times as far as the nearest one."""
-        d = self.distances(q, ratio)
+        d = self.distances(q)
         return np.nonzero(d <= ratio * d.min(axis=1, keepdims=True) * (1 + 1e-6))
 
 
@@ -186,7 +160,7 @@ def fit(nodes: DataFrame, config: NearestConfig = NearestConfig()) -> Lists | No
     lists = Lists(None, float(length), width, 1.0)
     stored = lists.stored(x)
     wanted = max(1, min(config.lists, -(-count // config.list_size), len(x)))
-    graph = CentroidGraph(balanced_centroids(stored, wanted, config.seed), config.degree, config.seed)
+    graph = CentroidGraph(balanced_centroids(stored, wanted, config.seed))
     return Lists(graph, float(length), width, _ratio(x, stored, Lists(graph, float(length), width, 1.0), config))
 
 
@@ -214,77 +188,259 @@ def _ratio(x: np.ndarray, stored: np.ndarray, lists: Lists, config: NearestConfi
     return float(np.quantile(wanted, config.recall, method="higher"))
 
 
-def _entries(lists, kind: int, config: NearestConfig):
-    """Rows of (node, v, ids) filed under their lists (kind 0), or as queries under the lists that they read (kind 1)."""
+def _steps(part: pa.RecordBatch, own: Lists) -> Iterator[pa.RecordBatch]:
+    return slices(part, "v", max(1, min(1024, (1 << 21) // len(own.graph.c))))
+
+
+def _filed(lists, config: NearestConfig):
+    """Rows of (node, v, first) filed under their lists."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lists.value
+        for part in parts:
+            for piece in _steps(part, own):
+                rows, found = own.graph.filed(own.stored(matrix(piece.column("v"), "f8", own.width)), config.copies, config.border)
+                taken = piece.select(["node", "v", "first"]).take(pa.array(rows, pa.int64()))
+                yield pa.record_batch([pa.array(found.astype("i4")), *taken.columns], names=["list", *taken.schema.names])
+
+    return run
+
+
+def _asked(lists):
+    """Queries (node, v) with their nearest list, and a bit for each list that they read."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lists.value
-        step = max(1, min(1024, (1 << 21) // len(own.graph.c)))
         for part in parts:
-            for piece in slices(part, "v", step):
-                x = matrix(piece.column("v"), "f8", own.width)
-                found = own.graph.probed(own.asked(x), own.ratio) if kind else own.graph.filed(own.stored(x), config.copies, config.border)
-                rows = pa.array(found[0], pa.int64())
-                taken = piece.select(["node", "v", "first"]).take(rows)
+            for piece in _steps(part, own):
+                q = own.asked(matrix(piece.column("v"), "f8", own.width))
+                rows, read = own.graph.probed(q, own.ratio)
+                marks = np.zeros((len(q), len(own.graph.c)), bool)
+                marks[rows, read] = True
+                home = own.graph.distances(q).argmin(axis=1).astype("i4")
                 yield pa.record_batch(
-                    [pa.array(found[1].astype("i4")), *taken.columns], names=["list", *taken.schema.names]
+                    {"node": piece.column("node"), "v": piece.column("v"), "home": pa.array(home), "reads": pa.array([m.tobytes() for m in np.packbits(marks, axis=1)], pa.binary())}
                 )
 
     return run
 
 
-def _answers(keep: int):
-    """The first rows of each part of a list for each of its queries; the part is held, the queries pass by."""
+class Blocks:
+    """The block of each query: near homes together, ``size`` queries at most of whole lists; larger lists have blocks of their own."""
+
+    def __init__(self, counts: np.ndarray, size: int):
+        self.first, self.shares = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // size))
+        block, have = 0, 0
+        for k, n in enumerate(counts.tolist()):
+            if have and have + n > size:
+                block, have = block + 1, 0
+            self.first[k], have = block, have + n
+            if n > size:
+                block, have = block + int(self.shares[k]), 0
+        self.number = block + (have > 0)
+
+    def of(self, home: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return self.first[home] + node % self.shares[home]
+
+
+class Zones:
+    """Groups of a block and the lists from low to high (a share of a list that is too long), with at most about ``size`` vectors each."""
+
+    def __init__(self, needs: np.ndarray, counts: np.ndarray, size: int):
+        self.shares = np.maximum(1, -(-counts // size))
+        #: By (block, list): the first group that its rows go to, -1 where no query of the block reads it.
+        self.first = np.full(needs.shape, -1, np.int32)
+        block_of, low, high = [], [], []
+        for b, need in enumerate(needs):
+            have = size
+            for k in np.flatnonzero(need & (counts > 0)).tolist():
+                n, shares = int(counts[k]), int(self.shares[k])
+                if have + n > size:
+                    block_of += [b] * shares
+                    low += [k] * shares
+                    high += [k + 1] * shares
+                    have = n if shares == 1 else size
+                    self.first[b, k] = len(low) - shares
+                else:
+                    have += n
+                    high[-1] = k + 1
+                    self.first[b, k] = len(low) - 1
+        self.block, self.low, self.high = (np.array(x, np.int64) for x in (block_of, low, high))
+
+
+def _needs(blocks: Blocks):
+    """The lists that any query of a block reads, of one task."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, ready = None, [], None
+        found: dict[int, np.ndarray] = {}
         for part in parts:
-            places = np.asarray(part.column("list")).astype("i8") * (1 << 31) + np.asarray(part.column("part")).astype("i8")
-            kinds = np.asarray(part.column("kind"))
-            cuts = np.flatnonzero((np.diff(places) != 0) | (np.diff(kinds) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, part.num_rows]):
-                if places[a] != place:
-                    place, held, ready = places[a], [], None
-                run_rows = part.slice(a, b - a)
-                if kinds[a] == 0:
-                    held.append(run_rows)
-                elif held:
-                    ready = ready or _members(held)
-                    for piece in slices(run_rows, "v", max(1, (1 << 20) // len(ready[0]))):
-                        yield _best(piece, *ready, keep)
+            if not part.num_rows:
+                continue
+            of, bits = blocks.of(np.asarray(part.column("home")), np.asarray(part.column("node"))), _bits(part)
+            for b in np.unique(of).tolist():
+                own = np.bitwise_or.reduce(bits[of == b], axis=0)
+                found[b] = found[b] | own if b in found else own
+        yield pa.record_batch({"block": pa.array(list(found), pa.int32()), "reads": pa.array([x.tobytes() for x in found.values()], pa.binary())})
+
+    return run
+
+
+def _bits(part: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(part.column("reads").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+
+
+def _queries_sent(blocks: Blocks, zones):
+    """Queries for each zone of their block in which they read a list, with the bits from the byte of its first list on."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Zones = zones.value
+        for part in parts:
+            if not part.num_rows:
+                continue
+            of, bits = blocks.of(np.asarray(part.column("home")), np.asarray(part.column("node"))), _bits(part)
+            for g in np.flatnonzero(np.isin(own.block, of)).tolist():
+                a, b = own.low[g] >> 3, (own.high[g] + 7) >> 3
+                inside = np.unpackbits(bits[:, a:b], axis=1)[:, own.low[g] - 8 * a : own.high[g] - 8 * a]
+                rows = np.flatnonzero((of == own.block[g]) & inside.any(axis=1))
+                if len(rows):
+                    yield _sent(part, rows, np.full(len(rows), g), 0, np.full(len(rows), -1), [x.tobytes() for x in bits[rows, a:b]])
 
     return run
 
 
-def _members(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = pa.Table.from_batches(held).combine_chunks()
-    node, first = (np.asarray(table.column(c)).astype("i8") for c in ("node", "first"))
-    return matrix(table.column("v"), "f8"), node, first
-
-
-def _best(queries: pa.RecordBatch, x: np.ndarray, node: np.ndarray, first: np.ndarray, keep: int) -> pa.RecordBatch:
-    q = matrix(queries.column("v"), "f8")
-    width = max(q.shape[1], x.shape[1])
-    q, x = widened(q, width), widened(x, width)
-    scores = q @ x.T
-    k = min(keep, len(x))
-    # A product of matrices may round equal sums apart: take a little more, then sum each pair alike.
-    least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
-    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-    rows, at = np.nonzero(scores >= (least - slack)[:, None])
-    exact = np.concatenate([(q[rows[i : i + 4096]] * x[at[i : i + 4096]]).sum(axis=1) for i in range(0, len(rows), 4096)])
-    order, _ = first_of_groups(rows, exact, first[at], k)
-    sizes = np.bincount(rows[order], minlength=len(q))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+def _members_sent(zones):
+    """Filed rows for each block that reads their list."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Zones = zones.value
+        for part in parts:
+            for piece in slices(part, "v"):
+                at, node = np.asarray(piece.column("list")), np.asarray(piece.column("node"))
+                for first in own.first:
+                    rows = np.flatnonzero(first[at] >= 0)
+                    if len(rows):
+                        group = first[at[rows]] + node[rows] % own.shares[at[rows]]
+                        yield _sent(piece, rows, group, 1, at[rows], None, piece.column("first").take(pa.array(rows)))
+
+    return run
+
+
+_SENT = "group int, kind int, list int, node long, first long, v array<double>, reads binary"
+
+
+def _sent(part: pa.RecordBatch, rows: np.ndarray, group: np.ndarray, kind: int, at: np.ndarray, reads: list[bytes] | None, first=None) -> pa.RecordBatch:
+    taken = part.select(["node", "v"]).take(pa.array(rows, pa.int64()))
     return pa.record_batch(
         {
-            "query": queries.column("node"), "scores": pa.ListArray.from_arrays(offsets, pa.array(exact[order])),
-            "nodes": pa.ListArray.from_arrays(offsets, pa.array(node[at[order]])),
-            "firsts": pa.ListArray.from_arrays(offsets, pa.array(first[at[order]])),
+            "group": pa.array(group.astype("i4")), "kind": pa.array(np.full(len(rows), kind, "i4")), "list": pa.array(at.astype("i4")),
+            "node": taken.column("node"), "first": pa.nulls(len(rows), pa.int64()) if first is None else first, "v": taken.column("v"),
+            "reads": pa.nulls(len(rows), pa.binary()) if reads is None else pa.array(reads, pa.binary()),
         }
     )
 
 
+def _answers(zones, width: int, keep: int):
+    """The first rows that each query of a group meets in the lists of the zone that it reads; queries come first and are held."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Zones = zones.value
+        group, held, top = None, [], None
+        for part in parts:
+            groups, kinds, at = (np.asarray(part.column(c)) for c in ("group", "kind", "list"))
+            cuts = np.flatnonzero((np.diff(groups) != 0) | (np.diff(kinds) != 0) | (np.diff(at) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, part.num_rows]):
+                if a == b:
+                    continue
+                if groups[a] != group:
+                    if top:
+                        yield top.rows()
+                    group, held, top = groups[a], [], None
+                run_rows = part.slice(a, b - a)
+                if kinds[a] == 0:
+                    held.append(run_rows.select(["node", "v", "reads"]))
+                elif held or top:
+                    top = top or _Top(pa.Table.from_batches(held).combine_chunks().to_batches()[0], int(own.low[group]) >> 3, width, keep)
+                    held = []
+                    top.meet(int(at[a]), run_rows)
+        if top:
+            yield top.rows()
+
+    return run
+
+
+class _Top:
+    """The first rows that each of some queries has met: larger scores, then smaller ids."""
+
+    def __init__(self, queries: pa.RecordBatch, first_byte: int, width: int, keep: int):
+        self.query, self.q, self.bits = queries.column("node"), matrix(queries.column("v"), "f8", width), _bits(queries)
+        self.first_byte, self.keep, n = first_byte, keep, queries.num_rows
+        self.norms = np.linalg.norm(self.q, axis=1)
+        self.have, self.least = np.zeros(n, np.int64), np.full(n, -np.inf)
+        self.scores, self.firsts, self.nodes = np.zeros((n, keep)), np.zeros((n, keep), np.int64), np.zeros((n, keep), np.int64)
+        self.found, self.waiting = [], 0
+
+    def meet(self, at: int, members: pa.RecordBatch) -> None:
+        asks = np.flatnonzero(self.bits[:, (at >> 3) - self.first_byte] & (128 >> (at & 7)))
+        for piece in slices(members, "v", 8192):
+            x = matrix(piece.column("v"), "f8", self.q.shape[1])
+            first, node = np.asarray(piece.column("first")), np.asarray(piece.column("node"))
+            longest, k = np.linalg.norm(x, axis=1).max(), min(self.keep, len(x))
+            step = max(1, (1 << 20) // len(x))
+            for own in (asks[i : i + step] for i in range(0, len(asks), step)):
+                q, least = self.q[own], self.least[own]
+                scores = q @ x.T
+                many = np.flatnonzero(np.count_nonzero(scores >= least[:, None], axis=1) > k)
+                if len(many):
+                    least[many] = np.maximum(least[many], np.partition(scores[many], len(x) - k, axis=1)[:, len(x) - k])
+                # A product of matrices may round equal sums apart: take a little more, then sum each pair alike.
+                rows, met = np.nonzero(scores >= (least - 1e-12 * self.norms[own] * longest)[:, None])
+                exact = [(q[rows[i : i + 4096]] * x[met[i : i + 4096]]).sum(axis=1) for i in range(0, len(rows), 4096)]
+                if exact:
+                    self.found.append((own[rows], np.concatenate(exact), first[met], node[met]))
+                    self.waiting += len(rows)
+                if self.waiting > self.scores.size:
+                    self.merge()
+
+    def merge(self) -> None:
+        if not self.found:
+            return
+        rows, scores, firsts, nodes = (np.concatenate(x) for x in zip(*self.found))
+        self.found, self.waiting = [], 0
+        touched = np.unique(rows)
+        at, place = np.nonzero(np.arange(self.keep) < self.have[touched][:, None])
+        at = touched[at]
+        rows = np.concatenate([rows, at])
+        scores, firsts, nodes = (np.concatenate([x, y[at, place]]) for x, y in ((scores, self.scores), (firsts, self.firsts), (nodes, self.nodes)))
+        order = np.lexsort((nodes, firsts, -scores, rows))
+        # A vector filed in several lists is met again with the same score, so equal entries stand side by side.
+        same = (np.diff(rows[order]) == 0) & (np.diff(nodes[order]) == 0)
+        order = order[np.concatenate([[True], ~same])]
+        of = rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        place = np.arange(len(of)) - np.repeat(starts, np.diff([*starts, len(of)]))
+        kept = place < self.keep
+        order, of, place = order[kept], of[kept], place[kept]
+        self.scores[of, place], self.firsts[of, place], self.nodes[of, place] = scores[order], firsts[order], nodes[order]
+        self.have[touched] = np.bincount(of, minlength=len(self.have))[touched]
+        full = touched[self.have[touched] == self.keep]
+        self.least[full] = self.scores[full, -1]
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        at, place = np.nonzero(np.arange(self.keep) < self.have[:, None])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(self.have)]), pa.int32())
+        lists = {c: pa.ListArray.from_arrays(offsets, pa.array(x[at, place])) for c, x in (("scores", self.scores), ("nodes", self.nodes), ("firsts", self.firsts))}
+        return pa.record_batch({"query": self.query, **lists})
+
+
+def _counts(rows: DataFrame, column: str, lists: Lists) -> np.ndarray:
+    """Rows of each list."""
+    out = np.zeros(len(lists.graph.c), np.int64)
+    for r in rows.groupBy(column).count().collect():
+        out[r[0]] = r[1]
+    return out
+
+
 def nearest(
     df: DataFrame, query: Column, id: str = "vec_id", vector: str = "embedding", config: NearestConfig = NearestConfig()
 ) -> DataFrame:
@@ -310,20 +466,26 @@ def nearest(
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
 
     asking = pinned(rows.where("asks").select(F.col("id").alias("query_id"), "v").join(nodes.select("v", "node"), "v").select("query_id", "node"))
-    queries = nodes.join(asking.select("node").distinct(), "node").select("node", "v", "first")
+    queries = nodes.join(asking.select("node").distinct(), "node").select("node", "v")
     sent = spark.sparkContext.broadcast(lists)
     filed = T.StructType([T.StructField("list", T.IntegerType()), *(nodes.schema[c] for c in ("node", "v", "first"))])
-    members = pinned(nodes.select("node", "v", "first").mapInArrow(_entries(sent, 0, config), filed))
-    sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / config.part).cast("int").alias("parts"))
-    sizes = F.broadcast(pinned(sizes))  # one row a list, config.lists at most
-    placed = members.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    probes = queries.mapInArrow(_entries(sent, 1, config), filed).join(sizes, "list")
-    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = placed.withColumn("kind", F.lit(0)).unionByName(probes.withColumn("kind", F.lit(1))).drop("parts")
-    met = both.repartition("list", "part").sortWithinPartitions("list", "part", "kind")
-    answers = met.mapInArrow(_answers(keep), "query long, scores array<double>, nodes array<long>, firsts array<long>")
-
-    # A vector filed in several lists is met again with the same score, so equal entries stand side by side.
+    members = pinned(nodes.select("node", "v", "first").mapInArrow(_filed(sent, config), filed))
+    asked = pinned(queries.mapInArrow(_asked(sent), "node long, v array<double>, home int, reads binary"))
+    blocks = Blocks(_counts(asked, "home", lists), max(1, min(config.block, (1 << 21) // lists.width)))
+    needs = np.zeros((blocks.number, len(lists.graph.c)), bool)
+    for r in asked.mapInArrow(_needs(blocks), "block int, reads binary").toLocalIterator():
+        needs[r["block"]] |= np.unpackbits(np.frombuffer(r["reads"], np.uint8))[: needs.shape[1]].astype(bool)
+    counts = _counts(members, "list", lists)
+    share = int((needs @ counts).sum()) // (2 * spark.sparkContext.defaultParallelism)
+    zones = Zones(needs, counts, max(1, min(config.zone, max(config.part, share))))
+    if not len(zones.block):
+        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
+    places = spark.sparkContext.broadcast(zones)
+    both = asked.mapInArrow(_queries_sent(blocks, places), _SENT).unionByName(members.mapInArrow(_members_sent(places), _SENT))
+    met = both.repartitionById(len(zones.block), F.col("group")).sortWithinPartitions("group", "kind", "list")
+    answers = met.mapInArrow(_answers(places, lists.width, keep), "query long, scores array<double>, nodes array<long>, firsts array<long>")
+
+    # A vector filed in several zones is met again with the same score, so equal entries stand side by side.
     entries = F.transform(
         F.arrays_zip("scores", "firsts", "nodes"),
         lambda z: F.struct((-z["scores"]).alias("behind"), z["firsts"].alias("first"), z["nodes"].alias("node")),

@@ -1,11 +1,14 @@
 """Nearest neighbours against brute force: recall, exact scores, ties, copies, and rows that take no part."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from mailwatch.llm.nearest import CentroidGraph, NearestConfig, balanced_centroids, nearest
+from mailwatch.llm.nearest import Blocks, CentroidGraph, NearestConfig, Zones, _answers, balanced_centroids, nearest
 
 SF = "/root/testdata/sf0.1"
 
@@ -89,3 +92,42 @@ def test_walk_finds_the_nearest_centroids():
     want = set(zip(*np.nonzero(d <= 1.3 * d.min(axis=1, keepdims=True))))
     got = set(zip(rows.tolist(), lists.tolist()))
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+@pytest.mark.parametrize("how", [{"zone": 9, "part": 1}, {"block": 3}, {"block": 7, "zone": 40, "part": 5}])
+def test_blocks_and_zones(spark, how):
+    """Neither the queries that a task holds nor the rows that pass by change an answer."""
+    rows = odd_rows()
+    wanted, got = (
+        sorted(tuple(r) for r in nearest(table(spark, rows), F.col("vec_id") % 4 == 0, config=NearestConfig(n=10, list_size=16, **x)).collect())
+        for x in ({}, how)
+    )
+    assert got == wanted
+
+
+def test_a_query_has_one_answer_a_zone():
+    """Whatever number of lists it reads there, and a row filed twice counts once."""
+    rng = np.random.default_rng(3)
+    x, q, keep = rng.normal(size=(64, 3)), rng.normal(size=(4, 3)), 5
+    zones = Zones(np.ones((1, 16), bool), np.full(16, 5), 1000)
+    assert zones.low.tolist() == [0] and zones.high.tolist() == [16]
+    filed = sorted([(i % 16, i) for i in range(64)] + [(i, i) for i in range(16)] + [(0, 63)])
+    reads = np.packbits(np.array([[True] * 16, [True] * 16, [i < 3 for i in range(16)], [False] * 16]), axis=1)
+    parts = [
+        pa.RecordBatch.from_pylist([{"group": 0, "kind": 0, "list": -1, "node": 100 + i, "first": None, "v": q[i].tolist(), "reads": reads[i].tobytes()} for i in range(4)]),
+        pa.RecordBatch.from_pylist([{"group": 0, "kind": 1, "list": at, "node": i, "first": i, "v": x[i].tolist(), "reads": None} for at, i in filed]),
+    ]
+    got = [r for b in _answers(SimpleNamespace(value=zones), 3, keep)(iter(parts)) for r in b.to_pylist()]
+    assert [r["query"] for r in got] == [100, 101, 102, 103]
+    for i, r in enumerate(got):
+        rows = sorted({j for at, j in filed if reads[i][at // 8] & (128 >> at % 8)}, key=lambda j: -(q[i] @ x[j]))[:keep]
+        assert r["nodes"] == rows and r["scores"] == pytest.approx([q[i] @ x[j] for j in rows])
+
+
+def test_zones_hold_what_their_block_reads():
+    needs = np.array([[True, True, False, True], [False, True, True, True]])
+    zones = Zones(needs, np.array([4, 5, 30, 0]), 10)
+    assert zones.first.tolist() == [[0, 0, -1, -1], [-1, 1, 2, -1]] and zones.block.tolist() == [0, 1, 1, 1, 1]
+    assert zones.low.tolist() == [0, 1, 2, 2, 2] and zones.high.tolist() == [2, 2, 3, 3, 3] and zones.shares.tolist() == [1, 1, 3, 1]
+    blocks = Blocks(np.array([3, 0, 3, 25, 2, 9]), 10)
+    assert blocks.first.tolist() == [0, 0, 0, 1, 4, 5] and blocks.shares[3] == 3 and blocks.number == 6
