@@ -3,8 +3,8 @@
 Features are cut once into at most 256 bins and kept as bytes, in blocks of rows. A tree is grown level by
 level: tasks sum gradients and Hessians by (trial, node, feature, bin), the sums meet in a shuffle, and the
 best split of a node is chosen where its sums are. Nodes that have become small move their rows instead, and
-one job finishes all of their subtrees. If even all rows are few, a task goes on with the next trees of its trial for some
-rounds. All ways use the same sums and the same choice, so the size at which a node counts as small changes no tree.
+one job finishes all of their subtrees. If even all rows are few, one task a trial grows all of its trees; columns of few bins are summed
+together, and of two children only the one of fewer rows. All ways use the same sums and the same choice, so the size at which a node counts as small changes no tree.
 All trials share these jobs: a round costs one job and one more for each level that has large nodes.
 
 Sums are of whole numbers (multiples of 2^-24), so neither partitions nor retried tasks change a tree.
@@ -72,9 +72,10 @@ class Tree:
         shift = len(self.feature) - 1
         for name in ("feature", "cut", "value", "gain"):
             own, new = getattr(self, name), getattr(other, name)
+            new = np.asarray(new).tolist()
             own[node] = new[0]
             own += new[1:]
-        moved = [x + shift for x in other.left]
+        moved = [int(x) + shift for x in other.left]
         self.left[node] = moved[0]
         self.left += moved[1:]
 
@@ -83,18 +84,25 @@ class Tree:
 
     @classmethod
     def unpacked(cls, row) -> "Tree":
-        return cls(**{c: np.frombuffer(row[c], kind).tolist() for c, kind in _KINDS.items()})
-
-    def reached(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of every row."""
-        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
-        node = np.zeros(len(bins), np.int64)
-        rows = np.flatnonzero(feature[node] >= 0)
-        while len(rows):
-            at = node[rows]
-            node[rows] = left[at] + (bins[rows, feature[at]] > cut[at])
-            rows = rows[feature[node[rows]] >= 0]
-        return node
+        """A tree that is complete: arrays take a fraction of the room of lists."""
+        return cls(**{c: np.frombuffer(row[c], kind) for c, kind in _KINDS.items()})
+
+    def reached(self, bins: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of every row, or of those at ``rows``; quickest where each column of bins is one piece of memory."""
+        flat, n = np.ascontiguousarray(bins.T).ravel(), len(bins)
+        feature, cut, left = np.array(self.feature), np.array(self.cut, np.int16), np.array(self.left, np.int64)
+        inner, start = feature >= 0, feature.astype(np.int64) * n
+        out = np.zeros(n if rows is None else len(rows), np.int64)
+        for first in range(0, len(out) if inner[0] else 0, 1 << 15):
+            node = out[first : first + (1 << 15)]
+            own = np.arange(first, first + len(node)) if rows is None else rows[first : first + len(node)]
+            ahead = np.arange(len(node))
+            while len(ahead):
+                at = node[ahead]
+                at = left[at] + (flat[start[at] + own[ahead]] > cut[at])
+                node[ahead] = at
+                ahead = ahead[inner[at]]
+        return out
 
     def values(self, bins: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.reached(bins)]
@@ -109,8 +117,10 @@ class Ensemble:
     losses: list[float] = field(default_factory=list)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        bins = binned(x, self.cuts)
-        return sum((t.values(bins) for t in self.trees), np.zeros(len(x)))
+        return self.margins_of(binned(x, self.cuts))
+
+    def margins_of(self, bins: np.ndarray) -> np.ndarray:
+        return sum((t.values(bins) for t in self.trees), np.zeros(len(bins)))
 
     def importances(self) -> np.ndarray:
         """Share of each feature in the mean gain of its splits."""
@@ -125,8 +135,8 @@ class Ensemble:
 
 
 def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
-    """The number of cut points below each value."""
-    out = np.empty(x.shape, np.uint8)
+    """The number of cut points below each value, column by column in memory."""
+    out = np.empty(x.shape, np.uint8, order="F")
     for f, points in enumerate(cuts):
         out[:, f] = np.searchsorted(points, x[:, f], side="left")
     return out
@@ -212,10 +222,57 @@ class Layout:
         self.last[self.first[1:] - 1] = True
 
 
-def choose(g: np.ndarray, h: np.ndarray, n: np.ndarray, layout: Layout, p: TreeParams):
+class Bundles:
+    """Columns of a layout taken together while their bins have at most 256 joint values: one sum by joint value gives those of all of them."""
+
+    def __init__(self, layout: Layout):
+        self.layout, self.members, self.sizes = layout, [], []
+        for i in np.argsort(layout.sizes, kind="stable").tolist():
+            size = int(layout.sizes[i])
+            if self.members and self.sizes[-1] * size <= 256:
+                self.members[-1].append(i)
+                self.sizes[-1] *= size
+            else:
+                self.members.append([i])
+                self.sizes.append(size)
+
+    def codes(self, bins: np.ndarray, rows: np.ndarray | None = None) -> list[np.ndarray]:
+        """The joint value of each row in each bundle."""
+        out = []
+        for members in self.members:
+            code = None
+            for i in members:
+                column = bins[:, self.layout.columns[i]]
+                column = column if rows is None else column[rows]
+                code = column if code is None else code * np.uint8(self.layout.sizes[i]) + column
+            out.append(code)
+        return out
+
+    def sums(self, codes: list[np.ndarray], node: np.ndarray, nodes: int, weights: list[np.ndarray | None], rows: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each weight (None counts), its sums by (node, bin), exact while they stay below 2^53; codes are read at ``rows``, the rest lies as they do."""
+        out = [np.zeros((nodes, self.layout.total)) for _ in weights]
+        for code, size, members in zip(codes, self.sizes, self.members):
+            joint = [np.zeros(nodes * size) for _ in weights]
+            for first in range(0, len(node), 1 << 18):
+                some = slice(first, first + (1 << 18))
+                at = node[some] * size
+                at += code[some] if rows is None else code[rows[some]]
+                for total, w in zip(joint, weights):
+                    total += np.bincount(at, None if w is None else w[some], nodes * size)
+            shape = [int(self.layout.sizes[i]) for i in members]
+            for sums, total in zip(out, joint):
+                total = total.reshape(nodes, *shape)
+                for k, i in enumerate(members):
+                    others = tuple(j + 1 for j in range(len(members)) if j != k)
+                    sums[:, self.layout.first[i] : self.layout.first[i + 1]] = total.sum(axis=others) if others else total
+        return out
+
+
+def choose(g: np.ndarray, h: np.ndarray, n: np.ndarray | None, layout: Layout, p: TreeParams):
     """Best split of each node from its sums by bin (nodes x all bins): (gain, column, cut, sums of both sides).
 
     The gain is the growth of T(G)^2 / (H + lambda), with T shrinking G by alpha; ties go to the first column and cut.
+    Numbers of rows may be left out where a child needs a Hessian sum above 0: a side that has one has rows.
     """
 
     def below(x: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -226,15 +283,18 @@ def choose(g: np.ndarray, h: np.ndarray, n: np.ndarray, layout: Layout, p: TreeP
     def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.maximum(np.abs(a) - p.alpha, 0) ** 2 / np.maximum(b + p.lambda_, 1e-300)
 
-    (gl, gt), (hl, ht), (nl, nt) = below(g, _UNIT), below(h, _UNIT), below(n, 1.0)
-    gr, hr, nr = gt[:, None] - gl, ht[:, None] - hl, nt[:, None] - nl
-    gain = score(gl, hl) + score(gr, hr) - score(gt, ht)[:, None]
-    ok = ~layout.last & (hl >= p.min_child_weight) & (hr >= p.min_child_weight) & (nl > 0) & (nr > 0)
+    both = [below(g, _UNIT), below(h, _UNIT)] + ([] if n is None else [below(n, 1.0)])
+    low = [x for x, _ in both]
+    high = [t[:, None] - x for x, t in both]
+    gain = score(*low[:2]) + score(*high[:2]) - score(both[0][1], both[1][1])[:, None]
+    ok = ~layout.last & (low[1] >= p.min_child_weight) & (high[1] >= p.min_child_weight)
+    if n is not None:
+        ok &= (low[2] > 0) & (high[2] > 0)
     gain[~ok] = -np.inf
     at, rows = gain.argmax(axis=1), np.arange(len(g))
     best = gain[rows, at]
     fine = (best > 1e-6) & (best >= p.gamma)
-    sides = [tuple(x[rows, at] for x in side) for side in ((gl, hl, nl), (gr, hr, nr))]
+    sides = [tuple(x[rows, at] for x in side) for side in (low, high)]
     return np.where(fine, best, -np.inf), layout.columns[layout.column[at]], at - layout.first[layout.column[at]], *sides
 
 
@@ -242,46 +302,77 @@ def leaf(g, h, p: TreeParams):
     return -p.learning_rate * np.sign(g) * np.maximum(np.abs(g) - p.alpha, 0) / np.maximum(h + p.lambda_, 1e-300)
 
 
-def _sums(node: np.ndarray, nodes: int, bins: np.ndarray, g: np.ndarray, h: np.ndarray, layout: Layout) -> list[np.ndarray]:
-    """Sums by (node, bin) of gradients, Hessians and rows, exact while they stay below 2^53."""
-    out = [np.zeros((nodes, layout.total)) for _ in range(3)]
-    for first in range(0, len(bins), step := max(1, (1 << 21) // max(1, len(layout.columns)))):
-        rows = slice(first, first + step)
-        at = (node[rows, None] * layout.total + layout.first[:-1] + bins[rows]).ravel()
-        for sums, w in zip(out, (g, h, None)):
-            weights = None if w is None else np.repeat(w[rows], len(layout.columns))
-            sums += np.bincount(at, weights, nodes * layout.total).reshape(nodes, layout.total)
-    return out
-
-
 def subtree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, layout: Layout, p: TreeParams) -> Tree:
     """The tree over some rows, whose gradients and Hessians are whole numbers of units, with ``depth`` levels at most."""
-    tree = Tree()
+    return grow(bins, None, g, h, depth, layout, p)[0]
+
+
+def grow(
+    bins: np.ndarray, learn: np.ndarray | None, g: np.ndarray, h: np.ndarray, depth: int, layout: Layout, p: TreeParams, cells: int = 1 << 21
+) -> tuple[Tree, np.ndarray]:
+    """The tree over the rows at ``learn`` (all if None), to which g and h belong, and their leaves.
+
+    Of two children the one of fewer rows is summed, and the other one is what is left of their parent: sums are of whole
+    numbers, so that is exact. Parents are kept while they have at most ``cells`` bins in all.
+    """
+    bundles, tree = Bundles(layout), Tree()
     tree.value[0] = float(leaf(g.sum() / _UNIT, h.sum() / _UNIT, p))
-    own, node = bins[:, layout.columns], np.zeros(len(bins), np.int64)
-    open_nodes = [0]
+    flat, n = np.ascontiguousarray(bins.T).ravel(), len(bins)
+    codes, weights = bundles.codes(bins, learn), [g.astype("f8"), h.astype("f8")]
+    weights += [None] if p.min_child_weight <= 0 else []
+    node = np.zeros(len(g), np.int64)
+    sizes = np.array([len(g)])
+    opened = {0: (h.sum() / _UNIT, None)}  # by open node: its Hessian sum, and its parent if that has sums
+    kept: dict[int, list[np.ndarray]] = {}
+    step = max(2, (1 << 20) // layout.total)
     for _ in range(depth):
-        weight = np.bincount(node, h, len(tree.feature)) / _UNIT
-        open_nodes = [k for k in open_nodes if weight[k] >= 2 * p.min_child_weight]
-        opened, step = [], max(1, (1 << 20) // layout.total)
-        for first in range(0, len(open_nodes), step):
-            some = open_nodes[first : first + step]
-            place = np.full(len(weight), -1)
-            place[some] = np.arange(len(some))
-            rows = np.flatnonzero(place[node] >= 0)
-            gain, column, cut, low, high = choose(*_sums(place[node[rows]], len(some), own[rows], g[rows], h[rows], layout), layout, p)
-            low, high = leaf(low[0], low[1], p).tolist(), leaf(high[0], high[1], p).tolist()
-            for i in np.flatnonzero(np.isfinite(gain)):
-                new = tree.split(some[i], int(column[i]), int(cut[i]), float(gain[i]), low[i], high[i])
-                opened += [new, new + 1]
-        if not opened:
+        some_open = [k for k, (weight, _) in opened.items() if weight >= 2 * p.min_child_weight]
+        keeping, next_kept, next_opened, done = len(some_open) * layout.total <= cells, {}, {}, 0
+        while done < len(some_open):
+            some = some_open[done : done + step]
+            if len(some) == step and opened[some[-1]][1] is not None and done + step < len(some_open) and some_open[done + step] == some[-1] + 1:
+                some.pop()  # two children of a parent stay together
+            done += len(some)
+            # Children of a kept parent are side by side, a left one first.
+            rest = {}
+            for a, b in zip(some, some[1:]):
+                if opened[a][1] is not None and opened[a][1] == opened[b][1]:
+                    rest[b if sizes[a] <= sizes[b] else a] = a if sizes[a] <= sizes[b] else b
+            summed = [k for k in some if k not in rest]
+            place = np.full(len(tree.feature), -1)
+            place[summed] = np.arange(len(summed))
+            if len(tree.feature) == 1:
+                found = bundles.sums(codes, node, 1, weights)
+            else:
+                at = place[node]
+                rows = np.flatnonzero(at >= 0)
+                found = bundles.sums(codes, at[rows], len(summed), [w if w is None else w[rows] for w in weights], rows)
+            sums = [np.empty((len(some), layout.total)) for _ in weights]
+            for i, k in enumerate(some):
+                for x, part, j in zip(sums, found, range(len(weights))):
+                    x[i] = part[place[k]] if k not in rest else kept[opened[k][1]][j] - part[place[rest[k]]]
+            gain, column, cut, low, high = choose(sums[0], sums[1], sums[2] if len(sums) > 2 else None, layout, p)
+            values = leaf(low[0], low[1], p).tolist(), leaf(high[0], high[1], p).tolist()
+            for i in np.flatnonzero(np.isfinite(gain)).tolist():
+                new = tree.split(some[i], int(column[i]), int(cut[i]), float(gain[i]), values[0][i], values[1][i])
+                if keeping:
+                    next_kept[some[i]] = [x[i] for x in sums]
+                parent = some[i] if keeping else None
+                next_opened |= {new: (low[1][i], parent), new + 1: (high[1][i], parent)}
+        if not next_opened:
             break
-        feature, cuts, left = np.array(tree.feature), np.array(tree.cut), np.array(tree.left)
-        rows = np.flatnonzero(feature[node] >= 0)
-        at = node[rows]
-        node[rows] = left[at] + (bins[rows, feature[at]] > cuts[at])
-        open_nodes = opened
-    return tree
+        feature, cuts, left = np.array(tree.feature), np.array(tree.cut, np.int16), np.array(tree.left, np.int64)
+        start = feature.astype(np.int64) * n
+        inner = feature >= 0
+        for first in range(0, len(node), 1 << 15):
+            own = node[first : first + (1 << 15)]
+            rows = np.flatnonzero(inner[own])
+            at = own[rows]
+            place = first + rows if learn is None else learn[first + rows]
+            own[rows] = left[at] + (flat[start[at] + place] > cuts[at])
+        sizes = np.bincount(node, minlength=len(tree.feature))
+        opened, kept = next_opened, next_kept
+    return tree, node
 
 
 @dataclass
@@ -318,7 +409,7 @@ def layout_of(sizes: np.ndarray, t: _Trial, seed: int) -> Layout:
 def _columns_of(block: dict, width: int) -> dict:
     out = {c: np.frombuffer(block[c], "f8") for c in ("label", "weight")}
     out["key"], out["valid"] = np.frombuffer(block["key"], "i8"), np.frombuffer(block["valid"], bool)
-    out["bins"] = np.frombuffer(block["bins"], np.uint8).reshape(block["n"], width)
+    out["bins"] = np.asfortranarray(np.frombuffer(block["bins"], np.uint8).reshape(block["n"], width))
     out["margin"] = np.frombuffer(block["margin"], "f8").reshape(-1, block["n"]) if block["margin"] else None
     return out
 
@@ -350,10 +441,11 @@ def _level(sent, sizes: np.ndarray, seed: int):
                     node = t.tree.reached(rows["bins"])
                     g, h = _slopes(rows, _margin(rows, t))
                     layout = layout_of(sizes, t, seed)
+                    bundles = Bundles(layout)
                     for k in t.large:
                         own = np.flatnonzero(learn & (node == k))
                         if len(own):
-                            sums = _sums(np.zeros(len(own), np.int64), 1, rows["bins"][own][:, layout.columns], g[own], h[own], layout)
+                            sums = bundles.sums(bundles.codes(rows["bins"], own), np.zeros(len(own), np.int64), 1, [g[own], h[own], None])
                             have = held.setdefault((t.number, k), [np.zeros(layout.total, np.int64) for _ in range(3)])
                             for a, b in zip(have, sums):
                                 a += b[0].astype(np.int64)
@@ -469,49 +561,80 @@ def _stored(sent, trials: int, sizes: np.ndarray):
     return run
 
 
+_CELLS = {"bins": np.uint8, "label": "f8", "weight": "f8", "key": "i8", "valid": bool, "margin": "f8"}
+
+
 def _all_rows(sent, sizes: np.ndarray):
-    """All rows for every trial, with the margin of its trees so far."""
+    """All rows for every trial, with the margin of its trees so far if it has any; place is the number of the task that gets them."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for block in part.to_pylist():
                 rows = _columns_of(block, len(sizes))
-                for t in sent.value:
-                    kept = {c: block[c] for c in ("block", "n", "bins", "label", "weight", "key", "valid")}
-                    yield pa.RecordBatch.from_pylist([{"trial": t.number, **kept, "margin": _margin(rows, t).tobytes()}])
+                for place, t in enumerate(sent.value):
+                    margin = _margin(rows, t).tobytes() if t.recent or rows["margin"] is not None else b""
+                    yield pa.RecordBatch.from_pylist([{"place": place, **{c: block[c] for c in _CELLS}, "margin": margin}])
 
     return run
 
 
+def _held(parts: Iterator[pa.RecordBatch], width: int) -> dict[str, np.ndarray] | None:
+    """The rows of all blocks together, column by column; None without any. No margin is a margin of 0."""
+    found: dict[str, list[np.ndarray]] = {c: [] for c in _CELLS}
+    for part in parts:
+        for c, kind in _CELLS.items():
+            for cell in part.column(c):
+                cell = np.frombuffer(cell.as_buffer(), kind)
+                found[c].append(np.ascontiguousarray(cell.reshape(-1, width).T) if c == "bins" else cell.copy())
+    if not found["label"]:
+        return None
+    rows = {c: np.concatenate(found.pop(c), axis=int(c == "bins")) for c in _CELLS}
+    rows["bins"] = rows["bins"].T
+    if not len(rows["margin"]):
+        rows["margin"] = np.zeros(len(rows["label"]))
+    return rows
+
+
 def _rounds(sent, sizes: np.ndarray, seed: int, patience: int | None, rounds: int):
     """The next trees of one trial, whose rows are all here; node is the tree's number, or -1 for a loss."""
 
-    def run(table: pa.Table) -> pa.Table:
-        number = table.column("trial")[0].as_py()
-        t = next(t for t in sent.value if t.number == number)
-        rows = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in _CELLS.items()}
-        rows["bins"] = rows["bins"].reshape(len(rows["label"]), len(sizes))
-        margin, v, losses, out = rows["margin"].copy(), rows["valid"], list(t.losses), []
+    def run(number: int, rows: dict[str, np.ndarray]) -> Iterator[dict]:
+        t = sent.value[number]
+        margin, v, losses = rows["margin"], np.flatnonzero(rows["valid"]), list(t.losses)
         for n in range(t.trees, min(t.trees + rounds, t.params.n_estimators)):
-            if v.any():
+            if len(v):
                 total = _loss(rows["label"][v], margin[v])
                 losses.append(float(total[0] / _UNIT / total[1]))
-                out.append({"node": -1, "loss": losses[-1], **{c: b"" for c in _KINDS}})
+                yield {"node": -1, "loss": losses[-1], **{c: b"" for c in _KINDS}}
                 if _least(losses, patience) is not None:
-                    break
+                    return
             now = replace(t, trees=n)
-            learn = ~v & drawn_rows(rows["key"], t.params.subsample, seed + number, n)
-            g, h = _slopes(rows, margin)
-            tree = subtree(rows["bins"][learn], g[learn], h[learn], t.params.max_depth, layout_of(sizes, now, seed), t.params)
-            margin += tree.values(rows["bins"])
-            out.append({"node": n, "loss": 0.0, **tree.packed()})
+            drawn = ~rows["valid"] & drawn_rows(rows["key"], t.params.subsample, seed + t.number, n)
+            learn, others = np.flatnonzero(drawn), np.flatnonzero(~drawn)
+            g, h = _slopes({c: rows[c][learn] for c in ("label", "weight")}, margin[learn])
+            tree, leaves = grow(rows["bins"], learn, g, h, t.params.max_depth, layout_of(sizes, now, seed), t.params)
+            value = np.array(tree.value)
+            margin[learn] += value[leaves]
+            margin[others] += value[tree.reached(rows["bins"], others)]
+            yield {"node": n, "loss": 0.0, **tree.packed()}
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("trial", pa.int64()), ("node", pa.int64()), *((c, pa.binary()) for c in _KINDS), ("loss", pa.float64())])
-        return pa.Table.from_pylist([{"trial": number, **r} for r in out], schema=schema)
+        number = None
 
-    return run
+        def noted() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for part in parts:
+                if part.num_rows:
+                    number = part.column("place")[0].as_py()
+                    yield part
 
+        rows = _held(noted(), len(sizes))
+        if rows is not None:
+            for r in run(number, rows):
+                yield pa.RecordBatch.from_pylist([{"trial": sent.value[number].number, **r}], schema=schema)
 
-_CELLS = {"bins": np.uint8, "label": "f8", "weight": "f8", "key": "i8", "valid": bool, "margin": "f8"}
+    return task
 
 
 def _least(losses: list[float], patience: int | None) -> int | None:
@@ -524,16 +647,18 @@ def _least(losses: list[float], patience: int | None) -> int | None:
 
 def boost(
     blocks: DataFrame, cuts: list[np.ndarray], trials: Sequence[TreeParams], patience: int | None = None, seed: int = 42,
-    small: int = 1 << 18, kept: int = 8, rounds: int = 64, sums: int = 1 << 24,
+    small: int = 1 << 21, kept: int = 8, rounds: int = 512, sums: int = 1 << 24,
 ) -> list[Ensemble]:
     """Grows the ensembles of all trials over the blocks of :func:`blocks_of`.
 
     With ``patience``, a trial ends when the validation loss has not become less for so many trees, and keeps those up to its
-    least loss. Nodes of up to ``small`` rows are finished in one task each; so few rows in all go on for ``rounds`` trees in a job.
+    least loss. Nodes of up to ``small`` rows, or fewer with over 64 MB of bins, are finished in one task each; so few rows in all go on for
+    ``rounds`` trees in a job.
     Margins are stored every ``kept`` rounds of larger data. A job sums at most ``sums`` bins of nodes.
     """
     spark = blocks.sparkSession
     sizes = np.array([len(c) + 1 for c in cuts])
+    small = min(small, (1 << 26) // max(1, len(sizes)))
     size = blocks.agg(F.coalesce(F.sum(F.col("n")), F.lit(0))).first()[0]
     state = [_Trial(i, p) for i, p in enumerate(trials)]
     done: list[Ensemble] = [Ensemble([], cuts, t.losses) for t in state]
@@ -542,7 +667,7 @@ def boost(
     at = blocks
     while active and size and len(sizes):
         if size <= small:
-            _grow_rounds(at, sizes, active, seed, patience, rounds, min(spread, len(active)))
+            _grow_rounds(at, sizes, active, seed, patience, rounds)
         else:
             for t in active:
                 t.tree, t.large, t.small = Tree(), {0: 0}, {}
@@ -564,12 +689,14 @@ def boost(
     return done
 
 
-def _grow_rounds(at: DataFrame, sizes: np.ndarray, active: list[_Trial], seed: int, patience: int | None, rounds: int, spread: int) -> None:
-    """The next trees of every trial, each in the task that gets all rows for it."""
+def _grow_rounds(at: DataFrame, sizes: np.ndarray, active: list[_Trial], seed: int, patience: int | None, rounds: int) -> None:
+    """The next trees of every trial, each in the task that gets all rows for it; those of most work begin first."""
     spark = at.sparkSession
-    sent = spark.sparkContext.broadcast([t.sent() for t in active])
-    rows = at.mapInArrow(_all_rows(sent, sizes), "trial long, block long, n long, bins binary, label binary, weight binary, key binary, valid binary, margin binary")
-    found = rows.repartition(spread, "trial").groupBy("trial").applyInArrow(_rounds(sent, sizes, seed, patience, rounds), _GROWN).collect()
+    work = lambda t: -t.params.max_depth * t.params.subsample * min(rounds, t.params.n_estimators - t.trees)
+    sent = spark.sparkContext.broadcast([t.sent() for t in sorted(active, key=work)])
+    rows = at.mapInArrow(_all_rows(sent, sizes), "place long, bins binary, label binary, weight binary, key binary, valid binary, margin binary")
+    placed = rows.repartitionById(len(active), F.col("place").cast("int"))
+    found = placed.mapInArrow(_rounds(sent, sizes, seed, patience, rounds), _GROWN).collect()
     sent.destroy()
     by_number = {t.number: t for t in active}
     for r in sorted((r for r in found if r["node"] >= 0), key=lambda r: r["node"]):
@@ -623,6 +750,18 @@ def _grow_level(spark: SparkSession, at: DataFrame, sizes: np.ndarray, active: l
             t.large.pop(k, None)
 
 
+def _larger(parts: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """The rows of small batches together: a tree takes as long for a few rows as for some hundreds."""
+    held = []
+    for part in parts:
+        held += [part] if part.num_rows else []
+        if sum(p.num_rows for p in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def scored(df: DataFrame, models: Sequence[Ensemble], keep: Sequence[str] = ("label",)) -> DataFrame:
     """(model, keep…, prediction, score): every row scored by every model; the score is the probability of class 1."""
     sent = df.sparkSession.sparkContext.broadcast(list(models))
@@ -630,11 +769,14 @@ def scored(df: DataFrame, models: Sequence[Ensemble], keep: Sequence[str] = ("la
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_x").schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _larger(parts):
             x = np.asarray(part.column("_x").flatten()).reshape(part.num_rows, -1)
             kept = part.select([n for n in part.schema.names if n != "_x"])
+            bins, cuts = None, None
             for number, model in enumerate(sent.value):
-                p = 1 / (1 + np.exp(-model.margins(x))) if part.num_rows else np.empty(0)
+                if model.cuts is not cuts:  # models of a search share theirs
+                    bins, cuts = binned(x, model.cuts), model.cuts
+                p = 1 / (1 + np.exp(-model.margins_of(bins)))
                 yield pa.record_batch(
                     [pa.array(np.full(part.num_rows, number, "i4")), *kept.columns, pa.array((p > 0.5).astype("i4")), pa.array(p)],
                     names=["model", *kept.schema.names, "prediction", "score"],

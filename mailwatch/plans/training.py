@@ -161,7 +161,12 @@ def random_search(
     faults = [t.fault() for t in trials]
     good = [n for n, f in enumerate(faults) if f is None]
     grown = boosted_trees(train, [trials[n] for n in good], validation, patience, key)
-    found = {good[r["model"]]: r for r in metrics_by(boosting.scored(validation, grown), ["model"]).collect()}
+    scores = boosting.scored(validation, grown).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        scores.count()  # first, as the jobs that measure would each make them
+        found = {good[r["model"]]: r for r in metrics_by(scores, ["model"]).collect()}
+    finally:
+        scores.unpersist()
     models: dict[int, boosting.Ensemble] = dict(zip(good, grown))
     measures = ("f1", "precision", "recall", "auc_roc")
     rows = [

@@ -165,3 +165,41 @@ def test_rows_of_a_few_megabytes_take_no_job_for_each_level(spark, monkeypatch):
     cuts = boosting.cut_points(df)
     model = boosting.boost(boosting.blocks_of(df, None, cuts), cuts, [TreeParams(max_depth=2, n_estimators=3)])[0]
     assert not levels and len(model.trees) == 3 and model.trees[0].feature[0] == 0
+
+
+def test_two_million_rows_take_no_job_for_each_level(spark, monkeypatch):
+    """300,000 rows and more go on for all trees in one task of their trial."""
+    levels = []
+    monkeypatch.setattr(boosting, "_grow_level", lambda *a: levels.append(a) or a[3][0].large.clear())
+    df = spark.range(300_000).selectExpr("string(id) AS email_id", "int(id % 7 > 2) AS label", "1.0D AS weight", "array(double(id % 7), double(id % 3)) AS x")
+    df = df.withColumn("features", array_to_vector("x"))
+    cuts = boosting.cut_points(df)
+    model = boosting.boost(boosting.blocks_of(df, None, cuts), cuts, [TreeParams(max_depth=2, n_estimators=2)])[0]
+    assert not levels and len(model.trees) == 2 and model.trees[0].feature[0] == 0
+
+
+def test_fewer_sums_grow_the_same_tree():
+    """Parents kept or not, drawn rows or all: the splits of sums over every row of a node."""
+    rng = np.random.default_rng(4)
+    bins = np.asfortranarray(np.stack([rng.integers(0, n, 3000) for n in (2, 200, 3, 5, 2, 90, 7)], axis=1).astype(np.uint8))
+    y = (bins[:, 1] > 90).astype(float) + bins[:, 0] * (bins[:, 3] > 2) + rng.normal(size=3000) > 1
+    g, h = boosting._slopes({"label": y.astype(float), "weight": np.ones(3000)}, rng.normal(size=3000))
+    layout = boosting.Layout(np.array([2, 200, 3, 5, 2, 90, 7]), np.array([0, 1, 2, 3, 5, 6]))
+    bundles = boosting.Bundles(layout)
+    assert len(bundles.sizes) < 6 and max(bundles.sizes) <= 256
+    node = rng.integers(0, 3, 3000)
+    found = bundles.sums(bundles.codes(bins), node, 3, [g.astype("f8"), None])
+    for f, column in enumerate(layout.columns):
+        for i, w in enumerate((g, np.ones(3000))):
+            want = np.zeros((3, layout.sizes[f]))
+            np.add.at(want, (node, bins[:, column]), w)
+            assert (found[i][:, layout.first[f] : layout.first[f + 1]] == want).all()
+    for p in (TreeParams(max_depth=7), TreeParams(max_depth=5, min_child_weight=0.0, gamma=0.3)):
+        tree, leaves = boosting.grow(bins, None, g, h, p.max_depth, layout, p)
+        again, others = boosting.grow(bins, None, g, h, p.max_depth, layout, p, cells=0)
+        assert tree.packed() == again.packed() and len(tree.feature) > 20
+        assert (leaves == tree.reached(bins)).all() and (leaves == others).all()
+        learn = np.flatnonzero(rng.random(3000) < 0.6)
+        some, leaves = boosting.grow(bins, learn, g[learn], h[learn], p.max_depth, layout, p)
+        assert some.packed() == boosting.subtree(bins[learn], g[learn], h[learn], p.max_depth, layout, p).packed()
+        assert (leaves == some.reached(bins, learn)).all()
