@@ -57,13 +57,17 @@ class NearestConfig:
 
 
 def _halves(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """True for the half of the rows that lies towards the second of two centres."""
-    a, b = x[rng.integers(len(x))], x[rng.integers(len(x))]
-    for _ in range(6):
+    """True for the half of the rows that lies towards the second of two centres, which begin far apart: no cut through near copies."""
+    a = x[rng.integers(len(x))]
+    b = x[((x - a) ** 2).sum(axis=1).argmax()]
+    mark = None
+    for _ in range(12):
         side = x @ (b - a)
         upper = np.argsort(side, kind="stable")[len(x) // 2 :]
-        mark = np.zeros(len(x), bool)
+        before, mark = mark, np.zeros(len(x), bool)
         mark[upper] = True
+        if before is not None and (mark == before).all():
+            break
         a, b = x[~mark].mean(axis=0), x[mark].mean(axis=0)
     return mark
 
