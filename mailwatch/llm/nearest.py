@@ -57,21 +57,25 @@ class NearestConfig:
 
 
 def _halves(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """True for the half of the rows that lies towards the second of two centres, which begin far apart: no cut through near copies."""
-    a = x[rng.integers(len(x))]
-    b = x[((x - a) ** 2).sum(axis=1).argmax()]
-    mark = None
-    for _ in range(12):
-        side = x @ (b - a)
-        upper = np.argsort(side, kind="stable")[len(x) // 2 :]
-        before, mark = mark, np.zeros(len(x), bool)
-        mark[upper] = True
-        if before is not None and (mark == before).all():
-            break
-        a, b = x[~mark].mean(axis=0), x[mark].mean(axis=0)
+    """True for the half of the rows that lies towards the second of two centres; where the rows at the cut are near copies, of centres that begin far apart."""
+    a, b = x[rng.integers(len(x))], x[rng.integers(len(x))]
+    mark, cut = _settled(x, a, b, 6)
+    if cut < 0.05:
+        mark, _ = _settled(x, a, x[((x - a) ** 2).sum(axis=1).argmax()], 12)
     return mark
 
 
+def _settled(x: np.ndarray, a: np.ndarray, b: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """The halves after so many rounds, and how far apart the rows on both sides of the cut are, in distances of the centres."""
+    for _ in range(rounds):
+        order = np.argsort(x @ (b - a), kind="stable")
+        mark = np.zeros(len(x), bool)
+        mark[order[len(x) // 2 :]] = True
+        a, b = x[~mark].mean(axis=0), x[mark].mean(axis=0)
+    low, high = x[order[len(x) // 2 - 1]], x[order[len(x) // 2]]
+    return mark, float(np.linalg.norm(high - low) / max(np.linalg.norm(b - a), 1e-300))
+
+
 def balanced_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
     """Means of about ``lists`` parts of the rows, whose sizes differ by one at most on each level of halving."""
     rng = np.random.default_rng(seed)
